@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import packing, token_store
+from . import packing, secrets, token_store
 
-MODULES = [token_store, packing]
+MODULES = [token_store, packing, secrets]
 
 
 def queries() -> dict:
