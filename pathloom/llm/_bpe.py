@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -22,39 +23,50 @@ _PIECE = re.compile(
 _RARE = re.compile("[^\x00-ɏ]")
 
 
+# The library's names of the 256 bytes; printable Latin-1 bytes stand for themselves.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes; a piece not held is taken from the older generation, or merged by the library."""
+
+    def __init__(self, merge, older: dict[str, bytes]):
+        super().__init__()
+        self.merge, self.older = merge, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            named = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+            ids = array("I", [t.id for t in self.merge(named)]).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """encode() gives a text's ids as little-endian unsigned 32-bit integers; special tokens are ordinary text.
 
-    remember: most pieces held at a time, about 150 bytes each.
+    remember: pieces after which a new generation begins; two are held, of about 150 bytes a piece.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self.library.model.tokenize, {})
         self.remember = remember
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not text.isascii() and _RARE.search(text):
-            return self._whole([text])[0]
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = list({p for p in pieces if p not in self.known})
-            if len(self.known) + len(new) > self.remember:
-                self.known.clear()
-                new = list(set(pieces))
-            self.known.update(zip(new, self._whole(new), strict=True))
-            return b"".join(map(self.known.__getitem__, pieces))
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.known) > self.remember:
+            self.known = _Pieces(self.known.merge, dict(self.known))
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
 
 _encoders: dict[str, Encoder] = {}
