@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import packing, secrets, token_store
+from . import decontaminate, packing, secrets, token_store
 
-MODULES = [token_store, packing, secrets]
+MODULES = [token_store, decontaminate, packing, secrets]
 
 
 def queries() -> dict:
