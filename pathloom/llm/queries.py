@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, packing, secrets, token_store
+from . import decontaminate, packing, quality, secrets, token_store
 
-MODULES = [token_store, decontaminate, packing, secrets]
+MODULES = [token_store, decontaminate, packing, secrets, quality]
 
 
 def queries() -> dict:
