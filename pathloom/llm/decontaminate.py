@@ -91,10 +91,9 @@ def search(index: TestIndex, positions: np.ndarray, keys: np.ndarray) -> Iterato
             yield length, np.repeat(at, n), np.tile(item[own], len(at)), np.tile(start[own], len(at))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document (SCHEMA). longest: words of its longest verbatim match of a window or more, 0 if none;
-    on a tie the first in the document, then of the first item as a string."""
-    spark = docs.sparkSession
+def build_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> list:
+    """Broadcast indexes of all items, each over items of about block_bytes of text."""
+    spark = benchmark.sparkSession
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("words"))
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks, indexes = total // block_bytes + 1, []
@@ -102,24 +101,62 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
         rows = sorted((r.item, words_of(r.words)) for r in own.where("item is not null").collect())
         indexes.append(spark.sparkContext.broadcast(TestIndex(rows, window)))
+    return indexes
+
+
+def _each(indexes: list) -> Iterator[TestIndex]:
+    """One block's index after the other; a worker keeps only a lone one."""
+    for shared in indexes:
+        yield shared.value if len(indexes) == 1 else shared.load_from_path(shared._path)
+
+
+def _starts(words: list[list[bytes]]) -> np.ndarray:
+    """First word of each document in a shard; one unknown word stands after each, so that no match spans two."""
+    return np.concatenate([[0], np.cumsum(np.array([len(w) + 1 for w in words], np.int64))]).astype(np.int64)
+
+
+def _hits(index: TestIndex, words: list[list[bytes]], first: np.ndarray, window: int) -> list[tuple]:
+    if not index.lengths:
+        return []
+    ids, get = np.zeros(first[-1], np.int64), index.vocab.get
+    for at, own in zip(first.tolist(), words, strict=False):
+        ids[at : at + len(own)] = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
+    return list(search(index, *suffix_array(ids, index.shortest, window)))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item."""
+    indexes, at = build_indexes(benchmark, item_col, item_text_col, window, block_bytes), docs.columns.index(text_col)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(None if t.as_py() is None else str(t.as_py())) for t in batch.column(at)]
+            first, clean = _starts(words), np.ones(len(words), bool)
+            for index in _each(indexes):
+                for _, where, _, _ in _hits(index, words, first, window):
+                    clean[np.searchsorted(first, where, "right") - 1] = False
+            yield batch.filter(pa.array(clean))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document (SCHEMA). longest: words of its longest verbatim match of a window or more, 0 if none;
+    on a tie the first in the document, then of the first item as a string."""
+    indexes = build_indexes(benchmark, item_col, item_text_col, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t.as_py()) for t in batch.column(1)]
             counts = np.array([len(w) for w in words], np.int64)
-            # One unknown word between documents, so that no match spans two.
-            first = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int64)
+            first = _starts(words)
             change = np.zeros(first[-1] + 1, np.int64)
             names: list[set[str]] = [set() for _ in words]
             best: list[tuple] = [(0, 0, "", 0)] * len(words)
-            for shared in indexes:
-                index = shared.value if len(indexes) == 1 else shared.load_from_path(shared._path)
-                if not index.lengths:
-                    continue
-                ids, get = np.zeros(first[-1], np.int64), index.vocab.get
-                for at, own in zip(first.tolist(), words, strict=False):
-                    ids[at : at + len(own)] = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
-                hits = list(search(index, *suffix_array(ids, index.shortest, window)))
+            for index in _each(indexes):
+                hits = _hits(index, words, first, window)
                 if not hits:
                     continue
                 length = np.concatenate([np.full(len(p), n) for n, p, _, _ in hits])
