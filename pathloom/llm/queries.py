@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality, secrets, span_dedup, token_store
+from . import decontaminate, licenses, line_dedup, near_dedup, packing, quality, secrets, span_dedup, token_store
 
-MODULES = [token_store, line_dedup, decontaminate, span_dedup, near_dedup, packing, secrets, quality]
+MODULES = [licenses, token_store, line_dedup, decontaminate, span_dedup, near_dedup, packing, secrets, quality]
 
 
 def queries() -> dict:
