@@ -1,4 +1,6 @@
-"""Registered queries over the supplied tables, with the equivalent SQL."""
+"""All registered queries; importing the modules fills the registry."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import graph_queries, finding_queries, source_queries  # noqa: F401, I001
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
