@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Word separators of the `[^\x20\x09-\x0D]+` definition, as a Java character class.
 SPACES = r"[ \t-\r]+"
 #: Bytes of text handled at once by the vectorised kernels; bounds their memory.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -124,7 +124,7 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                     end = at + int(gaps[-1]) + 1
             piece = raw[at:end]
             n = len(piece)
-            up, down = _power_table(max(n, 4 * BLOCK_BYTES))
+            up, down = _power_table(max(n, 2 * BLOCK_BYTES))
             word = _IS_WORD[piece]
             edge = np.zeros(n + 1, bool)
             inside = own[(own >= at) & (own < end)] - at
