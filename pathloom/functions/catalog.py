@@ -193,9 +193,11 @@ def load_rules(texts: list[str]) -> list[Rule]:
     for text in texts:
         try:
             entries = (yaml.safe_load(text) or {}).get("rules") or []
-            found += [Rule(e["id"], e.get("severity", "ADVISORY"), e.get("pattern", ""), tuple(e.get("applies_to") or ["**/*"])) for e in entries]
-        except (yaml.YAMLError, KeyError, TypeError, AttributeError):
+        except (yaml.YAMLError, AttributeError):
             continue
+        for e in entries:
+            if isinstance(e, dict) and e.get("id"):
+                found.append(Rule(e["id"], e.get("severity", "ADVISORY"), e.get("pattern", ""), tuple(e.get("applies_to") or ["**/*"])))
     return found
 
 

@@ -116,6 +116,12 @@ def shortest(paths: DataFrame, most: int = 100, ties: list[str | Column] = ("src
     return paths.orderBy("path_len", *ties).limit(most)
 
 
+def with_flags(edges: DataFrame) -> DataFrame:
+    """edges with the two flags, null where they are missing."""
+    missing = [c for c in ("summary", "resolved_virtual") if c not in edges.columns]
+    return edges.withColumns({c: F.lit(None).cast("boolean") for c in missing}) if missing else edges
+
+
 def bridge_opaque_calls(nodes: DataFrame, edges: DataFrame, calls: list[str] = catalog.OPAQUE_COPIES, most: int | None = 500) -> DataFrame:
     """edges and, around each opaque copy call, a REACHING_DEF edge (summary) from what flows in to what flows out,
     where no summary edge exists yet; the first `most` by ends (None: all)."""
@@ -149,6 +155,7 @@ def find_paths(
 ) -> DataFrame:
     """The whole search: edge synthesis (opaque copies, then virtual calls), expansion, projection, order and cut."""
     if extend:
+        edges = with_flags(edges)
         edges = resolve_virtual_calls(nodes, bridge_opaque_calls(nodes, edges))
     types = catalog.FLOW_EDGES if uniqueness == "node" else catalog.TRAIL_EDGES
     starts = source_nodes(nodes, sources, changed).select(F.col("node_id").alias("node"))
