@@ -1,8 +1,8 @@
 """Operator 5: remove sentences covered by a repeated run of sentences.
 
-A sentence ends after . ! ? or a line end; one of more than ten words is cut after each ten. Every run of three
-consecutive sentences of at least 50 characters is hashed to 96 bits and joined with all others. The first occurrence is that
-of the smallest doc_id and, inside it, the smallest position; sentences covered by any other occurrence are removed.
+A sentence ends after . ! ? or a line end; one of more than eight words is cut after each eight. From every sentence starts one run:
+three sentences, and as many more as it takes to reach 120 characters. Runs are hashed to 96 bits and joined globally. The
+first occurrence is that of the smallest doc_id and, inside it, the smallest position; sentences covered by any other are removed.
 
 Inside a document repeats are found locally, so each document sends each of its runs once. Counts are summed
 before the shuffle and joined back per run, so a run that many documents share meets no single task as a group (the
@@ -15,7 +15,9 @@ Null and empty text have no sentences and are left alone. Rows of equal id are o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = 3
-MIN_CHARS = 50
-#: Fixed value: up to ten words, then what ends them; or what stands before the first word.
-SENTENCE = r"(?:[^ \t-\r.!?]+[ \t\x0b-\r]*){1,10}[.!? \t-\r]*|[.!? \t-\r]+"
+MIN_CHARS = 120
+#: Fixed value: up to eight words, then what ends them; or what stands before the first word.
+SENTENCE = r"(?:[^ \t-\r.!?]+[ \t\x0b-\r]*){1,8}[.!? \t-\r]*|[.!? \t-\r]+"
 _SENTENCE = re.compile(SENTENCE)
 _ENDS = " \t\n\x0b\x0c\r.!?"
 
@@ -35,14 +37,14 @@ def sentences(text: str | None) -> list[str]:
     return _SENTENCE.findall(text) if text else []
 
 
-def _runs(parts: list[str], run: int, min_chars: int) -> Iterator[tuple[int, bytes]]:
-    """(position, digest) of every run; what stands before the first word is no sentence."""
+def _runs(parts: list[str], run: int, min_chars: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first sentence, end, digest) of every run; what stands before the first word is no sentence."""
     keys = [p.rstrip(_ENDS) for p in parts]
-    first = 1 if keys and not keys[0] else 0
-    for i in range(first, len(keys) - run + 1):
-        text = "\x1f".join(keys[i : i + run])
-        if len(text) >= min_chars:
-            yield i, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+    at = [0, *accumulate(len(k) + 1 for k in keys)]
+    for i in range(1 if keys and not keys[0] else 0, len(keys) - run + 1):
+        j = max(i + run, bisect_left(at, at[i] + min_chars + 1, i))
+        if j <= len(keys):
+            yield i, j, xxhash.xxh3_128_digest("\x1f".join(keys[i:j]).encode("utf-8", "surrogatepass"))
 
 
 def spans(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -53,7 +55,7 @@ def spans(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFr
             ids, pos, digests, counts = batch.column(0), [], [], []
             for text in batch.column(1):
                 seen: dict[bytes, int] = {}
-                for i, d in _runs(sentences(text.as_py()), run, min_chars):
+                for i, _, d in _runs(sentences(text.as_py()), run, min_chars):
                     seen.setdefault(d, i)
                 digests.extend(seen)
                 pos.extend(seen.values())
@@ -91,9 +93,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 text, first = text.as_py(), set(pos.as_py() or ())
                 parts = sentences(text)
                 gone, seen = set(), set()
-                for i, d in _runs(parts, run, min_chars) if owner.is_valid else ():
+                for i, j, d in _runs(parts, run, min_chars) if owner.is_valid else ():
                     if d in seen or i in first:
-                        gone.update(range(i, i + run))
+                        gone.update(range(i, j))
                     seen.add(d)
                 texts.append("".join(p for i, p in enumerate(parts) if i not in gone) if gone else text)
                 sizes.append(len(parts) - bool(parts and not parts[0].rstrip(_ENDS)))
@@ -123,9 +125,13 @@ ORACLES = {
     "op5_span_dedup": rf"""
 WITH s AS (SELECT doc_id, text, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM (SELECT doc_id, text, regexp_extract_all(text, '{SENTENCE}') AS l FROM documents)),
 k AS (SELECT *, rtrim(part, {_CHARS}) AS key FROM s),
-w AS (SELECT doc_id, i, key || chr(31) || lead(key, 1) OVER o || chr(31) || lead(key, 2) OVER o AS run, key FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT doc_id, i, run, min(doc_id) OVER (PARTITION BY run) AS first, min(i) OVER (PARTITION BY doc_id, run) AS own FROM w WHERE length(run) >= {MIN_CHARS} AND key <> ''),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {RUN})) AS i FROM r WHERE doc_id > first OR i > own),
+a AS (SELECT doc_id, i, key, sum(length(key) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM k),
+e AS (SELECT x.doc_id, x.i, min(y.i) AS j FROM a x JOIN a y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i + {RUN - 1} AND x.i + {RUN + MIN_CHARS} AND y.c - x.c + length(x.key) + 1 >= {MIN_CHARS + 1}
+      WHERE x.key <> '' GROUP BY x.doc_id, x.i),
+l AS (SELECT doc_id, list(key ORDER BY i) AS keys FROM k GROUP BY doc_id),
+w AS (SELECT doc_id, i, j, array_to_string(keys[i : j], chr(31)) AS run FROM e JOIN l USING (doc_id)),
+r AS (SELECT doc_id, i, j, run, min(doc_id) OVER (PARTITION BY run) AS first, min(i) OVER (PARTITION BY doc_id, run) AS own FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM r WHERE doc_id > first OR i > own),
 f AS (SELECT doc_id, list(DISTINCT first ORDER BY first) AS ids FROM r WHERE doc_id > first GROUP BY doc_id),
 c AS (SELECT k.doc_id, count(*) FILTER (k.key <> '' OR k.i > 1) AS n_sentences, count(g.i) AS n_removed,
              coalesce(string_agg(k.part, '' ORDER BY k.i) FILTER (g.i IS NULL), '') AS clean

@@ -41,19 +41,19 @@ def test_lines(spark, broadcast_lines):
     assert drop_lines(docs.limit(0), F.col("host")).collect() == []
 
 
-def brute_spans(rows, run=3, least=50):
+def brute_spans(rows, run=3, least=120):
     where = defaultdict(list)
     parts = {i: sentences(t) for i, t in rows}
     for i, p in parts.items():
         keys = [x.rstrip(BLANK + ".!?") for x in p]
-        for k in range(len(p) - run + 1):
-            text = "|".join(keys[k : k + run])
-            if i is not None and keys[k] and len(text) >= least:
-                where[text].append((i, k))
+        for k in range(len(p)):
+            ends = [e for e in range(k + run, len(p) + 1) if len("|".join(keys[k:e])) >= least]
+            if i is not None and keys[k] and ends:
+                where["|".join(keys[k : ends[0]])].append((i, k, ends[0]))
     gone, firsts = defaultdict(set), defaultdict(set)
     for at in where.values():
-        for i, k in sorted(at)[1:]:
-            gone[i].update(range(k, k + run))
+        for i, k, e in sorted(at)[1:]:
+            gone[i].update(range(k, e))
             if i != min(at)[0]:
                 firsts[i].add(min(at)[0])
     return sorted(((i, "".join(x for k, x in enumerate(p) if k not in gone[i]) if t is not None else None, len(gone[i]), sorted(firsts[i])) for (i, t), p in zip(rows, parts.values())), key=repr)
@@ -64,7 +64,7 @@ def test_spans(spark):
     lines = ["A fairly long sentence stands here.", "Short one!", "What is the question, then? ", "Nothing\n", "words without end " * 8, "é ü 3.14 is here. ", "\n\n", "Ok."]
     rows = [(i, "".join(rng.choice(lines, int(rng.integers(1, 9))))) for i in range(120)]
     passage = " ".join(f"p{i}" for i in range(55))  # one long sentence
-    rows += [(200, None), (201, ""), (202, "..."), (203, f"Start here. {passage}. End."), (204, f"Other start. {passage}."), (None, f"Third. {passage}."), (205, "same again and again and again. " * 3000)]
+    rows += [(200, None), (201, ""), (202, "..."), (203, f"Start here. {passage}. End."), (204, f"Other start. {passage}."), (None, f"Third. {passage}."), (205, "same again and again and again. " * 300)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed int")
     done = remove_repeats(docs)
     assert done.columns[:3] == docs.columns
