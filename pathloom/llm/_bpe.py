@@ -38,7 +38,10 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            named = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+            if piece.isascii() and piece.isprintable():
+                named = piece.replace(" ", _BYTE_NAMES[32])
+            else:
+                named = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
             ids = array("I", [t.id for t in self.merge(named)]).tobytes()
         self[piece] = ids
         return ids
@@ -50,7 +53,7 @@ class Encoder:
     remember: pieces after which a new generation begins; two are held, of about 150 bytes a piece.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -23,9 +23,10 @@ from ._bpe import encoder, vocabulary
 from ._shared import scratch
 
 END_ID = 2
+BATCH_ROWS = 500
 #: The ORC writer's settings.
 ORC_OPTIONS = {
-    "orc.stripe.size": str(32 << 20),
+    "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id",
@@ -33,7 +34,7 @@ ORC_OPTIONS = {
     "orc.write.format": "0.12",
     "compression": "zstd",
 }
-STORED = "doc_id long, part int, start_in_part long, ids array<int>"
+STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
 def write_tokens(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> None:
@@ -44,18 +45,35 @@ def write_tokens(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):  # bounds the ids held at once
-                own = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, BATCH_ROWS):  # bounds the ids held at once
+                own = batch.slice(first, BATCH_ROWS)
                 ids = [enc.encode(t.as_py()) + end for t in own.column(1)]
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids])
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                columns = [own.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends[:-1] + before), lists]
+                columns = [own.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends[:-1] + before), pa.array(np.diff(ends)), lists]
                 before += int(ends[-1])
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start_in_part", "ids"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, STORED).write.options(**ORC_OPTIONS).orc(to)
+    rows = _by_range(plain).sortWithinPartitions("doc_id").mapInArrow(run, STORED)
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_ROWS))  # less text at a time between Spark and its workers
+    try:
+        rows.write.options(**ORC_OPTIONS).orc(to)
+    finally:
+        conf.set(key, before)
+
+
+def _by_range(plain: DataFrame) -> DataFrame:
+    """plain dealt out by ranges of doc_id, so that part numbers ascend with the ids. Only the ids are read to find the
+    ranges; a range partitioner would read the texts a second time."""
+    n = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
+    cuts = plain.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0] or []
+    bounds = F.from_json(F.lit(str(sorted(set(cuts)))), "array<bigint>")
+    return plain.repartitionById(n, F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)))
 
 
 def read_tokens(spark: SparkSession, at: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -69,12 +87,12 @@ def digest(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             at, raw = lists.offsets.to_numpy(), memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
-    sizes = stored.groupBy("part").agg(F.sum(F.size("ids")).alias("part_tokens"))
+    sizes = stored.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("part_tokens").over(order), F.lit(0)).alias("base"))
     rows = stored.mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
