@@ -1,6 +1,6 @@
 """Operator 4: benchmark decontamination by suffix arrays over the training text.
 
-Each batch of documents is a shard. Words that no benchmark item contains split its text; the suffixes between those
+Each few megabytes of documents are a shard. Words that no benchmark item contains split its text; the suffixes between those
 splits that are long enough to match are sorted by their first `window` words, and every test suffix is found in that
 order by binary search. Neighbouring hits on a diagonal join into the longest verbatim matches. Nothing is shuffled.
 
@@ -23,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import row_blocks, text_buffers
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 3 << 20
 SCHEMA = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
     "longest long, longest_item string, longest_item_start long, longest_start long"
@@ -110,6 +113,15 @@ def _each(indexes: list) -> Iterator[TestIndex]:
         yield shared.value if len(indexes) == 1 else shared.load_from_path(shared._path)
 
 
+def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Parts of batches of bounded text size, with the words of each document."""
+    for batch in batches:
+        column = batch.column(text_at)
+        column = column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())
+        for first, last in row_blocks(text_buffers(column)[1], SHARD_BYTES):
+            yield batch.slice(first, last - first), [words_of(t.as_py()) for t in column.slice(first, last - first)]
+
+
 def _starts(words: list[list[bytes]]) -> np.ndarray:
     """First word of each document in a shard; one unknown word stands after each, so that no match spans two."""
     return np.concatenate([[0], np.cumsum(np.array([len(w) + 1 for w in words], np.int64))]).astype(np.int64)
@@ -130,8 +142,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     names = [f"__c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(None if t.as_py() is None else str(t.as_py())) for t in batch.column(at)]
+        for batch, words in _shards(batches, at):
             first, clean = _starts(words), np.ones(len(words), bool)
             for index in _each(indexes):
                 for _, where, _, _ in _hits(index, words, first, window):
@@ -148,8 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     indexes = build_indexes(benchmark, item_col, item_text_col, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column(1)]
+        for batch, words in _shards(batches, 1):
             counts = np.array([len(w) for w in words], np.int64)
             first = _starts(words)
             change = np.zeros(first[-1] + 1, np.int64)
