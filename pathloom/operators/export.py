@@ -83,3 +83,9 @@ def report_sections(findings: DataFrame) -> DataFrame:
 
     rows = findings.select(section.alias("s"), line.alias("line")).where("s is not null").select("s.*", "line")
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("ord").orderBy("line")))
+
+
+def write_json(frames: dict[str, DataFrame], to: str) -> None:
+    """Each frame of a review, or of an evaluation, as JSON lines below `to`."""
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").json(f"{to}/{name}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.functions import catalog, scalars
+from pathloom.operators import filters, requests
 from pathloom.sources import extract, repo, scanners
 from pathloom.streaming import ingress
 
@@ -152,3 +153,21 @@ def extracted_calls(spark, sf_dir):
     body = F.concat(F.lit("int f"), F.col("doc_id").cast("string"), F.lit("(int a) {\n  read(argv[1]);\n"), F.regexp_replace("text", "[(){}]", " "), F.lit("\n  if (a) { memcpy(a, b, 3); }\n}\n"))
     nodes, edges = extract.extract_graph(d.select(F.col("doc_id").cast("string").alias("file_path"), body.alias("text")))
     return nodes.join(edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n_out")), "node_id", "left").select("file_path", "function_name", "line_start", "line_end", "node_type", F.coalesce("n_out", F.lit(0)).alias("n_out"))
+
+
+@query("""WITH f AS (SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.go' ELSE '.cc' END AS file_path, doc_id, lang, text || CASE WHEN lang = 'en' THEN ' a::b' ELSE '' END AS text FROM documents ORDER BY doc_id LIMIT 10)
+SELECT file_path, sha256(text) AS content_hash, 'go' AS language, substr(text, 1, 4000) AS text FROM f WHERE lang = 'en' AND strlen(text) <= 16384 AND doc_id <> 1 ORDER BY doc_id LIMIT 5""")
+def surface_requests(spark, sf_dir):
+    """The first files that pass the guards and have no answer yet."""
+    d = table(spark, sf_dir, "documents")
+    ext = F.when(F.col("lang") == "en", ".go").otherwise(".cc")
+    files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("file_path"), F.col("doc_id").alias("ord"), F.concat("text", F.when(F.col("lang") == "en", " a::b").otherwise("")).alias("text"))
+    known = files.where("ord = 1").select(scalars.content_hash(F.col("text")).alias("content_hash"))
+    return requests.surface_requests(files, known)
+
+
+@query("""SELECT source || '/' || doc_id AS file_path, sha256(text) AS content_hash, 'c++' AS language, substr(text, 1, 8000) AS text FROM documents WHERE strlen(text) < 50000 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def remark_requests(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("doc_id").alias("ord"), "text")
+    bad = files.join(table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("ord")), "ord", "left_semi").select(F.col("file_path").alias("snk_file"), F.lit("PROVEN").alias("status"))
+    return requests.remark_requests(files, filters.unreported_files(files, bad, most=None))

@@ -108,3 +108,20 @@ def test_scalars(spark):
     same = spark.createDataFrame([(None, None, "/p"), (None, None, "/p"), (None, None, "/q"), ("u", "x", "/p")], "a string, b string, c string").select(scalars.repo_id(F.col("a"), F.col("b"), F.col("c")))
     ids = [r[0] for r in same.collect()]
     assert ids[0] == ids[1] != ids[2] and all(len(i) == 16 for i in ids)
+
+
+def test_requests(spark):
+    from pathloom.operators import requests
+
+    files = spark.createDataFrame([(f"f{i}.cpp", i, "#include x\n#include y\n" + "z" * 5000) for i in range(12)] + [("big.cpp", 12, "a::b" * 9000)], "file_path string, ord long, text string")
+    got = requests.surface_requests(files).collect()
+    assert len(got) == 1 or all(len(r.text) == 4000 and r.language == "c++" for r in got) and len(got) == 5
+    known = files.limit(1).select(F.sha2("text", 256).alias("content_hash"))
+    assert requests.surface_requests(files, known).count() == 0  # all hold the same text
+    intent = requests.intent_request(files, "r" * 3000).first()
+    assert intent.files[:2] == ["f0.cpp", "f1.cpp"] and len(intent.readme) == 2000
+    assert {len(r.text) for r in requests.scan_requests(files, files.where("ord > 10")).collect()} == {5022, 12_000}
+    assert requests.remark_requests(files, files).count() == 13
+    answers = spark.createDataFrame([("a", i, i, "c", "d", "e") for i in range(9)], "file_path string, ord int, line int, category string, comment string, suggestion string")
+    assert [r.line for r in requests.remarks(answers).collect()] == [0, 1, 2, 3, 4]
+    assert [one(spark, requests.language(F.lit(f))) for f in ("a.tsx", "b.h")] == ["typescript", "c++"]
