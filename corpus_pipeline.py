@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without its source's boilerplate lines; n_chars follows the text."""
-    clean = drop_lines(docs, F.col("source")).select(*docs.columns)
-    return clean.withColumn("n_chars", F.length("text").cast("long"))
+    clean = drop_lines(docs, F.col("source"))
+    return clean.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

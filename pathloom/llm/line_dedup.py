@@ -9,7 +9,7 @@ all hosts' lists are broadcast where their measured number of lines is below `br
 with the documents of each host dealt over `salts` parts, so that a hot host meets no single task.
 
 Null text stays null and has no lines; rows with a null host form a site of their own. Repeated rows count as pages
-each. An empty table gives an empty result. All working columns begin with two underscores.
+each. An empty table gives an empty result. Working columns begin with __pl_.
 """
 
 from __future__ import annotations
@@ -31,44 +31,44 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per host with any: `__host`, `__drop` (an array of the keys of its boilerplate lines)."""
+    """Per host with any: `__pl_host`, `__pl_drop` (an array of the keys of its boilerplate lines)."""
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANK)))
     distinct = F.array_distinct(F.filter(trimmed, lambda x: F.length(x) > 0))
-    pages = docs.select(host.alias("__host"), distinct.alias("__lines"))
-    totals = pages.groupBy("__host").agg(F.count("*").alias("__pages"))
-    lines = pages.select("__host", F.explode("__lines").alias("__line")).select("__host", _key(F.col("__line")).alias("__key"))
-    counts = lines.groupBy("__host", "__key").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
-    found = counts.alias("c").join(totals.alias("t"), F.col("c.__host").eqNullSafe(F.col("t.__host"))).where(F.col("__n") > ratio * F.col("__pages"))
-    return found.groupBy(F.col("c.__host").alias("__host")).agg(F.collect_list("__key").alias("__drop"))
+    pages = docs.select(host.alias("__pl_host"), distinct.alias("__pl_lines"))
+    totals = pages.groupBy("__pl_host").agg(F.count("*").alias("__pl_pages"))
+    lines = pages.select("__pl_host", F.explode("__pl_lines").alias("__pl_line")).select("__pl_host", _key(F.col("__pl_line")).alias("__pl_key"))
+    counts = lines.groupBy("__pl_host", "__pl_key").agg(F.count("*").alias("__pl_n")).where(F.col("__pl_n") >= min_pages)
+    found = counts.alias("c").join(totals.alias("t"), F.col("c.__pl_host").eqNullSafe(F.col("t.__pl_host"))).where(F.col("__pl_n") > ratio * F.col("__pl_pages"))
+    return found.groupBy(F.col("c.__pl_host").alias("__pl_host")).agg(F.collect_list("__pl_key").alias("__pl_drop"))
 
 
 def drop_lines(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, salts: int = SALTS) -> DataFrame:
     """docs with text_col cleaned, and one more column `__cut`: a struct of n_lines and n_dropped."""
     found = store(boilerplate(docs, host, docs[text_col].cast("string"), ratio, min_pages), "boilerplate")
-    size = found.agg(F.coalesce(F.sum(F.size("__drop")), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.size("__pl_drop")), F.lit(0))).first()[0]
     names = [F.col(f"d.`{c}`") for c in docs.columns]
-    left = docs.select("*", host.alias("__own_host"))
-    met = F.col("d.__own_host").eqNullSafe(F.col("b.__host"))
+    left = docs.select("*", host.alias("__pl_own_host"))
+    met = F.col("d.__pl_own_host").eqNullSafe(F.col("b.__pl_host"))
     if size <= broadcast_lines:
         both = left.alias("d").join(F.broadcast(found).alias("b"), met, "left")
     else:
-        left = left.withColumn("__salt", F.pmod(F.xxhash64(docs[text_col].cast("string")), F.lit(salts)).cast("int"))
-        right = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        both = left.alias("d").join(right.alias("b"), met & (F.col("d.__salt") == F.col("b.__salt")), "left")
-    both = both.select(*names, F.split(F.col(f"d.`{text_col}`").cast("string"), "\n").alias("__lines"), F.col("b.__drop").alias("__drop"))
+        left = left.withColumn("__pl_salt", F.pmod(F.xxhash64(docs[text_col].cast("string")), F.lit(salts)).cast("int"))
+        right = found.withColumn("__pl_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        both = left.alias("d").join(right.alias("b"), met & (F.col("d.__pl_salt") == F.col("b.__pl_salt")), "left")
+    both = both.select(*names, F.split(F.col(f"d.`{text_col}`").cast("string"), "\n").alias("__pl_lines"), F.col("b.__pl_drop").alias("__pl_drop"))
     keys = lambda lines: F.transform(lines, lambda x: _key(F.btrim(x, F.lit(_BLANK))))
-    hit = F.when(F.col("__drop").isNotNull(), F.array_intersect(keys(F.col("__lines")), F.col("__drop")))
-    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__lines", hit.alias("__hit"))
+    hit = F.when(F.col("__pl_drop").isNotNull(), F.array_intersect(keys(F.col("__pl_lines")), F.col("__pl_drop")))
+    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__pl_lines", hit.alias("__pl_hit"))
     kept = F.when(
-        F.size("__hit") > 0,
-        let(F.col("__hit"), lambda h: F.filter(F.col("__lines"), lambda x: (F.length(F.btrim(x, F.lit(_BLANK))) == 0) | ~F.array_contains(h, _key(F.btrim(x, F.lit(_BLANK)))))),
-    ).otherwise(F.col("__lines"))
-    both = both.withColumn("__kept", kept)
+        F.size("__pl_hit") > 0,
+        let(F.col("__pl_hit"), lambda h: F.filter(F.col("__pl_lines"), lambda x: (F.length(F.btrim(x, F.lit(_BLANK))) == 0) | ~F.array_contains(h, _key(F.btrim(x, F.lit(_BLANK)))))),
+    ).otherwise(F.col("__pl_lines"))
+    both = both.withColumn("__pl_kept", kept)
     cut = F.struct(
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__pl_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__pl_lines") - F.size("__pl_kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    return both.select(*[F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], cut.alias("__cut"))
+    return both.select(*[F.array_join("__pl_kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], cut.alias("__cut"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,9 +240,9 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay: the document of smallest id of each component, and rows without an id."""
-    gone = store(link_near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct(), "gone")
+    gone = store(link_near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("id").alias("__pl_gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("__pl_gone"), "left_anti")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,24 @@ def test_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, sf)
     assert at.collect() == []
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    plain = [" ".join(f"v{k}x{i}" for i in range(70)) for k in range(6)]
+    rows = [(1, None, "en", "a", 3), (2, "", "en", "a", 0), (3, plain[0], None, None, 1), (3, plain[0], None, None, 1), (4, plain[0] + " tail", "en", "a", 1), (None, plain[1], "en", "b", None), (5, plain[2], "fr", "b", 1), (6, long, "fr", "b", 1), (7, plain[3], "de", "c", 1)]
+    extra = "`raw.name` string, id long, n_words int, kept boolean, token string, `__t` string, tags array<string>"
+    docs = spark.createDataFrame([(*r, "x", 9, 1, False, "t", "u", ["p"]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "q " * 20), (2, plain[3])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf_dir, at, ids = f"file://{tmp_path}", spark.read.parquet(f"file://{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf_dir)
+        assert at.columns == docs.columns
+        ids.append(sorted(map(str, (r.doc_id for r in at.collect()))))
+    assert ids[0] == ids[1] and ids[0] == ["3", "3", "4", "5", "6", "7", "None"]  # null, empty and short texts fail the base rules
+    assert ids[2] == ["3", "3", "5", "6", "7", "None"]  # 4 is a near copy of 3; rows of one id stay together
+    assert ids[3] == ["3", "3", "5", "6", "None"]  # 7 is a benchmark passage
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted({str(r.doc_id) for r in packed}) == ["3", "5", "6", "None"]
