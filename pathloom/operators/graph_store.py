@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.tables import written
+
 NODE_SCHEMA = (
     "node_id string, file_path string, function_name string, line_start int, line_end int, node_type string, code string, content_hash string, run_id string, repo_id string"
 )
@@ -131,7 +133,7 @@ class GraphStore:
         """Load raw nodes and edges of a repository: all of it at first or if `full`, else only the changed files."""
         full = full or changed is None or not self.has(repo)
         old_nodes, old_edges = self.load()
-        raw = latest(normalise_nodes(nodes, repo, run), ["node_id"], "seq")
+        raw = written(latest(normalise_nodes(nodes, repo, run), ["node_id"], "seq"), "nodes")
         mapped = remap(edges, raw.select("local_id", "node_id").distinct())
         new = raw.drop("local_id", "seq")
         if full:
