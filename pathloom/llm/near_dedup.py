@@ -201,7 +201,9 @@ def _edges(docs: DataFrame, live: DataFrame, matches: int, percent: int, block_r
     sets = store(sets_of(docs.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "id", "left_semi").distinct()), "sets")
     weight = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x["df"])
     postings = live.select("node", weight.alias("weight"), F.explode(F.slice("tokens", 1, F.size("tokens") - matches + 1)).alias("t")).select("node", "weight", F.col("t.token").alias("token"))
-    pivots = postings.groupBy("token").agg(F.max(F.struct("weight", -F.col("node"))).alias("p")).select("token", (-F.col("p.col2")).alias("pivot"))
+    # Written, so that the join below has nothing but its two sides and a hot token's postings may be split.
+    pivots = postings.groupBy("token").agg(F.max(F.struct("weight", -F.col("node"))).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pivots = store(pivots.select("token", (-F.col("p.col2")).alias("pivot")), "pivots")
     pairs = postings.join(pivots, "token").where("node <> pivot").select("node", "pivot").distinct()
     tokens = live.select("node", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
     pairs = pairs.join(tokens, "node").join(tokens.toDF("pivot", "pivot_tokens"), "pivot").where(F.size(F.array_intersect("tokens", "pivot_tokens")) >= matches).select("node", "pivot")
