@@ -125,3 +125,13 @@ def test_requests(spark):
     answers = spark.createDataFrame([("a", i, i, "c", "d", "e") for i in range(9)], "file_path string, ord int, line int, category string, comment string, suggestion string")
     assert [r.line for r in requests.remarks(answers).collect()] == [0, 1, 2, 3, 4]
     assert [one(spark, requests.language(F.lit(f))) for f in ("a.tsx", "b.h")] == ["typescript", "c++"]
+
+
+def test_workers_find_the_package(spark):
+    from pathlib import Path
+
+    from pathloom.functions.tables import ship
+
+    ship(spark)
+    ship(spark)
+    assert spark.sparkContext.environment["PYTHONPATH"].split(":").count(str(Path(__file__).resolve().parents[1])) == 1
