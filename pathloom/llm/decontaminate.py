@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import row_blocks, text_buffers
+from ._shared import row_blocks, ship, text_buffers
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -97,6 +97,7 @@ def search(index: TestIndex, positions: np.ndarray, keys: np.ndarray) -> Iterato
 def build_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> list:
     """Broadcast indexes of all items, each over items of about block_bytes of text."""
     spark = benchmark.sparkSession
+    ship(spark)
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("words"))
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks, indexes = total // block_bytes + 1, []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import discard, hashed_words, mix, row_blocks, store, text_buffers
+from ._shared import discard, hashed_words, mix, row_blocks, ship, store, text_buffers
 from .components import connected_components
 
 WORDS = 5
@@ -171,6 +171,7 @@ def _compare(percent: int):
 
 def classes_of(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Of docs (id, text): one row per row, (id, n_shingles, component_id, kept)."""
+    ship(docs.sparkSession)
     signed = store(signatures(docs, coordinates), "signatures")
     nodes = signed.where("n > 0 and id is not null")
     classes = nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("node"))

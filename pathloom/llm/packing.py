@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bpe import encoder, vocabulary
+from ._shared import ship
 
 WINDOW = 1024
 END_ID = 0
@@ -96,6 +97,7 @@ def _pack_block(docs: list[tuple], first_sequence: int, window: int) -> tuple[li
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece (SCHEMA). Sequence ids are unique over the table and ascend inside a task."""
+    ship(docs.sparkSession)
     path = path or vocabulary("byte_bpe_50k.json")
     end = np.array([end_id], "<u4").tobytes()
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import row_blocks, text_buffers
+from ._shared import row_blocks, ship, text_buffers
 from .automaton import compile_rules, scan
 
 
@@ -58,6 +58,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans: kind:start:end of all rules by start, then rule, comma-joined (code points, end exclusive); base_sha256 is
     the digest of that string over the base rules alone.
     """
+    ship(docs.sparkSession)
     auto = compile_rules([r.trigger for r in rules])
     schema = ", ".join(["doc_id long", *(f"n_{r.kind} long" for r in rules[:base]), "base_sha256 string", "spans string"])
     names = [f.split()[0] for f in schema.split(", ")]

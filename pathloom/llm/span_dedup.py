@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import ship
+
 RUN = 3
 MIN_CHARS = 120
 #: Fixed value: up to eight words, then what ends them; or what stands before the first word.
@@ -64,6 +66,7 @@ def spans(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFr
             own = np.repeat(np.asarray(ids.to_numpy(zero_copy_only=False), np.int64), counts)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1].astype(np.int32)), pa.array(own), pa.array(pos, pa.int32())], names=["h", "g", "id", "pos"])
 
+    ship(docs.sparkSession)
     return docs.where("id is not null").mapInArrow(work, "h long, g int, id long, pos int")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bpe import encoder, vocabulary
-from ._shared import scratch
+from ._shared import scratch, ship
 
 END_ID = 2
 BATCH_ROWS = 500
@@ -39,6 +39,7 @@ STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<in
 
 def write_tokens(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> None:
     """Encode docs and write them to the folder `to`, in ascending order of id over the files' part numbers."""
+    ship(docs.sparkSession)
     path = path or vocabulary("byte_bpe_50k.json")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -92,6 +93,7 @@ def digest(stored: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
+    ship(stored.sparkSession)
     sizes = stored.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("part_tokens").over(order), F.lit(0)).alias("base"))
