@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import catalog
-from pathloom.functions.tables import written
+from pathloom.functions.tables import counted, written
 
 
 def source_nodes(nodes: DataFrame, sources: DataFrame, changed: DataFrame | None = None) -> DataFrame:
@@ -38,8 +38,8 @@ def distances_to(edges: DataFrame, ends: DataFrame, most: int) -> DataFrame:
     frontier = known
     for hop in range(1, most + 1):
         new = edges.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        frontier = written(new.join(known, "node", "left_anti").withColumn("dist", F.lit(hop)), "dist")
-        if frontier.isEmpty():
+        frontier, found = counted(new.join(known, "node", "left_anti").withColumn("dist", F.lit(hop)), "dist")
+        if not found:
             break
         known = known.unionByName(frontier)
     return known
@@ -76,8 +76,8 @@ def expand(
         fresh = ~F.array_contains("path", F.col("dst")) if uniqueness == "node" else ~F.array_contains("trail", F.col("edge"))
         trail = F.array_append("trail", F.col("edge")) if uniqueness == "edge" else F.col("trail")
         step = step.where(fresh).select(F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"), trail.alias("trail"), (F.col("dist") == 0).alias("hit"))
-        step = written(step, "paths")
-        if step.isEmpty():
+        step, reached = counted(step, "paths")
+        if not reached:
             break
         found = step.where("hit").select("path", F.lit(hop).alias("path_len"))
         done = found if done is None else done.unionByName(found)
