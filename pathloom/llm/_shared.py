@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the `[^\x20\x09-\x0D]+` definition, as a Java character class.
@@ -39,6 +39,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+    """store(), and aggregates over the rows, computed while they are written."""
+    seen = Observation()
+    table = store(df.observe(seen, *[v.alias(k) for k, v in values.items()]), name)
+    return table, seen.get
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames made by store()."""
     for df in frames:

@@ -215,7 +215,7 @@ def _edges(docs: DataFrame, live: DataFrame, matches: int, percent: int, block_r
 
     # Lists that still hold several components tie those components into clusters.
     state = store(live.select("node").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "state")
-    open_lists = postings.join(state, "node").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    open_lists = store(postings.join(state, "node").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high"), "open")
     ties = postings.join(state, "node").join(open_lists, "token").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
     clusters = connected_components(ties)
     every = state.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster")), "comp", "left")
