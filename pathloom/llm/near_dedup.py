@@ -174,7 +174,7 @@ def classes_of(docs: DataFrame, coordinates: int = COORDINATES, matches: int = M
     ship(docs.sparkSession)
     signed = store(signatures(docs, coordinates), "signatures")
     nodes = signed.where("n > 0 and id is not null")
-    classes = nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("node"))
+    classes = store(nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("node")), "classes")
     firsts = nodes.join(classes.withColumnRenamed("node", "id"), ["id", "d1", "d2", "n"], "left_semi").select(F.col("id").alias("node"), "tokens").distinct()
     posted = firsts.select("node", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
