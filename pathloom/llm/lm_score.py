@@ -155,8 +155,8 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
-def pair_levels(train: DataFrame, total: int, least: int) -> DataFrame:
-    """(slice, keys, levels, n1 .. as a histogram): packed pairs with a count of `least` or more, by key range."""
+def pair_levels(train: DataFrame, total: int) -> DataFrame:
+    """(slice, keys, levels, n1 .. as a histogram): packed pairs, by key range."""
     buckets = SLICES * max(1, -(-total // (PAIRS_PER_BUCKET * SLICES)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +174,7 @@ def pair_levels(train: DataFrame, total: int, least: int) -> DataFrame:
         keys = np.concatenate([np.cumsum(_unsqueeze(k.as_py()), dtype=np.uint64) for k in group["keys"]])
         counts = np.concatenate([_unsqueeze(c.as_py()) for c in group["counts"]]).astype(np.int64)
         keys, counts = _counted(keys, counts)
-        keep = counts >= least
-        keys, levels = keys[keep], level_of(counts[keep])
+        levels = level_of(counts)
         part = int(group["bucket"][0].as_py()) * SLICES // buckets
         return pa.table({"slice": pa.array([part], pa.int32()), "keys": pa.array([_squeeze(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "levels": pa.array([levels.tobytes()], pa.binary()), "histogram": pa.array([np.bincount(levels, minlength=len(LEVELS) + 1).tolist()], pa.list_(pa.int64()))})
 
@@ -205,7 +204,7 @@ def build_filter(train: DataFrame, counts: DataFrame, total: int, filter_bytes:
     word_hist = np.zeros(len(LEVELS) + 1, np.int64)
     for r in counts.select("c").mapInArrow(tally, "histogram array<long>").collect():
         word_hist += np.array(r.histogram)
-    pairs = store(pair_levels(train, total, 1 if total <= room // 2 else 2), "pairs")
+    pairs = store(pair_levels(train, total), "pairs")
     pair_hist = np.zeros(len(LEVELS) + 1, np.int64)
     for r in pairs.select(F.posexplode("histogram").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
         pair_hist[r.i] = r.n

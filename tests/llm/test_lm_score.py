@@ -83,3 +83,12 @@ def test_filter_holds_what_was_added():
     other = np.setdiff1d(rng.integers(0, 1 << 40, 20_000, dtype=np.uint64), keys)
     assert (f.levels(other) > 0).mean() < 0.05
     assert (_unsqueeze(_squeeze(keys)) == keys).all() and (np.diff(LEVELS) > 0).all()
+
+
+def test_pairs_seen_once_stay_where_copies_abound(spark):
+    # Many tokens but few distinct pairs: all fit, so those seen once count too.
+    rows = [(i, "a b c d e f g h") for i in range(3000) if not held(i)] + [(5000 + i, f"p{i} q{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, score_documents(docs, filter_bytes=16 << 10).collect()), key=repr)
+    off = [abs(g[6] - w[6]) for g, w in zip(got, brute(rows)) if g[0] >= 5000]
+    assert np.median(off) < 1e-9
