@@ -2,9 +2,9 @@
 
 Counts of words and word pairs over the training documents are quantised to levels (exact up to 4, then steps of about
 1.4); an n-gram of level q is inserted q times, as (n-gram, 1) .. (n-gram, q), into one Bloom filter. A reader probes levels
-upwards until one is missing. The filter has at most `filter_bytes` bytes, whatever the corpus: if all n-grams would need more,
-pairs and then words below a count, chosen from the exact counts of counts, are left out and back off. It is built in
-slices by key range in parallel and broadcast.
+upwards until one is missing. Every n-gram is in it, at 10 bits an entry, so it grows with the corpus. It is a table of slices by
+key range, more of them for more text, so that none takes over about `filter_bytes` bytes. Texts go through in chunks: each sends its
+distinct keys to their slices and gets their levels back, so that a worker holds one slice at a time and the driver none.
 
 The probability of a word after another is lam * c(pair) / c(first) + (1 - lam) * (c(word) + 1) / (N + V + 1), all counts
 by probes (lam only where the first was seen); the text's start counts as after an end.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ._shared import hashed_words, mix, row_blocks, ship, store, text_buffers
 
+#: Bytes of one slice of the filter, about.
 FILTER_BYTES = 32 << 20
 BITS_PER_ENTRY = 10
 PROBES = 4
@@ -38,8 +39,11 @@ SLICES = 64
 #: Text that is counted, and that is scored, at once; bounds on a worker's memory.
 CHUNK_BYTES = 8 << 20
 SCORE_BYTES = 3 << 20
-#: Pairs that one reducer merges, about; a bound on its memory.
+#: Pairs that one slice merges, about, and text for each of them; bounds on a worker's memory.
 PAIRS_PER_BUCKET = 4_000_000
+BYTES_PER_TOKEN = 6
+#: Small texts have fewer than SLICES slices of about so many tokens; tiny filters give more false positives.
+LEAST_PER_SLICE = 1 << 16
 END = np.uint64(0x51ED270B9F3C2A11)
 _levels = [1, 2, 3, 4]
 while _levels[-1] < 1 << 50:
@@ -62,20 +66,20 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class CountFilter:
-    """40-bit keys with levels; the top bits of a key name its slice."""
+    """40-bit keys with levels, in slices by key range."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits  # uint8, SLICES x bytes per slice
-        self.flat, self.width = bits.ravel(), np.uint64(8 * bits.shape[1])
+        self.bits = bits  # uint8, slices x bytes per slice
+        self.flat, self.slices, self.width = bits.ravel(), np.uint64(bits.shape[0]), np.uint64(8 * bits.shape[1])
 
     @classmethod
-    def empty(cls, slice_bytes: int) -> CountFilter:
-        return cls(np.zeros((SLICES, slice_bytes), np.uint8))
+    def empty(cls, slice_bytes: int, slices: int = SLICES) -> CountFilter:
+        return cls(np.zeros((slices, slice_bytes), np.uint8))
 
     def _places(self, keys: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
         h = mix(keys * np.uint64(0x9FB21C651E98DF25) + np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         low, step = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-        base = (keys >> np.uint64(34)) * self.width
+        base = (keys * self.slices >> np.uint64(40)) * self.width
         for i in range(PROBES):
             yield base + (low + np.uint64(i) * step) % self.width
 
@@ -155,87 +159,92 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
-def pair_levels(train: DataFrame, total: int) -> DataFrame:
-    """(slice, keys, levels, n1 .. as a histogram): packed pairs, by key range."""
-    buckets = SLICES * max(1, -(-total // (PAIRS_PER_BUCKET * SLICES)))
+def _packed(keys: np.ndarray, slices: int) -> list[tuple[int, int, int, bytes]]:
+    """(slice, first, last, packed keys) of ascending keys, for each slice that has any."""
+    edges = ((np.arange(slices + 1, dtype=np.uint64) << np.uint64(40)) + np.uint64(slices - 1)) // np.uint64(slices)
+    at = np.searchsorted(keys, edges).tolist()
+    return [(s, i, j, _squeeze(np.diff(keys[i:j], prepend=np.uint64(0)))) for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(buckets + 1, dtype=np.float64) * (float(1 << 40) / buckets)).astype(np.uint64)
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_unsqueeze(data), dtype=np.uint64)
+
+
+def build_filter(train: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
+    """(slice, bits): the filter over all pairs and words of train (id, text), each slice as large as its entries ask for."""
+
+    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        own = _packed(keys, slices)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int32()), pa.array([r[3] for r in own], pa.binary()), pa.array([_squeeze(counts[i:j]) for _, i, j, _ in own], pa.binary())], names=["slice", "keys", "counts"])
+
+    def deal_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, firsts in _chunks(batches):
             tokens, _ = _with_ends(words, firsts)
-            keys, counts = _counted(pair_keys(_before(tokens), tokens))
-            at = np.searchsorted(keys, edges)
-            rows = [(b, _squeeze(np.diff(keys[i:j], prepend=np.uint64(0))), _squeeze(counts[i:j])) for b, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if j > i]
-            if rows:
-                b, k, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "keys", "counts"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.cumsum(_unsqueeze(k.as_py()), dtype=np.uint64) for k in group["keys"]])
-        counts = np.concatenate([_unsqueeze(c.as_py()) for c in group["counts"]]).astype(np.int64)
-        keys, counts = _counted(keys, counts)
-        levels = level_of(counts)
-        part = int(group["bucket"][0].as_py()) * SLICES // buckets
-        return pa.table({"slice": pa.array([part], pa.int32()), "keys": pa.array([_squeeze(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "levels": pa.array([levels.tobytes()], pa.binary()), "histogram": pa.array([np.bincount(levels, minlength=len(LEVELS) + 1).tolist()], pa.list_(pa.int64()))})
+            yield rows(*_counted(pair_keys(_before(tokens), tokens)))
 
-    dealt = train.mapInArrow(deal, "bucket int, keys binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(merge, "slice int, keys binary, levels binary, histogram array<long>")
+    def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = word_keys(batch.column(0).to_numpy().view(np.uint64))
+            order = np.argsort(keys)
+            yield rows(keys[order], batch.column(1).to_numpy()[order])
 
+    def fill(group: pa.Table) -> pa.Table:
+        # Pair counts are parts of sums, word counts are whole; keys of the two kinds are hashed apart.
+        keys = np.concatenate([_unpacked(k.as_py()) for k in group["keys"]])
+        keys, counts = _counted(keys, np.concatenate([_unsqueeze(c.as_py()) for c in group["counts"]]).astype(np.int64))
+        levels = level_of(counts)
+        filled = CountFilter.empty(max(64, int(levels.sum(dtype=np.int64)) * BITS_PER_ENTRY // 8 + 1), 1)
+        filled.add(keys, levels)
+        return pa.table({"slice": pa.array([group["slice"][0].as_py()], pa.int32()), "bits": pa.array([filled.flat.tobytes()], pa.binary())})
 
-def _cut(histogram: np.ndarray, room: int) -> tuple[int, int]:
-    """(smallest level kept, entries it makes): all, or as much of the top as fits."""
-    entries = histogram * np.arange(len(histogram))
-    for least in range(1, len(histogram)):
-        if entries[least:].sum() <= room:
-            return least, int(entries[least:].sum())
-    return len(histogram), 0
+    shape = "slice int, keys binary, counts binary"
+    every = train.mapInArrow(deal_pairs, shape).unionByName(counts.select("h", "c").mapInArrow(deal_words, shape))
+    return every.groupBy("slice").applyInArrow(fill, "slice int, bits binary")
 
 
-def build_filter(train: DataFrame, counts: DataFrame, total: int, filter_bytes: int) -> CountFilter:
-    """The filter over all pairs and words of train (id, text), collected in slices: at most filter_bytes."""
-    room = 8 * filter_bytes // BITS_PER_ENTRY
+def text_chunks(plain: DataFrame) -> DataFrame:
+    """(cid, docs): rows (id, text) of plain in parts of bounded text size, as compressed Arrow data. cid is the number of the part's first row."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(LEVELS) + 1, np.int64)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            seen += np.bincount(level_of(batch.column(0).to_numpy()), minlength=len(seen))
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["histogram"])
-
-    word_hist = np.zeros(len(LEVELS) + 1, np.int64)
-    for r in counts.select("c").mapInArrow(tally, "histogram array<long>").collect():
-        word_hist += np.array(r.histogram)
-    pairs = store(pair_levels(train, total), "pairs")
-    pair_hist = np.zeros(len(LEVELS) + 1, np.int64)
-    for r in pairs.select(F.posexplode("histogram").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
-        pair_hist[r.i] = r.n
-    least_word, words_in = _cut(word_hist, room // 2)
-    least_pair, pairs_in = _cut(pair_hist, room - words_in)
-    slice_bytes = max(64, min(filter_bytes, (words_in + pairs_in) * BITS_PER_ENTRY // 8 + 1) // SLICES)
-
-    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for first, last in row_blocks(text_buffers(batch.column(1))[1], SCORE_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(first, last - first))
+                yield pa.RecordBatch.from_arrays([pa.array([cid]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["cid", "docs"])
+                cid += last - first
+
+    return plain.mapInArrow(work, "cid long, docs binary")
+
+
+def _tokens_of(docs: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, tokens, first of each row, pair keys, ascending keys of all n-grams) of one chunk."""
+    batch = pa.ipc.open_stream(docs).read_next_batch()
+    tokens, starts = _with_ends(*hashed_words(*text_buffers(batch.column(1))))
+    pairs = pair_keys(_before(tokens), tokens)
+    return batch.column(0), tokens, starts, pairs, np.unique(np.concatenate([np.unique(word_keys(np.append(tokens, END))), pairs]))
+
+
+def probed_levels(chunks: DataFrame, model: DataFrame, slices: int) -> DataFrame:
+    """(cid, slice, levels): of each chunk's keys, dealt to the filter's slices; a worker holds one slice at a time."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            levels = level_of(batch.column(1).to_numpy())
-            keys = word_keys(batch.column(0).to_numpy().view(np.uint64))[levels >= least_word]
-            order = np.argsort(keys)
-            keys, levels = keys[order], levels[levels >= least_word][order]
-            at = np.searchsorted(keys >> np.uint64(34), np.arange(SLICES + 1, dtype=np.uint64))
-            own = [(s, i, j) for s, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if j > i]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in own], pa.int32()), pa.array([_squeeze(np.diff(keys[i:j], prepend=np.uint64(0))) for _, i, j in own], pa.binary()), pa.array([levels[i:j].tobytes() for _, i, j in own], pa.binary())], names=["slice", "keys", "levels"])
+            for cid, docs in zip(batch.column(0), batch.column(1), strict=True):
+                own = _packed(_tokens_of(docs.as_py())[-1], slices)
+                yield pa.RecordBatch.from_arrays([pa.array([cid.as_py()] * len(own), pa.int64()), pa.array([r[0] for r in own], pa.int32()), pa.array([r[3] for r in own], pa.binary())], names=["cid", "slice", "keys"])
 
-    def fill(group: pa.Table) -> pa.Table:
-        filled, which = CountFilter.empty(slice_bytes), int(group["slice"][0].as_py())
-        for k, v, pair in zip(group["keys"], group["levels"], group["pair"], strict=True):
-            keys, levels = np.cumsum(_unsqueeze(k.as_py()), dtype=np.uint64), np.frombuffer(v.as_py(), np.uint8)
-            keep = levels >= (least_pair if pair.as_py() else least_word)
-            filled.add(keys[keep], levels[keep])
-        return pa.table({"slice": pa.array([which], pa.int32()), "bits": pa.array([filled.bits[which].tobytes()], pa.binary())})
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if len(held) else np.zeros(64, np.uint8)
+        own, found = CountFilter(bits.reshape(1, -1)), []
+        for k in asked["keys"]:
+            levels = own.levels(_unpacked(k.as_py()))
+            found.append(len(levels).to_bytes(8, "little") + pa.compress(levels.tobytes(), "zstd", asbytes=True))
+        return pa.table({"cid": asked["cid"], "slice": asked["slice"], "levels": pa.array(found, pa.binary())})
 
-    packed = counts.select("h", "c").mapInArrow(pack_words, "slice int, keys binary, levels binary")
-    every = packed.withColumn("pair", F.lit(False)).unionByName(pairs.select("slice", "keys", "levels", F.lit(True).alias("pair")))
-    done = CountFilter.empty(slice_bytes)
-    for r in every.groupBy("slice").applyInArrow(fill, "slice int, bits binary").collect():
-        done.bits[r["slice"]] = np.frombuffer(r.bits, np.uint8)
-    return done
+    asked = chunks.mapInArrow(ask, "cid long, slice int, keys binary")
+    return asked.groupBy("slice").cogroup(model.groupBy("slice")).applyInArrow(answer, "cid long, slice int, levels binary")
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, rare array<long>"
@@ -259,41 +268,46 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = counts.where(F.floor(F.log2("c") * 4) >= reach).collect() if reach is not None else []
     top_h = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(top_h)
-    filled = build_filter(train, counts, total, filter_bytes)
-    shared = spark.sparkContext.broadcast((top_h[order], np.array([r.c for r in top], np.int64)[order], filled.bits))
+    # Slices of bounded size, by what may go into one (train) and be asked of one (all text).
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    most = min(PAIRS_PER_BUCKET, max(1, filter_bytes * 8 // BITS_PER_ENTRY))
+    tokens = max(1, total, size // BYTES_PER_TOKEN)
+    slices = max(-(-tokens // most), min(SLICES, -(-tokens // LEAST_PER_SLICE)))
+    model = store(build_filter(train, counts, slices), "filter")
+    chunks = store(text_chunks(plain), "chunks")
+    answers = probed_levels(chunks, model, slices)
+    shared = spark.sparkContext.broadcast((top_h[order], np.array([r.c for r in top], np.int64)[order]))
     ground = total + distinct + 1
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, bits = shared.value
-        model, rid = CountFilter(bits), TaskContext.get().partitionId() << 36
-        for ids, words, firsts in _chunks(batches, SCORE_BYTES):
-            tokens, starts = _with_ends(words, firsts)
-            own, back = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            in_head = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-            exact = np.where(in_head, values[at], 0) if len(keys) else np.zeros(len(own), np.int64)
-            seen = MEANS[model.levels(word_keys(own))]
-            pairs, pair_back = np.unique(pair_keys(_before(tokens), tokens), return_inverse=True)
-            joint = MEANS[model.levels(pairs)][pair_back]
-            single = seen[back]
-            first = np.concatenate([seen[np.searchsorted(own, END)][None], single[:-1]])
-            plain_p = (single + 1) / ground
-            mixed = np.where(first > 0, lam * np.minimum(1.0, joint / np.maximum(first, 1.0)) + (1 - lam) * plain_p, plain_p)
-            per_row = lambda x: np.add.reduceat(x, starts[:-1])
-            rare = ~in_head[back]
-            ends = np.concatenate([[0], np.cumsum(per_row(rare.astype(np.int64)))])
-            names = [i.as_py() for i in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rid + np.arange(len(names))), ids, pa.array([i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in names]),
-                    pa.array(np.diff(starts)), pa.array(per_row((exact > 0)[back].astype(np.int64))), pa.array(per_row(np.log10(exact + 1.0)[back])),
-                    pa.array(per_row(np.log10(mixed))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[rare].view(np.int64))),
-                ],
-                names=[f.split()[0] for f in SCORED.split(", ")],
-            )
-            rid += len(names)
-
-    scored = store(plain.mapInArrow(work, SCORED), "scored")
+    def work(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        keys, values = shared.value
+        rid = chunk["cid"][0].as_py()
+        ids, tokens, starts, pairs, grams = _tokens_of(chunk["docs"][0].as_py())
+        parts = [found["levels"][int(i)].as_py() for i in np.argsort(found["slice"].to_numpy())]
+        levels = np.concatenate([np.frombuffer(pa.decompress(p[8:], int.from_bytes(p[:8], "little"), "zstd", asbytes=True), np.uint8) for p in parts])
+        count = lambda k: MEANS[levels[np.searchsorted(grams, k)]]
+        own, back = np.unique(tokens, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        in_head = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        exact = np.where(in_head, values[at], 0) if len(keys) else np.zeros(len(own), np.int64)
+        joint, single = count(pairs), count(word_keys(own))[back]
+        first = np.concatenate([count(word_keys(np.array([END]))), single[:-1]])
+        plain_p = (single + 1) / ground
+        mixed = np.where(first > 0, lam * np.minimum(1.0, joint / np.maximum(first, 1.0)) + (1 - lam) * plain_p, plain_p)
+        per_row = lambda x: np.add.reduceat(x, starts[:-1])
+        rare = ~in_head[back]
+        ends = np.concatenate([[0], np.cumsum(per_row(rare.astype(np.int64)))])
+        names = [i.as_py() for i in ids]
+        return pa.Table.from_arrays(
+            [
+                pa.array(rid + np.arange(len(names))), ids, pa.array([i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in names]),
+                pa.array(np.diff(starts)), pa.array(per_row((exact > 0)[back].astype(np.int64))), pa.array(per_row(np.log10(exact + 1.0)[back])),
+                pa.array(per_row(np.log10(mixed))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[rare].view(np.int64))),
+            ],
+            names=[f.split()[0] for f in SCORED.split(", ")],
+        )
+
+    scored = store(chunks.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(work, SCORED), "scored")
     rare = scored.select("rid", F.explode("rare").alias("h")).join(counts, "h").groupBy("rid").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
     both = scored.drop("rare").join(rare, "rid", "left")
     base = F.col("head_sum") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(ground)))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pathloom.llm.lm_score import LEVELS, MEANS, CountFilter, _squeeze, _unsqueeze, level_of, score_documents
+from pathloom.llm.lm_score import LEVELS, MEANS, CountFilter, _packed, _squeeze, _unpacked, _unsqueeze, level_of, score_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,3 +92,14 @@ def test_pairs_seen_once_stay_where_copies_abound(spark):
     got = sorted(map(tuple, score_documents(docs, filter_bytes=16 << 10).collect()), key=repr)
     off = [abs(g[6] - w[6]) for g, w in zip(got, brute(rows)) if g[0] >= 5000]
     assert np.median(off) < 1e-9
+
+
+def test_small_slices_leave_nothing_out(spark):
+    rows = rows_of_words()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, score_documents(docs, filter_bytes=512).collect()), key=repr)
+    assert np.mean([abs(g[6] - w[6]) / w[2] for g, w in zip(got, brute(rows))]) < 0.03
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000, dtype=np.uint64))
+    parts = _packed(keys, 192)
+    assert len(parts) == 192 and (np.concatenate([_unpacked(p[3]) for p in parts]) == keys).all()
+    assert all((keys[i:j] * np.uint64(192) >> np.uint64(40) == s).all() for s, i, j, _ in parts)
