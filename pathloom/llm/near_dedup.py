@@ -12,8 +12,8 @@
    counting common shingles over an inverted list; pairs already connected are skipped. Only links that join
    components come back, so no group is expanded into its pairs.
 
-With 32 coordinates and 15 matches a pair at similarity 0.85 is missed with probability below 1e-7, a closer one
-less. Nothing is capped. Work on a group of n near copies is n for those linked to the pivot and (others x n) in blocks.
+`matches` follows from `percent`: the most at which a pair at that similarity is missed with probability below 1e-7, a closer one
+less (15 of 32 coordinates at 0.85, 12 at 0.8). Nothing is capped. Work on a group of n near copies is n for those linked to the pivot and (others x n) in blocks.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than five words is one shingle. Null, empty and
 blank texts have no shingles, link with nothing and are kept. Rows of equal id are one document and share its
@@ -22,6 +22,7 @@ component; rows with a null id link with nothing (component null, kept). An empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ from .components import connected_components
 WORDS = 5
 PERCENT = 85
 COORDINATES = 32
-MATCHES = 15
+#: Most probability that a pair at the threshold itself is missed.
+MISS = 1e-7
 BLOCK_ROWS = 512
 BLOCK_BYTES = 32 << 20
 BROADCAST_IDS = 1_000_000
@@ -46,6 +48,19 @@ _FLIP = _rng.integers(0, 1 << 63, 64, dtype=np.uint64)
 _TIMES = _rng.integers(1 << 60, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
+    """The most matches to ask for: a pair of similarity percent / 100 has fewer with probability below MISS."""
+    p, missed, matches = percent / 100, 0.0, 0
+    while matches < coordinates:
+        missed += math.comb(coordinates, matches) * p**matches * (1 - p) ** (coordinates - matches)
+        if missed >= MISS:
+            break
+        matches += 1
+    if not matches:
+        raise ValueError(f"{coordinates} coordinates are too few for {percent} percent")
+    return matches
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, one row after the other, and the first of each row."""
     words, firsts = hashed_words(raw, offsets)
@@ -169,9 +184,10 @@ def _compare(percent: int):
     return work
 
 
-def classes_of(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def classes_of(docs: DataFrame, coordinates: int = COORDINATES, matches: int | None = None, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Of docs (id, text): one row per row, (id, n_shingles, component_id, kept)."""
     ship(docs.sparkSession)
+    matches = matches or matches_for(percent, coordinates)
     signed = store(signatures(docs, coordinates), "signatures")
     nodes = signed.where("n > 0 and id is not null")
     classes = store(nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("node")), "classes")

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pathloom.llm.components import connected_components
-from pathloom.llm.near_dedup import keep_one_of_each, link_near_duplicates
+from pathloom.llm.near_dedup import keep_one_of_each, link_near_duplicates, matches_for
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +79,15 @@ def test_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(1, 61)}, **{b: 1000 for a, b in edges if a == 1000}, 500: 0, 501: 0}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_matches_follow_percent(spark):
+    # 58 of 106 shingles in common, 0.547: 15 of 32 coordinates would be too many to ask for.
+    rows = []
+    for k in range(60):
+        w = [f"k{k}w{i}" for i in range(86)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:62], *[f"k{k}x{i}" for i in range(24)]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one_of_each(docs, percent=50).collect()) == list(range(0, 120, 2))
+    assert keep_one_of_each(docs).count() == 120
+    assert [matches_for(p) for p in (80, 85)] == [12, 15]
