@@ -8,7 +8,8 @@ The benchmark is indexed in blocks of bounded size (by its bytes, measured first
 searched by one block after the other, so neither driver nor worker holds more than a block.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item of fewer words than a window is one
-window; null or empty items and documents have no words and match nothing. Equal items each count. Every row gives
+window; items and documents of null or empty text have no words and match nothing. Equal items each count; all items with a null
+name are one item, which counts in n_hit, n_items and contaminated but has no name in the digest. Every row gives
 a row; an empty table gives an empty result, and an empty benchmark leaves all clean. Other columns are not read.
 """
 
@@ -46,7 +47,7 @@ class TestIndex:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocab: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
         by_length: dict[int, list[tuple[bytes, int, int]]] = {}
@@ -103,7 +104,7 @@ def build_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, windo
     blocks, indexes = total // block_bytes + 1, []
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
-        rows = sorted((r.item, words_of(r.words)) for r in own.where("item is not null").collect())
+        rows = sorted(((r.item, words_of(r.words)) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
         indexes.append(spark.sparkContext.broadcast(TestIndex(rows, window)))
     return indexes
 
@@ -156,7 +157,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document (SCHEMA). longest: words of its longest verbatim match of a window or more, 0 if none;
-    on a tie the first in the document, then of the first item as a string."""
+    on a tie the first in the document, then of the first item as a string, one without a name last."""
     indexes = build_indexes(benchmark, item_col, item_text_col, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +165,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             counts = np.array([len(w) for w in words], np.int64)
             first = _starts(words)
             change = np.zeros(first[-1] + 1, np.int64)
-            names: list[set[str]] = [set() for _ in words]
-            best: list[tuple] = [(0, 0, "", 0)] * len(words)
+            names: list[set[str | None]] = [set() for _ in words]
+            best: list[tuple] = [(0, 0, False, "", 0)] * len(words)
             for index in _each(indexes):
                 hits = _hits(index, words, first, window)
                 if not hits:
@@ -185,16 +186,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 head = np.flatnonzero(new)
                 size = np.diff(np.append(head, len(at))) - 1 + length[head]
                 for d, n, i, s, p in zip(doc[head].tolist(), size.tolist(), item[head].tolist(), start[head].tolist(), at[head].tolist(), strict=True):
-                    best[d] = min(best[d], (-n, p - int(first[d]), index.names[i], s))
+                    name = index.names[i]
+                    best[d] = min(best[d], (-n, p - int(first[d]), name is None, name or "", s))
             covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
             n_hit = covered[first[1:] - 1] - covered[first[:-1]]
-            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
+            sha = [hashlib.sha256(",".join(sorted(n for n in x if n is not None)).encode()).hexdigest() for x in names]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
                     pa.array(sha, pa.string()), pa.array(n_hit > 0), pa.array([-b[0] for b in best], pa.int64()),
-                    pa.array([b[2] if b[0] else None for b in best], pa.string()),
-                    pa.array([b[3] if b[0] else None for b in best], pa.int64()), pa.array([b[1] if b[0] else None for b in best], pa.int64()),
+                    pa.array([b[3] if b[0] and not b[2] else None for b in best], pa.string()),
+                    pa.array([b[4] if b[0] else None for b in best], pa.int64()), pa.array([b[1] if b[0] else None for b in best], pa.int64()),
                 ],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import numpy as np
-from pathloom.llm.decontaminate import find_contamination
+from pathloom.llm.decontaminate import drop_contaminated, find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -54,3 +54,17 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, blocks.collect()), key=repr) == want
     assert find_contamination(d.limit(0), b).collect() == []
     assert not any(r.contaminated for r in find_contamination(d, b.limit(0)).collect())
+
+
+def test_items_without_a_name(spark):
+    text = " ".join(f"t{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {text} b"), (2, "clean words"), (3, f"{text} one two three"), (4, "x one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (None, "t0 t1 t2 t3"), (7, "one two three"), (8, None)], "item_id long, text string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [
+        (1, 14, 12, 1, sha(""), True, 12, None, 0, 1), (2, 2, 0, 0, sha(""), False, 0, None, None, None),
+        (3, 15, 15, 2, sha("7"), True, 12, None, 0, 0), (4, 4, 3, 1, sha("7"), True, 3, "7", 0, 1),
+    ]
+    assert sorted(map(tuple, find_contamination(docs, items).collect())) == want
+    assert sorted(map(tuple, find_contamination(docs, items, block_bytes=20).collect())) == want
+    assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == [2]
