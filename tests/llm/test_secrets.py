@@ -1,20 +1,28 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pathloom.llm.automaton import compile_rules, scan
-from pathloom.llm.secrets import BASE_RULES, RULES, find_secrets
+import pytest
+from pathloom.llm.automaton import Matcher, TooManyStates, compile_rules, scan
+from pathloom.llm.secrets import BASE_RULES, RULES, Rule, find_secrets
 
-AUTO = compile_rules([r.trigger for r in RULES])
+# The base kinds as their definition has them: greedy regexes, matches of short values dropped.
+BASE = [
+    (r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+    (r"(AKIA[A-Z0-9]+)", 16),
+    (r"([0-9a-f]+)", 32),
+]
+ALL = BASE + [(r.pattern, r.least) for r in RULES[len(BASE) :]]
 
 
-def brute(text):
+def brute(text, rules=ALL):
     spans = []
-    for k, r in enumerate(RULES):
-        for m in re.finditer(r.pattern, text or ""):
-            if len(m[r.group]) >= r.least:
+    for k, (pattern, least) in enumerate(rules):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[1]) >= least:
                 spans.append((m.start(), k, m.end()))
     return sorted(spans)
 
@@ -28,21 +36,56 @@ def row(doc_id, text):
 PIECES = ["token", "API_KEY", "apikey", "passwd", "=", ":", " ", "  ", '"', "'", "AKIA", "Z9Q", "deadbeef", "0123", "é", ",", "\n", "ghp_", "a" * 36, "eyJ", ".", "-----BEGIN ", "RSA PRIVATE KEY-----", "secret", "x", "日"]
 
 
-def test_automaton_is_small_and_agrees():
-    assert AUTO.states < 8000
-    two = compile_rules(["a(b|c)*d", "[0-9]{3,5}x?"])
+def found(matcher, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return sorted((a, k, b) for k, a, b in matcher.matches(raw, np.array([0, len(raw)])))
 
-    @settings(max_examples=200, deadline=None)
-    @given(st.text("abcd0123x,", max_size=30))
+
+def test_default_rules_are_one_automaton():
+    assert len(Matcher([r.pattern for r in RULES]).banks) == 1
+
+
+def test_matches_agree():
+    patterns = ["a(b|c)*d", "[0-9]{3,5}x?", "abc[0-9]+"]
+    matchers = [Matcher(patterns), Matcher(patterns, most=12)]
+    assert [len(m.banks) for m in matchers] == [1, 3]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text("abcd0123x,", max_size=40))
     def agrees(text):
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, text))
         raw = np.frombuffer(text.encode(), np.uint8)
-        got = scan(two, raw, np.array([0, len(raw)]), lane=4)
-        want = [i for i, p in enumerate(["a(b|c)*d", "[0-9]{3,5}x?"]) if re.search(p, text)]
-        assert sorted({i for m in got[2].tolist() for i in range(2) if m >> i & 1}) == want
+        for matcher in matchers:
+            assert found(matcher, text) == want
+        for lane, few in ((4, 1), (4, 48), (512, 2)):
+            segments = scan(compile_rules(patterns), raw, np.array([0, len(raw)]), lane, few)
+            assert sorted({k for _, _, m in segments for k in range(3) if m >> k & 1}) == sorted({k for _, k, _ in want})
 
     agrees()
 
 
+def test_rules_of_any_bytes_and_number(spark):
+    assert found(Matcher(["abc[0-9]+"]), "x abc123 y") == [(2, 0, 8)]
+    rules = [Rule(f"k{i}", rf"key{i}-[a-z]+") for i in range(200)]
+    docs = spark.createDataFrame([(1, "key7-abc key199-z key70-"), (2, "key1999-x")], "doc_id long, text string")
+    rows = find_secrets(docs, rules=rules, base=0).collect()
+    assert sorted((r.doc_id, r.spans) for r in rows) == [(1, "k7:0:8,k199:9:17"), (2, "")]
+    with pytest.raises(ValueError):
+        compile_rules(["a*"])
+    with pytest.raises(TooManyStates):
+        compile_rules(["a[ab]{12}"], most=100)
+
+
+def test_long_text_without_a_break():
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("ABCdef0123+/"), 1_000_000)) + " token=" + "ab12" * 1000
+    matcher = Matcher([r.pattern for r in RULES])
+    found(matcher, text[-5000:])
+    began = time.process_time()
+    assert [s for s in found(matcher, text) if s[1] == 0] == [s for s in brute(text) if s[1] == 0]
+    assert time.process_time() - began < 5  # about half a second
+
+
 def test_against_brute_force(spark):
     rng = np.random.default_rng(5)
     texts = [None, "", *("".join(rng.choice(PIECES, rng.integers(1, 40))) for _ in range(1500)), "token = " + "ab12" * 50_000, "é" * 3000 + "0123456789abcdef" * 2]
