@@ -2,7 +2,8 @@
 
 The library splits a text into pieces by a fixed pattern and merges bytes inside each piece only, so a piece
 has the same ids wherever it stands. Texts of common characters are split here by an equal pattern, and the
-library encodes each new piece once; texts with other characters go to the library whole.
+library encodes each new piece once; texts with other characters, or with the name of a special token, go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """encode() gives a text's ids as little-endian unsigned 32-bit integers; special tokens are ordinary text.
+    """encode() gives a text's ids, as the library's own call gives them, as little-endian unsigned 32-bit integers.
 
     remember: pieces after which a new generation begins; two are held, of about 150 bytes a piece.
     """
@@ -58,14 +59,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
         self.known = _Pieces(self.library.model.tokenize, {})
         self.remember = remember
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not text.isascii() and _RARE.search(text):
+        if not text.isascii() and _RARE.search(text) or self.special and self.special.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > self.remember:
             self.known = _Pieces(self.known.merge, dict(self.known))

@@ -15,9 +15,7 @@ ROWS = [(3, None, 1, "a"), (1, "", 2, "b"), (2, "one two  three\n\n'quoted' 12½
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
 
 
 def ids(plain, text):
@@ -37,6 +35,14 @@ def test_encoder_equals_library(plain_text):
     assert np.frombuffer(SMALL.encode(plain_text), "<u4").tolist() == SMALL.library.encode(plain_text, add_special_tokens=False).ids
 
 
+def test_special_tokens_are_the_librarys(plain):
+    names = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert names
+    for name in names:
+        for text in (name, f"a {name} b", f"{name}{name}", name[:-1]):
+            assert np.frombuffer(SMALL.encode(text), "<u4").tolist() == ids(plain, text)
+
+
 def test_encoder_every_common_character(plain):
     enc = Encoder(vocabulary("byte_bpe_50k.json"))
     for c in map(chr, range(0x260)):
