@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset."""
+    """spark.checkpoint.dir. Where it is unset a local folder will do only if all runs in one process; elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,6 +36,15 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by written() or counted()."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver does. Where executors do not share that folder,
     submit the package with --py-files."""
