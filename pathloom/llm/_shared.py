@@ -2,43 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import discard, shared_dir, ship
+from ..functions.tables import written as store
+
+__all__ = ["discard", "shared_dir", "ship", "store"]
+
 #: Word separators of the `[^\x20\x09-\x0D]+` definition, as a Java character class.
 SPACES = r"[ \t-\r]+"
 #: Bytes of text handled at once by the vectorised kernels; bounds their memory.
 BLOCK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pathloom/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def store_observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
     """store(), and aggregates over the rows, computed while they are written."""
     seen = Observation()
@@ -46,24 +32,6 @@ def store_observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFram
     return table, seen.get
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by store()."""
-    for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver does. Where executors do not share that folder,
-    submit the package with --py-files."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if root not in known.split(":"):
-        env["PYTHONPATH"] = f"{root}:{known}" if known else root
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind value to a lambda variable, so that body may use it often and it is computed once."""
     return F.transform(F.array(value), body)[0]

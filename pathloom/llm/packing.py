@@ -3,9 +3,10 @@
 A document's ids (and one end id) are first cut into full windows; the rests go, longest first, into the
 tightest open window that still has room, which a segment tree over remaining capacities finds. Input is
 packed in blocks of a bounded number of tokens inside each task, so nothing is shuffled and no task holds more
-than a block; a block leaves at most a few windows short.
+than a block; a block leaves at most a few windows short. Many small partitions are first read together, so that each task
+has `task_bytes` of text or more and padding does not depend on how the input is cut into files.
 
-Null text counts as empty: such a document is its end id alone. Repeated rows are packed as often as they occur.
+Names of special tokens in a text get the library's ids. Ties in length go to the earlier document of the block. Null text counts as empty: such a document is its end id alone. Repeated rows are packed as often as they occur.
 An empty table gives an empty result. Only the id and text columns are read, so other columns may have any name.
 """
 
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._bpe import encoder, vocabulary
 from ._shared import ship
@@ -25,6 +27,7 @@ from ._shared import ship
 WINDOW = 1024
 END_ID = 0
 BLOCK_TOKENS = 4_000_000
+TASK_BYTES = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -95,7 +98,7 @@ def _pack_block(docs: list[tuple], first_sequence: int, window: int) -> tuple[li
     return rows, sequence + windows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row per piece (SCHEMA). Sequence ids are unique over the table and ascend inside a task."""
     ship(docs.sparkSession)
     path = path or vocabulary("byte_bpe_50k.json")
@@ -123,7 +126,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if held:
             yield from flush()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return plain.coalesce(max(1, total // task_bytes)).mapInArrow(run, SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Documents are dealt out by ranges of their id, sorted, encoded and written as OR
 ids, integers are run-length encoded, stripes carry row indexes (minimum and maximum for each stride) and Bloom
 filters on doc_id. A reader splits files by stripes and skips stripes and strides by that metadata.
 
-Null text counts as empty: the document holds the end id alone. Repeated ids keep all their rows. An empty table
-gives an empty result. Rows with a null id come first. Only the id and text columns are read.
+Null text counts as empty: the document holds the end id alone. A very long text is one row, encoded whole. Repeated ids keep
+all their rows, in the order of their texts. An empty table gives an empty result. Rows with a null id come first. Only the
+id and text columns are read. Names of special tokens in a text get the library's ids.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def write_tokens(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = _by_range(plain).sortWithinPartitions("doc_id").mapInArrow(run, STORED)
+    rows = _by_range(plain).sortWithinPartitions("doc_id", "text").mapInArrow(run, STORED)
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     conf.set(key, str(BATCH_ROWS))  # less text at a time between Spark and its workers

@@ -5,8 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pathloom.llm._bpe import Encoder, vocabulary
-from pathloom.llm.packing import CapacityTree, best_fit_decreasing, pack
-from pathloom.llm.token_store import digest, read_tokens, write_tokens
+from pathloom.llm.packing import CapacityTree, best_fit_decreasing, op7_packing, pack
+from pathloom.llm.token_store import digest, op2_token_store, read_tokens, write_tokens
 from tokenizers import Tokenizer
 
 DOCS = "doc_id long, text string, n_words int, __x string"
@@ -114,3 +114,54 @@ def test_pack_pieces(spark, plain):
             at += r.length
         assert at == len(all_ids)
     assert pack(docs.limit(0)).collect() == []
+
+
+def test_packing_of_documents(spark, plain, sf):
+    """The registered query over a whole table in many small files: every id in one piece, little padding."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: [*ids(plain, r.text), 0] for r in docs.collect()}
+    for got in (op7_packing(spark, sf), pack(docs.repartition(40))):
+        rows = got.collect()
+        pieces, used = {}, {}
+        for r in rows:
+            pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+            used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+            assert r.ids_crc32 == crc(want[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(want[r.doc_id])
+        assert {d: sum(n for _, n in p) for d, p in pieces.items()} == {d: len(x) for d, x in want.items()}
+        assert max(used.values()) <= 1024 and sum(used.values()) / (1024 * len(used)) > 0.97
+
+
+def test_store_of_documents(spark, plain, sf):
+    at, want = 0, []
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect()):
+        all_ids = [*ids(plain, r.text), 2]
+        want.append((r.doc_id, at, len(all_ids), crc(all_ids)))
+        at += len(all_ids)
+    assert sorted(map(tuple, op2_token_store(spark, sf).collect())) == want
+
+
+def test_stored_files_prune(spark, tmp_path):
+    """Files hold stripes with row indexes and Bloom filters, and a lookup passes over the rows that they rule out."""
+    docs = spark.range(0, 40_000, 2, 4).selectExpr("id as doc_id", "concat('some words of document number ', id, ' and ', hash(id)) as text")
+    at = f"file://{tmp_path}/t"
+    write_tokens(docs, at)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    streams = set()
+    for f in read_tokens(spark, at).inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getStripes().size() >= 1 and reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            streams |= {x.getKind().toString() for x in rows.readStripeFooter(stripe).getStreamsList()}
+        rows.close()
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= streams
+
+    def rows_read(ids):
+        df = read_tokens(spark, at, ids)
+        found = sorted(r.doc_id for r in df.collect())
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    assert rows_read([12_346]) == ([12_346], 1000)  # one stride
+    found, read = rows_read([20_001, 7_771])  # inside the strides' bounds; Bloom filters know better
+    assert found == [] and read <= 1000
