@@ -7,17 +7,22 @@
 3. Each class is posted under its rarest tokens: of t tokens the first t - matches + 1 (the prefix); two classes that share
    `matches` tokens meet there. In each posting list one class is the pivot, the one whose tokens are the
    most frequent; all others are paired with it. Pairs that collide in enough coordinates are confirmed on full sets.
-4. Confirmed pairs give components. Lists whose members fall into one component are skipped; from what remains, the
-   classes outside a cluster's main component are compared with all its classes, in blocks of bounded size, by
-   counting common shingles over an inverted list; pairs already connected are skipped. Only links that join
-   components come back, so no group is expanded into its pairs.
+4. Confirmed pairs give components. Lists whose members fall into one component are skipped. In each list that still holds
+   several, the classes outside its main component are merged with all its classes, in blocks of bounded size: collisions
+   are counted over the inverted lists of the rarer coordinates (the prefix), the longest lists are skipped and only probed for
+   pairs that can still reach `matches`, and pairs of one component are left out. What comes back is which
+   classes collide enough with which other component, not the pairs.
+5. Only those classes go on with their full sets, in clusters of components that collide, and are compared by counting common
+   shingles; pairs connected meanwhile are skipped. Only links that join components come back.
 
 `matches` follows from `percent`: the most at which a pair at that similarity is missed with probability below 1e-7, a closer one
-less (15 of 32 coordinates at 0.85, 12 at 0.8). Nothing is capped. Work on a group of n near copies is n for those linked to the pivot and (others x n) in blocks.
+less (15 of 32 coordinates at 0.85, 12 at 0.8). Nothing is capped. Work on a group of n near copies is n for those linked to the pivot; each
+of the others costs one merge of the lists it stands on, whose rows are copied once for each block of `block_rows` others.
+A group with many others that all collide with it but link with nothing costs others x n counts, the least that an exact answer can ask.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than five words is one shingle. Null, empty and
-blank texts have no shingles, link with nothing and are kept. Rows of equal id are one document and share its
-component; rows with a null id link with nothing (component null, kept). An empty table gives an empty result.
+blank texts have no shingles, link with nothing and are kept. Very long texts are whole sets like any other. Rows of equal id,
+of equal or other texts, are one document and share its component; rows with a null id link with nothing (component null, kept). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,6 +144,46 @@ def _linked(common, left, right, percent: int):
     return 100 * common >= percent * (left + right - common)
 
 
+def _collide(matches: int):
+    """Which rows of one pair of blocks of a posting list share `matches` tokens with a row of another component."""
+
+    def work(group: pa.Table) -> pa.Table:
+        nodes, comps = group["node"].to_numpy(), group["comp"].to_numpy()
+        side = group["residual_side"].to_numpy(zero_copy_only=False)
+        column = group["tokens"].combine_chunks()
+        values, at = column.values.to_numpy(), column.offsets.to_numpy()
+        sizes = np.diff(at)
+        own, across = np.flatnonzero(side), np.flatnonzero(~side)
+        held_comps = comps[across]
+        # Inverted lists of this block: for each token the rows that hold it, ascending.
+        flat, holder = np.concatenate([values[at[j] : at[j + 1]] for j in across]), np.repeat(np.arange(len(across)), sizes[across])
+        order = np.argsort(flat, kind="stable")
+        held, rows_of = flat[order], holder[order]
+        found: set[tuple[int, int, int]] = set()
+        for i in own.tolist():
+            mine = values[at[i] : at[i + 1]]
+            low, high = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
+            # Merge all lists but the matches - 1 longest; who is on none of them can't reach `matches`.
+            by_length = np.argsort(high - low, kind="stable").tolist()
+            merged, skipped = by_length[: len(mine) - matches + 1], by_length[len(mine) - matches + 1 :]
+            count = np.bincount(np.concatenate([rows_of[low[k] : high[k]] for k in merged]), minlength=len(across))
+            alive = np.flatnonzero((count > 0) & (held_comps != comps[i]))
+            for left, k in zip(range(len(skipped), 0, -1), skipped, strict=True):
+                alive = alive[count[alive] + left >= matches]
+                if not len(alive):
+                    break
+                longer = rows_of[low[k] : high[k]]
+                place = np.searchsorted(longer, alive)
+                count[alive] += (place < len(longer)) & (longer[np.minimum(place, len(longer) - 1)] == alive) if len(longer) else 0
+            for j in across[alive[count[alive] >= matches]].tolist():
+                found.add((int(nodes[i]), int(comps[i]), int(comps[j])))
+                found.add((int(nodes[j]), int(comps[j]), int(comps[i])))
+        rows = list(zip(*found)) or [(), (), ()]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("node", "comp", "other"), rows, strict=True)})
+
+    return work
+
+
 def _compare(percent: int):
     """Links between residual and all classes of one pair of blocks, but those inside a component found so far."""
 
@@ -196,7 +241,8 @@ def classes_of(docs: DataFrame, coordinates: int = COORDINATES, matches: int | N
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     by_node = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     live = store(by_node.where(F.size("tokens") >= matches), "live")
-    edges = _edges(docs, live, matches, percent, block_rows)
+    repeated = not signed.groupBy("id").count().where("count > 1").isEmpty()
+    edges = _edges(docs, live, matches, percent, block_rows, repeated)
     final = connected_components(edges) if edges is not None else None
     out = signed.join(classes, ["d1", "d2", "n"], "left")
     if final is not None:
@@ -208,14 +254,18 @@ def classes_of(docs: DataFrame, coordinates: int = COORDINATES, matches: int | N
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _edges(docs: DataFrame, live: DataFrame, matches: int, percent: int, block_rows: int) -> DataFrame | None:
+def _edges(docs: DataFrame, live: DataFrame, matches: int, percent: int, block_rows: int, repeated: bool) -> DataFrame | None:
     """Confirmed links (a, b) that connect what all confirmed links connect; None without any candidate."""
     count = live.count()
     if not count:
         return None
     # The full sets of the classes that may match. Their ids are broadcast up to a bound, and joined beyond it.
     wanted = live.select(F.col("node").alias("id"))
-    sets = store(sets_of(docs.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "id", "left_semi").distinct()), "sets")
+    texts = docs.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "id", "left_semi")
+    sets = sets_of(texts)
+    if repeated:  # equal rows of one id
+        sets = sets.withColumn("d", F.xxhash64("shingles")).dropDuplicates(["node", "d"]).drop("d")
+    sets = store(sets, "sets")
     weight = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x["df"])
     postings = live.select("node", weight.alias("weight"), F.explode(F.slice("tokens", 1, F.size("tokens") - matches + 1)).alias("t")).select("node", "weight", F.col("t.token").alias("token"))
     # Written, so that the join below has nothing but its two sides and a hot token's postings may be split.
@@ -229,27 +279,41 @@ def _edges(docs: DataFrame, live: DataFrame, matches: int, percent: int, block_r
     links = store(near.where(_linked(F.col("c"), F.col("x"), F.col("y"), percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
     comps = connected_components(links)
 
-    # Lists that still hold several components tie those components into clusters.
-    state = store(live.select("node").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "state")
-    open_lists = store(postings.join(state, "node").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high"), "open")
-    ties = postings.join(state, "node").join(open_lists, "token").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
-    clusters = connected_components(ties)
-    every = state.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster")), "comp", "left")
-    tops = clusters.select(F.col("component").alias("cluster")).distinct()
-    members = every.select("node", "comp", F.coalesce("cluster", "comp").alias("cluster")).join(tops, "cluster", "left_semi")
+    state = store(live.select("node", "tokens").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "tokens"), "state")
+    met = store(_collisions(state, matches, block_rows), "met")
+    clusters = connected_components(met.select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct())
+    of_comp = clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    members = met.select("node", "comp").distinct().join(of_comp, "comp", "left").select("node", "comp", F.coalesce("cluster", "comp").alias("cluster"))
     by_comp = members.join(sets.select("node", (8 * F.size("shingles")).cast("long").alias("bytes")), "node").groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
     sizes = by_comp.groupBy("cluster").agg(F.sum("size").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("size", -F.col("comp"))).alias("m"))
-    # In a cluster of two the only pair has been compared.
-    sizes = sizes.where("size > 2").select("cluster", (-F.col("m.col2")).alias("main"), F.greatest(F.ceil(F.col("size") / block_rows), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = sizes.select("cluster", (-F.col("m.col2")).alias("main"), F.greatest(F.ceil(F.col("size") / block_rows), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = members.join(sizes, "cluster").join(sets, "node").withColumn("residual", F.col("comp") != F.col("main"))
+    more = _in_blocks(rows, ["cluster"], ["node", "comp", "residual", "shingles"]).applyInArrow(_compare(percent), "a long, b long")
+    return links.unionByName(store(more, "more"))
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], columns: list[str]):
+    """rows (with `blocks` and `residual`) in groups (keys, r, b): the residual rows of block r beside all rows of block b."""
     place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["cluster", "r", "b", "node", "comp", "residual", "residual_side", "shingles"]
-    own = rows.where("residual").select("*", place.alias("r"), all_blocks.alias("b"), F.lit(True).alias("residual_side")).select(columns)
-    across = rows.select("*", place.alias("b"), all_blocks.alias("r"), F.lit(False).alias("residual_side")).select(columns)
-    more = own.unionByName(across).groupBy("cluster", "r", "b").applyInArrow(_compare(percent), "a long, b long")
-    more = store(more, "more")
-    return links.unionByName(more)
+    wanted = [*keys, "r", "b", "residual_side", *columns]
+    own = rows.where("residual").select("*", place.alias("r"), all_blocks.alias("b"), F.lit(True).alias("residual_side")).select(wanted)
+    across = rows.select("*", place.alias("b"), all_blocks.alias("r"), F.lit(False).alias("residual_side")).select(wanted)
+    return own.unionByName(across).groupBy(*keys, "r", "b")
+
+
+def _collisions(state: DataFrame, matches: int, block_rows: int) -> DataFrame:
+    """(node, comp, other): classes that share `matches` tokens with a class of another component. state: node, comp, tokens (rarest first)."""
+    prefix = F.slice("tokens", 1, F.size("tokens") - matches + 1)
+    postings = state.select("node", "comp", F.explode(prefix).alias("t")).select("node", "comp", F.col("t.token").alias("token"))
+    by_comp = postings.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    lists = by_comp.groupBy("token").agg(F.sum("size").alias("size"), F.count("*").alias("comps"), F.max(F.struct("size", -F.col("comp"))).alias("m")).where("comps > 1 and size > 2")
+    # In a list of two the only pair has been compared with its pivot. Written, so that the joins below may be split.
+    lists = store(lists.select("token", (-F.col("m.col2")).alias("main"), F.ceil(F.col("size") / block_rows).cast("int").alias("blocks")), "lists")
+    rows = postings.join(lists, "token").join(state.select("node", F.transform("tokens", lambda t: t["token"]).alias("tokens")), "node")
+    rows = rows.withColumn("residual", F.col("comp") != F.col("main"))
+    met = _in_blocks(rows, ["token"], ["node", "comp", "residual", "tokens"]).applyInArrow(_collide(matches), "node long, comp long, other long")
+    return met.distinct()
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -55,7 +55,7 @@ def corpus():
         chain[step * 4] = f"c{step}"
     rows += [rows[3].upper(), rows[3] + "\n", "two words", "Two\tWORDS", "a b c d", "a b c d e", "É É É É É É", "é é é é é é", None, "", " \n", "é " * 20_000]
     order = rng.permutation(len(rows)).tolist()
-    return [(i, rows[k]) for i, k in enumerate(order)] + [(None, rows[3]), (None, None), (5, rows[order[5]])]
+    return [(i, rows[k]) for i, k in enumerate(order)] + [(None, rows[3]), (None, None), (5, rows[order[5]]), (6, rows[130]), (6, rows[330])]
 
 
 @pytest.mark.parametrize("block_rows", [512, 25])
@@ -91,3 +91,18 @@ def test_matches_follow_percent(spark):
     assert sorted(r.doc_id for r in keep_one_of_each(docs, percent=50).collect()) == list(range(0, 120, 2))
     assert keep_one_of_each(docs).count() == 120
     assert [matches_for(p) for p in (80, 85)] == [12, 15]
+
+
+def test_a_large_cluster_is_read_in_proportion(spark):
+    """Groups of texts that all share half their words, so that every list holds all of them, with no link but to their own copy:
+    what is copied and compared with full sets are the classes that collide, not residual times all."""
+    rng = np.random.default_rng(8)
+    hub = [f"h{i}" for i in range(60)]
+    rows = []
+    for k in range(400):
+        own = [f"k{k}w{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(hub + own)), (2 * k + 1, " ".join(hub + own[:-4] + [f"z{k}"]))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(int(i), str(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted((r.id, r.component_id) for r in link_near_duplicates(docs, block_rows=64).collect())
+    assert got == [(i, i - i % 2) for i in range(800)]
