@@ -1,15 +1,20 @@
 """Operator 5: remove sentences covered by a repeated run of sentences.
 
-A sentence ends after . ! ? or a line end; one of more than eight words is cut after each eight. From every sentence starts one run:
-three sentences, and as many more as it takes to reach 120 characters. Runs are hashed to 96 bits and joined globally. The
-first occurrence is that of the smallest doc_id and, inside it, the smallest position; sentences covered by any other are removed.
-
-Inside a document repeats are found locally, so each document sends each of its runs once. Counts are summed
-before the shuffle and joined back per run, so a run that many documents share meets no single task as a group (the
-join's large side may be split). Removed positions, not texts, are gathered, at most one for each run of a document.
-
-Null and empty text have no sentences and are left alone. Rows of equal id are one document for the global order
-(each is cleaned alike); rows with a null id are never first and are left alone. An empty table gives an empty result.
+A sentence ends after . ! ? or an ellipsis (and closing quotes or brackets) before white space, after a full-width stop, and at a
+line end. Long sentences are cut by their content, so that an equal passage is cut equally wherever it stands: after a word whose last
+character's code point (below U+3000) is 3 modulo 5, about each fifth word; and where none comes for 32 words, after these. From
+every sentence starts one run: three sentences, and as many more as it takes to reach 120 characters. Runs are hashed to 96
+bits and joined globally. The first occurrence is that of the smallest doc_id and, inside it, the smallest position; sentences
+covered by any other are removed. Of a repeated passage the parts before its first cut and after its last may stay.
+
+Inside a document repeats are found locally, so each document sends each of its runs once. Runs are written once. Counts are summed
+before the shuffle; only runs that pass a bitmap of bounded size over the repeated ones are joined back with them, so a run that
+many documents share meets no single task as a group (the join's large side may be split). Removed positions, not texts, are
+gathered, at most one for each run of a document.
+
+Null and empty text have no sentences and are left alone; a very long text is cut like any other. Rows of equal id are one
+document for the global order (each is cleaned alike); rows with a null id are never first and are left alone. An empty
+table gives an empty result. Columns of docs may have any name but `__removed`.
 """
 
 from __future__ import annotations
@@ -25,25 +30,45 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ship
+from ._shared import discard, ship, store
 
 RUN = 3
 MIN_CHARS = 120
-#: Fixed value: up to eight words, then what ends them; or what stands before the first word.
-SENTENCE = r"(?:[^ \t-\r.!?]+[ \t\x0b-\r]*){1,8}[.!? \t-\r]*|[.!? \t-\r]+"
-_SENTENCE = re.compile(SENTENCE)
-_ENDS = " \t\n\x0b\x0c\r.!?"
+#: Bits of the bitmap that tells which runs may be repeated (4 MB).
+FILTER_BITS = 1 << 25
+# What ends a sentence.
+WHITE, WIDE_STOPS, STOPS, CLOSING = r" \t-\r", "。！？", ".!?…", "\"')\\]”’»」』"
+MOST_WORDS, CUT_AT, CUT_MODULO = 32, 3, 5
+_CUTS = "".join(re.escape(chr(c)) for c in range(CUT_AT, 0x3000, CUT_MODULO) if c != 0x0D)
+_END = re.compile(rf"\A[{WHITE}]+|[{WIDE_STOPS}]+[{CLOSING}]*[{WHITE}]*|(?:[{STOPS}][{CLOSING}]*|[{_CUTS}])(?:[{WHITE}]+|\Z)|[{WHITE}]*\n[{WHITE}]*")
+_MANY = re.compile(rf"(?:[^{WHITE}]+[{WHITE}]*){{1,{MOST_WORDS}}}")
+_ENDS = " \t\n\x0b\x0c\r" + STOPS + WIDE_STOPS
 
 
 def sentences(text: str | None) -> list[str]:
-    return _SENTENCE.findall(text) if text else []
+    """The parts of text, in order and with all that stands between them; white space before the first word is a part."""
+    if not text:
+        return []
+    parts, at = [], 0
+    for m in _END.finditer(text):
+        end = m.end()
+        if end - at <= 2 * MOST_WORDS or m.start() == 0:
+            parts.append(text[at:end])
+        else:
+            parts.extend(_MANY.findall(text, at, end))
+        at = end
+    if at < len(text):
+        parts.extend(_MANY.findall(text, at))
+    return parts
 
 
 def _runs(parts: list[str], run: int, min_chars: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, end, digest) of every run; what stands before the first word is no sentence."""
+    """(first sentence, end, digest) of every run; none starts at a sentence without words."""
     keys = [p.rstrip(_ENDS) for p in parts]
     at = [0, *accumulate(len(k) + 1 for k in keys)]
-    for i in range(1 if keys and not keys[0] else 0, len(keys) - run + 1):
+    for i in range(len(keys) - run + 1):
+        if not keys[i]:
+            continue
         j = max(i + run, bisect_left(at, at[i] + min_chars + 1, i))
         if j <= len(keys):
             yield i, j, xxhash.xxh3_128_digest("\x1f".join(keys[i:j]).encode("utf-8", "surrogatepass"))
@@ -72,10 +97,25 @@ def spans(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFr
 
 def repeated(docs: DataFrame, run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document with any: id, the positions of its runs that an earlier document has, and those documents."""
-    found = spans(docs, run, min_chars)
-    many = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("h", "g", "first")
-    later = found.join(many, ["h", "g"]).where("id > first")
-    return later.groupBy("id").agg(F.collect_set("pos").alias("pos"), F.collect_set("first").alias("firsts"))
+    found = store(spans(docs, run, min_chars), "runs")
+    many = store(found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("h", "g", "first"), "repeated")
+    bit = F.pmod("h", F.lit(FILTER_BITS)) + 1
+    kept = many.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in kept.collect():
+        own = np.frombuffer(r.bits, np.uint8)
+        bits[(r.bucket - 1) * len(own) : r.bucket * len(own)] = own
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy() & (FILTER_BITS - 1)
+            yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
+
+    later = found.mapInArrow(work, found.schema).join(many, ["h", "g"]).where("id > first")
+    at = store(later.groupBy("id").agg(F.collect_set("pos").alias("pos"), F.collect_set("first").alias("firsts")), "later")
+    discard(found, many)
+    return at
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -123,11 +163,19 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_span_dedup": op5_span_dedup}
-_CHARS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '.!?'"
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_QUOTES = CLOSING.replace("'", "''")
+_PIECE = rf"^[{WHITE}]+|[^{WHITE}{WIDE_STOPS}]*[{WIDE_STOPS}]+[{_QUOTES}]*[{WHITE}]*|[^{WHITE}{WIDE_STOPS}]+[{WHITE}]*"
+_CLOSES = rf"[{WIDE_STOPS}\n]|[{STOPS}][{_QUOTES}]*[{WHITE}]*$|^[{WHITE}]+$"
 ORACLES = {
     "op5_span_dedup": rf"""
-WITH s AS (SELECT doc_id, text, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM (SELECT doc_id, text, regexp_extract_all(text, '{SENTENCE}') AS l FROM documents)),
-k AS (SELECT *, rtrim(part, {_CHARS}) AS key FROM s),
+WITH p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM (SELECT doc_id, regexp_extract_all(text, '{_PIECE}') AS l FROM documents)),
+q AS (SELECT *, unicode(right(rtrim(piece, {_BLANK}), 1)) AS u FROM p),
+v AS (SELECT *, regexp_matches(piece, '{_CLOSES}') OR (u % {CUT_MODULO} = {CUT_AT} AND u < 12288) AS closes FROM q),
+o AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM v),
+y AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY i) - 1) // {MOST_WORDS} AS cut FROM o),
+k AS (SELECT *, rtrim(part, {_BLANK} || '{STOPS}{WIDE_STOPS}') AS key FROM
+      (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i, string_agg(piece, '' ORDER BY i) AS part FROM y GROUP BY doc_id, seg, cut)),
 a AS (SELECT doc_id, i, key, sum(length(key) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM k),
 e AS (SELECT x.doc_id, x.i, min(y.i) AS j FROM a x JOIN a y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i + {RUN - 1} AND x.i + {RUN + MIN_CHARS} AND y.c - x.c + length(x.key) + 1 >= {MIN_CHARS + 1}
       WHERE x.key <> '' GROUP BY x.doc_id, x.i),

@@ -64,7 +64,7 @@ def test_spans(spark):
     lines = ["A fairly long sentence stands here.", "Short one!", "What is the question, then? ", "Nothing\n", "words without end " * 8, "é ü 3.14 is here. ", "\n\n", "Ok."]
     rows = [(i, "".join(rng.choice(lines, int(rng.integers(1, 9))))) for i in range(120)]
     passage = " ".join(f"p{i}" for i in range(55))  # one long sentence
-    rows += [(200, None), (201, ""), (202, "..."), (203, f"Start here. {passage}. End."), (204, f"Other start. {passage}."), (None, f"Third. {passage}."), (205, "same again and again and again. " * 300)]
+    rows += [(200, None), (201, ""), (202, "..."), (206, " " * 100 + "Led in by much. ... And " + "then what? " * 20), (203, f"Start here. {passage}. End."), (204, f"Other start. {passage}."), (None, f"Third. {passage}."), (205, "same again and again and again. " * 300)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed int")
     done = remove_repeats(docs)
     assert done.columns[:3] == docs.columns
@@ -74,3 +74,20 @@ def test_spans(spark):
     assert by_id[203][2] == 0 and by_id[204][2] >= 5 and 203 in by_id[204][3]
     assert remove_repeats(docs.limit(0)).collect() == []
     assert all("".join(sentences(t)) == t for _, t in rows if t)
+
+
+def test_spans_line_up_wherever_they_stand(spark):
+    rng = np.random.default_rng(6)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(4000)]
+    some = lambda n: " ".join(rng.choice(vocab, n))
+    rows, shared = [], {}
+    for k in range(60):  # 60 words that repeat, with other words before them in the same sentence, whose number differs
+        shared[k] = some(60)
+        rows += [(2 * k, f"{some(9)} {shared[k]} {some(8)}."), (2 * k + 1, f"{some(11 + k % 7)} {shared[k]} {some(5)}.")]
+    wide = "".join(f"这是第{i}个句子。" for i in range(30))
+    rows += [(500, wide), (501, "前言" + wide)]
+    clean = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = [sum(w in clean[2 * k + 1].text.split() for w in shared[k].split()) for k in range(60)]
+    assert sum(left) < 0.25 * 60 * 60 and max(left) < 40
+    assert len(sentences(wide)) == 30 and clean[501]["__removed"].n_removed >= 28
+    assert sentences("Pi is 3.14 here. So!") == ["Pi is 3.14 here. ", "So!"]
