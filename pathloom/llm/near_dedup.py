@@ -144,8 +144,29 @@ def _linked(common, left, right, percent: int):
     return 100 * common >= percent * (left + right - common)
 
 
+class _Union:
+    """Components joined so far, each known by its least."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.get(x, x) != x:
+            x = parent[x] = parent.get(parent[x], parent[x])
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """True if the two were apart."""
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _collide(matches: int):
-    """Which rows of one pair of blocks of a posting list share `matches` tokens with a row of another component."""
+    """Which rows of one pair of blocks of a posting list share `matches` tokens with a row of another component; beside each the
+    least of the components that such rows tie to its own."""
 
     def work(group: pa.Table) -> pa.Table:
         nodes, comps = group["node"].to_numpy(), group["comp"].to_numpy()
@@ -159,7 +180,8 @@ def _collide(matches: int):
         flat, holder = np.concatenate([values[at[j] : at[j + 1]] for j in across]), np.repeat(np.arange(len(across)), sizes[across])
         order = np.argsort(flat, kind="stable")
         held, rows_of = flat[order], holder[order]
-        found: set[tuple[int, int, int]] = set()
+        found: set[int] = set()
+        ties = _Union()
         for i in own.tolist():
             mine = values[at[i] : at[i + 1]]
             low, high = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
@@ -175,11 +197,15 @@ def _collide(matches: int):
                 longer = rows_of[low[k] : high[k]]
                 place = np.searchsorted(longer, alive)
                 count[alive] += (place < len(longer)) & (longer[np.minimum(place, len(longer) - 1)] == alive) if len(longer) else 0
-            for j in across[alive[count[alive] >= matches]].tolist():
-                found.add((int(nodes[i]), int(comps[i]), int(comps[j])))
-                found.add((int(nodes[j]), int(comps[j]), int(comps[i])))
-        rows = list(zip(*found)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("node", "comp", "other"), rows, strict=True)})
+            near = across[alive[count[alive] >= matches]]
+            if len(near):
+                found.add(i)
+                found.update(near.tolist())
+                for c in np.unique(comps[near]).tolist():
+                    ties.join(int(comps[i]), c)
+        rows = np.array(sorted(found), np.int64)
+        tied = [ties.root(c) for c in comps[rows].tolist()]
+        return pa.table({"node": pa.array(nodes[rows]), "comp": pa.array(comps[rows]), "other": pa.array(tied, pa.int64())})
 
     return work
 
@@ -199,13 +225,7 @@ def _compare(percent: int):
         held = np.concatenate([values[at[i] : at[i + 1]] for i in across]) if len(across) else np.zeros(0, np.int64)
         order = np.argsort(held, kind="stable")
         held, holder = held[order], holder[order]
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x] = parent.get(parent[x], parent[x])
-            return x
-
+        known = _Union()
         found: list[tuple[int, int]] = []
         for i in own.tolist():
             mine = values[at[i] : at[i + 1]]
@@ -220,9 +240,7 @@ def _compare(percent: int):
             for j in across[near].tolist():
                 if nodes[j] == nodes[i] or loose[j] and nodes[j] < nodes[i]:
                     continue
-                a, b = root(int(comps[i])), root(int(comps[j]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+                if known.join(int(comps[i]), int(comps[j])):
                     found.append((int(nodes[i]), int(nodes[j])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
@@ -281,7 +299,7 @@ def _edges(docs: DataFrame, live: DataFrame, matches: int, percent: int, block_r
 
     state = store(live.select("node", "tokens").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "tokens"), "state")
     met = store(_collisions(state, matches, block_rows), "met")
-    clusters = connected_components(met.select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct())
+    clusters = connected_components(met.select(F.col("comp").alias("a"), F.col("other").alias("b")).where("a <> b").distinct())
     of_comp = clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
     members = met.select("node", "comp").distinct().join(of_comp, "comp", "left").select("node", "comp", F.coalesce("cluster", "comp").alias("cluster"))
     by_comp = members.join(sets.select("node", (8 * F.size("shingles")).cast("long").alias("bytes")), "node").groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
@@ -303,7 +321,8 @@ def _in_blocks(rows: DataFrame, keys: list[str], columns: list[str]):
 
 
 def _collisions(state: DataFrame, matches: int, block_rows: int) -> DataFrame:
-    """(node, comp, other): classes that share `matches` tokens with a class of another component. state: node, comp, tokens (rarest first)."""
+    """(node, comp, other): classes that share `matches` tokens with a class of another component, and a component theirs is tied to, so that
+    (comp, other) connect all that collide; never more rows than the lists have. state: node, comp, tokens (rarest first)."""
     prefix = F.slice("tokens", 1, F.size("tokens") - matches + 1)
     postings = state.select("node", "comp", F.explode(prefix).alias("t")).select("node", "comp", F.col("t.token").alias("token"))
     by_comp = postings.groupBy("token", "comp").agg(F.count("*").alias("size"))
