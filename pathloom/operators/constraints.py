@@ -7,24 +7,80 @@ from pyspark.sql import functions as F
 
 _LEN, _SIZE, _LINE = r",\s*([0-9]+)\s*\)", r"\[([0-9]+)\]", r"(?i)line[_\s]?([0-9]+)"
 
-# Sink families in the order of their test. Families of the last group hold whenever they are reached.
+# Sink families in the order of their test.
 BOUNDED_COPY = ["memcpy", "strncpy", "memmove"]
 UNBOUNDED_COPY = ["strcpy", "strcat", "gets"]
 RELEASE = ["free", "delete", "operator delete", "std::unique_ptr::reset"]
-FREE_FORM = [
-    (["SysFreeString", "CoTaskMemFree"], "released_before_use == True"),
-    (["malloc", "realloc", "mmap"], "is_initialized == False ∧ is_read == True"),
-    (["calloc", "operator new", "new"], "count > 0 ∧ size > 0 ∧ count * size overflows"),
-    (["system", "popen", "exec", "execve", "execl", "execv"], "has_metachar == True ∧ is_user_controlled == True"),
-    (["CopyTo", "Attach", "SysAllocString"], "prev_bstr_allocated == True ∧ freed_before_overwrite == False"),
-    (["os.system", "subprocess.run", "subprocess.call", "subprocess.Popen", "eval"], "shell_input_user_controlled == True ∧ input_sanitized == False"),
-    (["pickle.loads", "pickle.load", "yaml.load", "marshal.loads", "jsonpickle.decode"], "data_from_untrusted_source == True ∧ uses_safe_loader == False"),
-    (["requests.get", "requests.post", "requests.put", "urllib.request.urlopen", "httpx.get", "aiohttp.ClientSession"], "url_user_controlled == True ∧ url_in_allowlist == False"),
-    (["__proto__", "constructor.prototype", "Object.assign", "lodash.merge", "_.merge", "deepmerge"], "object_key_user_controlled == True ∧ key_sanitized_against_proto == False"),
-    (["Function", "setTimeout", "setInterval", "new Function"], "eval_arg_user_controlled == True"),
-    (["db.Query", "db.QueryRow", "db.Exec", "tx.Query", "tx.Exec"], "query_uses_string_concat == True ∧ query_uses_placeholders == False"),
-    (["readObject", "readUnshared", "XStream.fromXML", "ObjectMapper.readValue"], "stream_from_untrusted_source == True ∧ has_deserialization_allowlist == False"),
+RELEASE_PARTS = [
+    "alloc_program_point >= 0",
+    "free_program_point > alloc_program_point",
+    "access_program_point > free_program_point  (use-after-free ordering)",
 ]
+# Families that hold whenever they are reached: names, formula parts, and the witness, which is the least one
+# by its variables in order.
+ALWAYS = [
+    (
+        ["SysFreeString", "CoTaskMemFree"],
+        ["alloc_program_point >= 0", "first_free_program_point > alloc_program_point", "second_free_program_point > first_free_program_point  (double-free)"],
+        [("alloc_program_point", "0"), ("first_free_program_point", "1"), ("second_free_program_point", "2")],
+    ),
+    (
+        ["malloc", "realloc", "mmap"],
+        ["is_initialized == False", "is_read == True"],
+        [("is_initialized", "False"), ("is_read", "True")],
+    ),
+    (
+        ["calloc", "operator new", "new"],
+        ["count > 0", "element_size > 0", "count > MAX_SIZE_T / element_size  (overflow)"],
+        [("count", "3"), ("element_size", "6148914691236517206")],
+    ),
+    (
+        ["system", "popen", "exec", "execve", "execl", "execv"],
+        ["has_metachar == True (input contains ; | & $ ` etc.)", "is_user_controlled == True"],
+        [("has_metachar", "True"), ("is_user_controlled", "True")],
+    ),
+    (
+        ["CopyTo", "Attach", "SysAllocString"],
+        ["prev_bstr_allocated == True", "freed_before_overwrite == False  (leak path)"],
+        [("prev_allocated", "True"), ("freed_before_overwrite", "False")],
+    ),
+    (
+        ["os.system", "subprocess.run", "subprocess.call", "subprocess.Popen", "eval"],
+        ["shell_input_user_controlled == True", "input_sanitized == False  (no shlex.quote or allowlist)"],
+        [("shell_input_user_controlled", "True"), ("input_sanitized", "False")],
+    ),
+    (
+        ["pickle.loads", "pickle.load", "yaml.load", "marshal.loads", "jsonpickle.decode"],
+        ["data_from_untrusted_source == True", "uses_safe_loader == False  (missing Loader=yaml.SafeLoader)"],
+        [("untrusted", "True"), ("safe_loader", "False")],
+    ),
+    (
+        ["requests.get", "requests.post", "requests.put", "urllib.request.urlopen", "httpx.get", "aiohttp.ClientSession"],
+        ["url_user_controlled == True", "url_in_allowlist == False"],
+        [("user_url", "True"), ("allowlisted", "False")],
+    ),
+    (
+        ["__proto__", "constructor.prototype", "Object.assign", "lodash.merge", "_.merge", "deepmerge"],
+        ["object_key_user_controlled == True", "key_sanitized_against_proto == False  (no __proto__ check)"],
+        [("key_user_controlled", "True"), ("key_sanitized", "False")],
+    ),
+    (
+        ["Function", "setTimeout", "setInterval", "new Function"],
+        ["eval_arg_user_controlled == True"],
+        [("eval_arg_user_controlled", "True")],
+    ),
+    (
+        ["db.Query", "db.QueryRow", "db.Exec", "tx.Query", "tx.Exec"],
+        ["query_uses_string_concat == True  (fmt.Sprintf or + concatenation)", "query_uses_placeholders == False  (no $1/$2 placeholders)"],
+        [("concat_query", "True"), ("parameterized", "False")],
+    ),
+    (
+        ["readObject", "readUnshared", "XStream.fromXML", "ObjectMapper.readValue"],
+        ["stream_from_untrusted_source == True", "has_deserialization_allowlist == False"],
+        [("untrusted_stream", "True"), ("has_allowlist", "False")],
+    ),
+]
+UNKNOWN_SINK = "sink_is_reachable"
 
 
 def _number(code: Column, pattern: str) -> Column:
@@ -52,21 +108,23 @@ def evaluate(sink: Column, code: Column, known: Column | None = None) -> Column:
     formula = (
         F.when(bounded, F.concat_ws(" ∧ ", F.lit("input_len > dest_size"), extra("input_len", length), extra("dest_size", size)))
         .when(unbounded, "input_len >= dest_size")
-        .when(release, "alloc_program_point >= 0 ∧ free_program_point > alloc_program_point ∧ access_program_point > free_program_point")
+        .when(release, " ∧ ".join(RELEASE_PARTS))
     )
     witness = (
         F.when(bounded, F.array(pair("dest_size", dest), pair("input_len", F.coalesce(length, dest + 1))))
         .when(unbounded, F.array(pair("dest_size", dest), pair("input_len", dest)))
         .when(release, F.array(pair("alloc_program_point", F.lit(0)), pair("free_program_point", F.coalesce(line, F.lit(1))), pair("access_program_point", F.coalesce(line, F.lit(1)) + 1)))
-        .otherwise(none)
     )
-    for family, text in FREE_FORM:
-        formula = formula.when(sink.isin(family), text)
+    for family, parts, least in ALWAYS:
+        formula = formula.when(sink.isin(family), " ∧ ".join(parts))
+        witness = witness.when(sink.isin(family), F.array(*[pair(n, F.lit(v)) for n, v in least]))
     formula = formula.otherwise(F.concat(sink, F.lit("_is_reachable")))
+    reached = F.struct(F.concat(sink, F.lit("_reachable")).alias("variable"), F.lit("True").alias("value"))
+    witness = witness.otherwise(F.array(reached))
     missing = F.lit(False) if known is None else ~known
     return F.struct(
         F.when(missing, True).otherwise(sat).alias("sat"),
-        F.when(missing, F.concat(sink, F.lit("_is_reachable"))).otherwise(formula).alias("formula"),
+        F.when(missing, UNKNOWN_SINK).otherwise(formula).alias("formula"),
         F.when(missing, none).when(sat, witness).otherwise(none).alias("witness"),
         missing.alias("reachability_only"),
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.catalog import POSITIVE, VERIFIED
-from pathloom.operators.metrics import participants
+from pathloom.operators.metrics import findings_per_file, participants, risk_card
+from pathloom.operators.requests import WALKTHROUGH_FILES
 
 # Least confidence, level by status, and phrases of proofs that deny a finding.
 LEAST_CONFIDENCE = 0.85
@@ -45,8 +46,8 @@ def sarif_results(findings: DataFrame, tool: str = "pathloom") -> DataFrame:
     text = lambda c: F.struct(c.alias("text"))
     row = F.struct(
         F.col("rule").alias("ruleId"), "level", text(F.col("message")).alias("message"), F.array(F.struct(place("uri", "start_line").alias("physicalLocation"))).alias("locations"),
-        F.array(F.struct(F.lit(0).alias("id"), text(F.lit("source")).alias("message"), place("source_uri", "source_line").alias("physicalLocation"))).alias("relatedLocations"),
-        F.struct(F.col("fingerprint").alias("primaryLocationLineHash/v1")).alias("partialFingerprints"), F.struct("confidence", "proof").alias("properties"),
+        F.array(F.struct(F.lit(0).alias("id"), text(F.lit("taint source")).alias("message"), place("source_uri", "source_line").alias("physicalLocation"))).alias("relatedLocations"),
+        F.struct(F.col("fingerprint").alias("primaryLocationLineHash/v1")).alias("partialFingerprints"), F.struct("confidence", F.col("proof").alias("z3Proof")).alias("properties"),
     )
     return result_rows(findings, tool).select(F.to_json(row).alias("result"))
 
@@ -75,14 +76,47 @@ def comment_rows(fixes: DataFrame, most: int = 3800) -> DataFrame:
     return fixes.where("coalesce(file_path, '') <> '' and coalesce(line_end, 0) > 0").select("file_path", "line_end", F.substring("body", 1, most).alias("body"))
 
 
-def report_sections(findings: DataFrame) -> DataFrame:
-    """(ord, section, line_no, line): a report's lines in order. Each finding stands in one section only."""
-    section = F.when(F.col("status").isin(VERIFIED), F.struct(F.lit(1).alias("ord"), F.lit("Issues").alias("section"))).when(F.col("status") == "LIKELY", F.struct(F.lit(2).alias("ord"), F.lit("Likely issues").alias("section"))).when(F.col("status") == "ADVISORY", F.struct(F.lit(3).alias("ord"), F.lit("Advice").alias("section")))
-    line = F.format_string("- %s:%d %s (%.2f)", "snk_file", "snk_line", "summary", "confidence")
-    from pyspark.sql import Window
-
-    rows = findings.select(section.alias("s"), line.alias("line")).where("s is not null").select("s.*", "line")
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("ord").orderBy("line")))
+def advisory_line(sink: Column, file: Column, rule: Column, summary: Column) -> Column:
+    return F.format_string("- `%s` in `%s` (rule `%s`): %s", sink, file, F.coalesce(rule, F.lit("")), summary)
+
+
+def file_walkthrough(changed: DataFrame, findings: DataFrame, summaries: DataFrame | None = None, most: int = WALKTHROUGH_FILES, order: str = "ord") -> DataFrame:
+    """A table row (ord, line) for each of the first changed files (file_path, ord): what it is (summaries: file_path,
+    summary; a dash where unknown) and what was found in it."""
+    first = changed.orderBy(order).limit(most).select("file_path", F.col(order).alias("ord"))
+    per = findings_per_file(first, findings)
+    rows = first.join(per, "file_path")
+    if summaries is not None:
+        rows = rows.join(summaries.select("file_path", F.replace("summary", F.lit("|"), F.lit("·")).alias("summary")), "file_path", "left")
+    else:
+        rows = rows.withColumn("summary", F.lit(None).cast("string"))
+    found = F.when(F.col("label") == "issue", F.format_string("%d issue(s)", "n_findings")).when(F.col("label") == "note", F.format_string("%d note(s)", "n_findings")).otherwise("clean")
+    return rows.select("ord", F.format_string("| `%s` | %s | %s |", "file_path", F.coalesce("summary", F.lit("—")), found).alias("line"))
+
+
+def card_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
+    """The lines (ord, line) of the card at a report's head."""
+    counts = risk_card(findings).crossJoin(changed.agg(F.count_distinct("file_path").alias("n_files")))  # one row each
+    parts = [("Risk level", F.col("risk")), ("Verified bugs", F.col("n_verified")), ("Likely bugs", F.col("n_likely")), ("Advisory notes", F.col("n_advisory")), ("Files reviewed", F.col("n_files"))]
+    lines = F.array(*[F.struct(F.lit(k).cast("long").alias("ord"), F.format_string(f"| %s | %s |", F.lit(n), c.cast("string")).alias("line")) for k, (n, c) in enumerate(parts)])
+    return counts.select(F.explode(lines).alias("l")).select("l.*")
+
+
+def report_sections(findings: DataFrame, changed: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """(ord, section, file, line_no, line): a report's lines; in order of ord, file, line_no. Lines are numbered per file, so that a section
+    meets no single task. Each finding stands in one section only. changed (file_path, ord): adds the card and the walkthrough."""
+    status = F.col("status")
+    section = F.when(status.isin(VERIFIED), F.struct(F.lit(3).alias("ord"), F.lit("Issues").alias("section"))).when(status == "LIKELY", F.struct(F.lit(4).alias("ord"), F.lit("Likely issues").alias("section"))).when(status == "ADVISORY", F.struct(F.lit(5).alias("ord"), F.lit("Advice").alias("section")))
+    issue = F.format_string("- %s:%d %s (%.2f)", "snk_file", "snk_line", "summary", "confidence")
+    line = F.when(status == "ADVISORY", advisory_line(F.col("snk_func"), F.col("snk_file"), F.col("rule_id"), F.col("summary"))).otherwise(issue)
+    rows = findings.select(section.alias("s"), F.col("snk_file").alias("file"), line.alias("line")).where("s is not null").select("s.*", "file", "line")
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("ord", "file").orderBy("line")))
+    columns = ["ord", "section", "file", "line_no", "line"]
+    if changed is None:
+        return rows.select(columns)
+    head = card_lines(findings, changed).select(F.lit(1).alias("ord"), F.lit("Card").alias("section"), F.lit("").alias("file"), (F.col("ord") + 1).cast("int").alias("line_no"), "line")
+    walk = file_walkthrough(changed, findings, summaries).select(F.lit(2).alias("ord"), F.lit("Walkthrough").alias("section"), F.lit("").alias("file"), (F.col("ord") + 1).cast("int").alias("line_no"), "line")
+    return head.unionByName(walk).unionByName(rows.select(columns))
 
 
 def write_json(frames: dict[str, DataFrame], to: str) -> None:

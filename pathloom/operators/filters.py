@@ -64,7 +64,8 @@ def _demote_guarded(rows: DataFrame, lines: DataFrame) -> DataFrame:
     asked = rows.where(F.col("snk_func").isin(GUARDED_SINKS) & (F.col("status") == "PROVEN") & ~F.col("dropped") & ~F.col("__deep"))
     first, last = F.greatest(F.col("snk_line") - 9, F.lit(1)), F.col("snk_line") + 2
     asked = asked.select("__row", F.col("snk_file").alias("file_path"), first.alias("__a"), last.alias("__b")).withColumn("__blk", F.explode(F.sequence(F.floor(F.col("__a") / block), F.floor(F.col("__b") / block))))
-    text = lines.select("file_path", "line_number", "line", F.floor(F.col("line_number") / block).alias("__blk"))
+    text = lines.join(asked.select("file_path").distinct(), "file_path", "left_semi")  # before anything is shuffled, only files asked for
+    text = text.select("file_path", "line_number", "line", F.floor(F.col("line_number") / block).alias("__blk"))
     near = asked.join(text, ["file_path", "__blk"]).where(F.col("line_number").between(F.col("__a"), F.col("__b")))
     window = near.groupBy("__row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda s: s["line"]), "\n").alias("w"))
     guarded = window.where(F.col("w").rlike(GUARD)).select("__row", F.lit(True).alias("__g"))

@@ -6,9 +6,11 @@ overwritten while it is read and a lost job leaves the old graph in place.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.tables import written
@@ -33,10 +35,11 @@ def normalise_nodes(nodes: DataFrame, repo: str, run: str) -> DataFrame:
     )
 
 
-def latest(rows: DataFrame, key: list[str], seq: str | Column) -> DataFrame:
-    """The last row of each key."""
-    order = F.col(seq).desc() if isinstance(seq, str) else seq
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__r = 1").drop("__r")
+def latest(rows: DataFrame, key: list[str], seq: str | Column, first: bool = False) -> DataFrame:
+    """The row of the greatest seq of each key (of the least, if `first`). Each task sends one row a key on, so no key is hot."""
+    order = F.col(seq) if isinstance(seq, str) else seq
+    pick = F.min_by if first else F.max_by
+    return rows.groupBy(*key).agg(pick(F.struct(*[F.col(c) for c in rows.columns]), order).alias("__row")).select("__row.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -56,7 +59,14 @@ def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edge ends by ids (local_id, node_id); an end that is not there keeps its own id."""
+    """Edge ends by ids (local_id, node_id, and seq if there are rows of equal local id: the last one counts); an end that
+    is not there keeps its own id. Edges with a file_path are mapped inside their file if ids have one too."""
+    both = "file_path" in edges.columns and "file_path" in ids.columns
+    ids = ids.groupBy(*["file_path"] * both, "local_id").agg((F.max_by("node_id", "seq") if "seq" in ids.columns else F.max("node_id")).alias("node_id"))
+    if both:
+        a, b = ids.toDF("file_path", "src", "__s"), ids.toDF("file_path", "dst", "__d")
+        out = edges.join(a, ["file_path", "src"], "left").join(b, ["file_path", "dst"], "left")
+        return out.withColumns({"src": F.coalesce("__s", "src"), "dst": F.coalesce("__d", "dst")}).drop("__s", "__d", "file_path")
     a, b = ids.toDF("src", "__s"), ids.toDF("dst", "__d")
     out = edges.join(a, "src", "left").join(b, "dst", "left")
     return out.withColumns({"src": F.coalesce("__s", "src"), "dst": F.coalesce("__d", "dst")}).drop("__s", "__d")
@@ -109,17 +119,39 @@ class GraphStore:
         if not n:
             return self.spark.createDataFrame([], NODE_SCHEMA), self.spark.createDataFrame([], EDGE_SCHEMA)
         read = self.spark.read
-        return read.schema(NODE_SCHEMA).parquet(f"{self.path}/data/{n}/nodes"), self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.path}/data/{n}/edges")
+        return read.schema(NODE_SCHEMA).parquet(f"{self._data(n)}/nodes"), self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self._data(n)}/edges")
 
-    def save(self, nodes: DataFrame, edges: DataFrame) -> int:
-        n = self.version() + 1
+    def save(self, nodes: DataFrame, edges: DataFrame, keep: int = 2) -> int:
+        """Write a version and point to it; of older ones `keep` stay, for readers that began before. Of two writers at once the
+        later one fails and may try again on what the other wrote."""
+        n, own = self.version() + 1, uuid.uuid4().hex
         columns = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
-        nodes.select(columns).repartition("repo_id", "file_path").sortWithinPartitions("repo_id", "file_path").write.mode("overwrite").parquet(f"{self.path}/data/{n}/nodes")
-        edges.select([f.split()[0] for f in EDGE_SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/data/{n}/edges")
+        nodes.select(columns).repartition("repo_id", "file_path").sortWithinPartitions("repo_id", "file_path").write.mode("overwrite").parquet(f"{self.path}/data/{own}/nodes")
+        edges.select([f.split()[0] for f in EDGE_SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/data/{own}/edges")
         fs, p = self._fs(f"{self.path}/versions/v{n}")
-        fs.create(p, True).close()
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {n} of {self.path} was written by another writer") from e
+        out.write(bytearray(own.encode()))
+        out.close()
+        for old in range(n - keep - 1, 0, -1):
+            fs, p = self._fs(f"{self.path}/versions/v{old}")
+            if not fs.exists(p):
+                break
+            data = self._data(old)
+            fs.delete(p, False)
+            fs.delete(self._fs(data)[1], True)
         return n
 
+    def _data(self, n: int) -> str:
+        """The folder of a version, whose name stands in its marker."""
+        fs, p = self._fs(f"{self.path}/versions/v{n}")
+        stream = fs.open(p)
+        name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return f"{self.path}/data/{name}"
+
     def has(self, repo: str) -> bool:
         return not self.load()[0].where(F.col("repo_id") == repo).isEmpty()
 
@@ -134,7 +166,7 @@ class GraphStore:
         full = full or changed is None or not self.has(repo)
         old_nodes, old_edges = self.load()
         raw = written(latest(normalise_nodes(nodes, repo, run), ["node_id"], "seq"), "nodes")
-        mapped = remap(edges, raw.select("local_id", "node_id").distinct())
+        mapped = remap(edges, raw.select("file_path", "local_id", "node_id", "seq"))
         new = raw.drop("local_id", "seq")
         if full:
             every = purge(upsert(old_nodes, new, ["node_id"]), repo, run)

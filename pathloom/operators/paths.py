@@ -53,11 +53,13 @@ def expand(
     types: list[str] | None = None,
     uniqueness: str = "node",
     stop: str = "pair",
+    most: int | None = None,
 ) -> DataFrame:
     """All paths of 1..max_hops edges from `starts` to `ends` (column node): (path array<node>, path_len).
 
     uniqueness 'node': no node twice. 'edge': no edge twice, nodes may repeat. stop 'pair': a path ends at its own sink
     but may pass others; 'any': it ends at the first sink met. With 'edge', paths may run on through their sink.
+    most: once so many are found, longer ones are not sought; all of the last length are given, so that a caller may order them.
     """
     if uniqueness not in ("node", "edge") or stop not in ("pair", "any"):
         raise ValueError(f"uniqueness {uniqueness!r}, stop {stop!r}")
@@ -71,6 +73,7 @@ def expand(
     used = written(used.join(dist.toDF("dst", "dist"), "dst"), "edges")
     front = starts.select("node").distinct().select(F.col("node").alias("last"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("trail"))
     done: DataFrame | None = None
+    so_far = 0
     for hop in range(1, max_hops + 1):
         step = front.join(used, front["last"] == used["src"]).where(F.col("dist") <= max_hops - hop)
         fresh = ~F.array_contains("path", F.col("dst")) if uniqueness == "node" else ~F.array_contains("trail", F.col("edge"))
@@ -81,6 +84,10 @@ def expand(
             break
         found = step.where("hit").select("path", F.lit(hop).alias("path_len"))
         done = found if done is None else done.unionByName(found)
+        if most is not None:
+            so_far += found.count()
+            if so_far >= most:
+                break
         front = (step.where("not hit") if stop == "any" else step).drop("hit")
     if done is None:
         return starts.sparkSession.createDataFrame([], f"path array<{dict(starts.select('node').dtypes)['node']}>, path_len int")
@@ -88,14 +95,18 @@ def expand(
 
 
 def project(paths: DataFrame, nodes: DataFrame, key: str | None = None) -> DataFrame:
-    """Path records: ends, their files, functions and lines, and path_nodes in order; unknown values are '' and 0."""
+    """Path records: ends, their files, functions and lines, and path_nodes in order; unknown values are '' and 0, of a node that
+    is missing all of them."""
     one = F.struct(
         F.col("node_id"), F.coalesce("file_path", F.lit("")).alias("file_path"), F.coalesce("function_name", F.lit("")).alias("function_name"),
         F.coalesce("line_start", F.lit(0)).alias("line_number"),
     )
     numbered = paths.withColumn("pid", F.xxhash64("path"))
     at = numbered.select("pid", "path", "path_len", F.posexplode("path").alias("pos", "node_id"))
-    full = at.join(nodes.select("node_id", one.alias("one")), "node_id").groupBy("pid", "path", "path_len").agg(F.sort_array(F.collect_list(F.struct("pos", "one"))).alias("seq"))
+    known = nodes.select("node_id", one.alias("one"))
+    unknown = F.struct(F.col("node_id"), F.lit("").alias("file_path"), F.lit("").alias("function_name"), F.lit(0).alias("line_number"))
+    joined = at.join(known, "node_id", "left").withColumn("one", F.coalesce("one", unknown))
+    full = joined.groupBy("pid", "path", "path_len").agg(F.sort_array(F.collect_list(F.struct("pos", "one"))).alias("seq"))
     full = full.select("path", "path_len", F.transform("seq", lambda s: s["one"]).alias("path_nodes"))
     return with_ends(full)
 
@@ -160,7 +171,7 @@ def find_paths(
     types = catalog.FLOW_EDGES if uniqueness == "node" else catalog.TRAIL_EDGES
     starts = source_nodes(nodes, sources, changed).select(F.col("node_id").alias("node"))
     ends = sink_nodes(nodes, sinks).select(F.col("node_id").alias("node"))
-    records = project(expand(edges, starts, ends, max_hops, types, uniqueness, stop), nodes)
+    records = project(expand(edges, starts, ends, max_hops, types, uniqueness, stop, most), nodes)
     return records if most is None else shortest(records, most)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from pathloom.operators import constraints, export, filters, metrics, paths, rul
 class ReviewInputs:
     """nodes, edges: the graph. files: file_path, text. changed: file_path, ord. The rest is optional:
 
-    scan_findings: file_path, rule_id, severity, line_number, explanation. context_scores: finding_id, score.
+    scan_findings: file_path, rule_id, severity, line_number, explanation. unanswered: file_path of scans that were asked for and
+    refused; the texts of these files are searched for the words of their critical rules instead. context_scores: finding_id, score.
     sandbox_runs: finding_id, passed, sanitizer, compilation_error. suppressions: file_path, line_number, rule_id.
     fuzz: path_id, crashed. ranking: path_id, rank. manifests: file_name, text.
     """
@@ -40,27 +43,47 @@ class ReviewInputs:
     ranking: DataFrame | None = None
     manifests: DataFrame | None = None
     scoped: bool = False
+    unanswered: DataFrame | None = None
     max_hops: int = 15
 
 
 def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False) -> dict[str, DataFrame]:
-    """Frames by name: paths, findings, dropped, results, card, files, unreported."""
+    """Frames by name: paths, findings, dropped, results, card, files, unreported, report, errors.
+
+    errors (step, message): a failed path search is told there, and the review goes on without paths.
+    """
     frameworks = catalog.detect_frameworks(given.manifests) if given.manifests is not None else None
     sources = catalog.names(spark, [*catalog.SOURCES, *given.sources])
     sinks = catalog.names(spark, [*catalog.SINKS, *given.sinks])
     if frameworks is not None:
         extra = catalog.framework_frame(spark).where("kind = 'sink'").join(frameworks, "framework", "left_semi").select("name")
         sinks = sinks.union(extra).distinct()
-    found = paths.find_paths(given.nodes, given.edges, sources, sinks, given.changed if given.scoped else None, given.max_hops)
+    failed = []
+    try:
+        found = paths.find_paths(given.nodes, given.edges, sources, sinks, given.changed if given.scoped else None, given.max_hops)
+    except (PySparkException, Py4JJavaError) as e:
+        failed.append(("paths", type(e).__name__))
+        empty = spark.createDataFrame([], "node_id string, file_path string, function_name string, line_start int, node_type string")
+        found = paths.project(spark.createDataFrame([], "path array<string>, path_len int"), empty)
     found = found.withColumn("path_id", F.sha2(F.concat_ws(">", "path"), 256))
     ruled = rules.annotate(found, catalog.keywords_frame(spark, given.rules))
     score = scoring.path_score(F.col("crosses_files"), F.col("snk_func"), F.col("rule_severity"), F.size("intermediate_nodes"))
     pruned = written(scoring.prune(ruled.withColumn("pruner_score", score), ["path_len", "path_id"], ranking=given.ranking), "paths")
     findings = constraints.to_findings(pruned.where("not was_pruned"), given.nodes.select("node_id", "code"), given.fuzz).withColumn("finding_id", F.col("path_id"))
 
+    columns = ["file_path", "rule_id", "severity", "line_number", "explanation", "confidence"]
+    answers = None
     if given.scan_findings is not None:
-        confidence = scoring.explanation_confidence(F.col("severity"), F.col("explanation"))
-        scans = filters.deep_scan_findings(given.scan_findings, confidence)
+        answers = given.scan_findings.withColumn("confidence", scoring.explanation_confidence(F.col("severity"), F.col("explanation"))).select(columns)
+    if given.unanswered is not None:
+        asked = given.files.join(given.unanswered.select("file_path"), "file_path", "left_semi")
+        mine = rules.rules_for_files(asked, catalog.rules_frame(spark, given.rules)).select("file_path", "rule_id")
+        hits = rules.search_text(asked, catalog.keywords_frame(spark, given.rules)).join(mine, ["file_path", "rule_id"], "left_semi")
+        told = F.concat(F.lit("text search: "), "rule_id", F.lit(" — "), "keyword", F.lit(" in "), "file_path")
+        hits = hits.select("file_path", "rule_id", F.lit("CRITICAL").alias("severity"), "line_number", told.alias("explanation"), "confidence")
+        answers = hits if answers is None else answers.unionByName(hits)
+    if answers is not None:
+        scans = filters.deep_scan_findings(answers, F.col("confidence"))
         none = findings.schema["intermediate_nodes"].dataType
         scans = scans.withColumns(
             {"finding_id": F.col("src_id"), "path_id": F.col("src_id"), "intermediate_nodes": F.array().cast(none), "crosses_files": F.lit(False), "formula": F.lit(""), "requires_msan": F.lit(False)}
@@ -84,4 +107,6 @@ def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False)
         "card": metrics.risk_card(kept),
         "files": metrics.findings_per_file(given.changed, kept),
         "unreported": unreported,
+        "report": export.report_sections(kept, given.changed),
+        "errors": spark.createDataFrame(failed, "step string, message string"),
     }

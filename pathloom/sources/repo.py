@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.catalog import parse_suppressions
+from pathloom.functions.tables import written
 
 # Extensions of C and C++ and of all scanned languages; build files by system in the order of their
 # test; compiler flags by prefix.
@@ -17,6 +18,7 @@ BUILD_FILES = [
 ]
 ALLOWED_FLAGS = ["-O", "-std=", "-I", "-D", "-W", "-f", "-m", "-g", "-march=", "-mtune=", "-target"]
 BLOCKED_FLAGS = ["-fplugin", "-B", "--sysroot", "-rpath", "-Wl,", "-load", "-pass-plugin"]
+MOST_COMMANDS = 50_000
 LEVELS = ["-O0", "-O1", "-O2", "-O3", "-Os", "-Oz"]
 
 
@@ -60,7 +62,9 @@ def compile_settings(files: DataFrame, commands: DataFrame, compiler: str = "c++
     """Per file (file_path): compiler, opt_level and flags of the first command (ord, file, command) whose file or
     command contains its path; defaults where there is none."""
     hit = F.contains("file", F.col("file_path")) | F.contains("command", F.col("file_path"))
-    met = files.select("file_path").distinct().join(F.broadcast(commands), hit).groupBy("file_path").agg(F.min_by("command", "ord").alias("command"))
+    # Neither test is an equality, so one side must go everywhere: the commands while they are few, else the one that Spark finds smaller.
+    few = commands.limit(MOST_COMMANDS + 1).count() <= MOST_COMMANDS
+    met = files.select("file_path").distinct().join(F.broadcast(commands) if few else commands, hit).groupBy("file_path").agg(F.min_by("command", "ord").alias("command"))
     rows = files.select("file_path").distinct().join(met, "file_path", "left")
     parts = F.filter(F.split("command", r"\s+"), lambda x: x != "")
     flags = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.startswith(x, F.lit("-")))
@@ -82,6 +86,29 @@ def _allowed(flag: Column) -> Column:
     return _starts(flag, ALLOWED_FLAGS) & ~_starts(flag, BLOCKED_FLAGS)
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of pair_corpus() from CSV files with a header; quoted fields may hold line ends."""
+    schema = "index long, lang string, vul int, func_before string, func_after string"
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(*[(F.col(n).try_cast(t) if n in rows.columns else F.lit(None).cast(t)).alias(n) for n, t in (f.split() for f in schema.split(", "))])
+
+
+def read_changes(spark: SparkSession, path: str, table: str = "file_change", id_col: str = "file_change_id") -> DataFrame:
+    """The rows of change_corpus() from a SQLite file, read on the driver row by row and written in parts to the shared folder, so
+    that its size meets no memory limit. Spark has no reader for this format without a driver of its own."""
+    import sqlite3
+
+    names, parts = ("id", "code_before", "code_after", "programming_language"), []
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        cursor = db.execute(f'SELECT "{id_col}", code_before, code_after, programming_language FROM "{table}" ORDER BY 1')
+        while rows := cursor.fetchmany(10_000):
+            parts.append(written(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), "changes"))
+    every = parts[0] if parts else spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
 def pair_corpus(rows: DataFrame, lang: str, most: int, order: str = "index") -> DataFrame:
     """Rows (index, lang, vul, func_before, func_after) of a language, the first 2 * most; of these the first `most`
     vulnerable and the first `most` sound ones, as (case_id, code, is_vulnerable)."""

@@ -16,6 +16,7 @@ BACKENDS = {
     ".cpp": "cpp", ".cc": "cpp", ".c": "cpp", ".h": "cpp", ".hpp": "cpp", ".py": "python", ".js": "js", ".jsx": "js", ".ts": "js", ".tsx": "js",
     ".mjs": "js", ".cjs": "js", ".go": "go", ".java": "java", ".rb": "ruby", ".rs": "rust", ".php": "generic", ".kt": "generic",
 }
+# Fixed value: a line of a compiler's diagnostics.
 _DIAGNOSTIC = r"^([^:]+):([0-9]+):[0-9]+:\s+(?:warning|error):\s+(.+?)\s+\[([^\]]+)\]"
 
 
@@ -135,7 +136,7 @@ def union_first(branches: list[DataFrame], key: list[str], order: list[str]) ->
     for i, b in enumerate(branches):
         b = b.withColumn("__b", F.lit(i))
         every = b if every is None else every.unionByName(b)
-    return latest(every, key, F.struct("__b", *order).asc()).drop("__b")
+    return latest(every, key, F.struct("__b", *order), first=True).drop("__b")
 
 
 def first_available(tiers: list[DataFrame]) -> DataFrame:

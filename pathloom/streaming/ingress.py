@@ -62,10 +62,10 @@ def queue(jobs: DataFrame, arrival: str) -> DataFrame:
     return jobs.withColumn("priority", queue_priority(F.col("n_files"))).orderBy(F.desc("priority"), arrival)
 
 
-def watch_files(spark: SparkSession, files: DataFrame, store_path: str, repo: str, checkpoint: str):
+def watch_files(spark: SparkSession, files: DataFrame, store_path: str, repo: str, checkpoint: str, once: bool = False):
     """Start a query over a stream of changed files (file_path, text; null text: deleted) that keeps the graph current.
 
-    A batch replaces all its files at once, so repeating it after a failure changes nothing.
+    A batch replaces all its files at once, so repeating it after a failure changes nothing. once: take what is there and end.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -75,4 +75,5 @@ def watch_files(spark: SparkSession, files: DataFrame, store_path: str, repo: st
         GraphStore(batch.sparkSession, store_path).ingest(nodes, edges, repo, f"batch-{batch_id}", changed=last.select("file_path"))
         last.unpersist()
 
-    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+    stream = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if once else stream).start()

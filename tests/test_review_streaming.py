@@ -29,6 +29,12 @@ def test_review(spark):
     assert card.risk == "HIGH" and card.exit_code == 1
     assert {r.file_path: r.label for r in out["files"].collect()} == {"src/a.c": "issue", "src/b.c": "note"}
     assert out["unreported"].count() == 0 and out["results"].where("level = 'error'").count() >= 1
+    assert out["errors"].collect() == [] and [r.line for r in out["report"].orderBy("ord", "file", "line_no").collect()][:2] == ["| Risk level | HIGH |", f"| Verified bugs | {card.n_verified} |"]
+    searched = run_review(spark, ReviewInputs(nodes, edges, files, changed.where("file_path = 'src/b.c'"), scoped=True, unanswered=files.select("file_path")))
+    got = {(r.snk_file, r.status, r.confidence) for r in searched["findings"].collect()}
+    assert got == {("src/a.c", "LIKELY", 0.72)}
+    broken = run_review(spark, ReviewInputs(nodes, edges.withColumnRenamed("type", "kind"), files, changed))
+    assert [r.step for r in broken["errors"].collect()] == ["paths"] and broken["findings"].count() == 0
     scoped = run_review(spark, ReviewInputs(nodes, edges, files, changed.where("file_path = 'src/b.c'"), scoped=True))
     assert scoped["findings"].count() == 0 and scoped["card"].first().risk == "LOW"
 
