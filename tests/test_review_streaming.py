@@ -33,7 +33,7 @@ def test_review(spark):
     searched = run_review(spark, ReviewInputs(nodes, edges, files, changed.where("file_path = 'src/b.c'"), scoped=True, unanswered=files.select("file_path")))
     got = {(r.snk_file, r.status, r.confidence) for r in searched["findings"].collect()}
     assert got == {("src/a.c", "LIKELY", 0.72)}
-    broken = run_review(spark, ReviewInputs(nodes, edges.withColumnRenamed("type", "kind"), files, changed))
+    broken = run_review(spark, ReviewInputs(nodes, spark.createDataFrame([("a", "b")], "src string, dst string"), files, changed))
     assert [r.step for r in broken["errors"].collect()] == ["paths"] and broken["findings"].count() == 0
     scoped = run_review(spark, ReviewInputs(nodes, edges, files, changed.where("file_path = 'src/b.c'"), scoped=True))
     assert scoped["findings"].count() == 0 and scoped["card"].first().risk == "LOW"
