@@ -201,6 +201,12 @@ def load_rules(texts: list[str]) -> list[Rule]:
     return found
 
 
+def load_rule_files(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of all YAML files below path, in the order of their paths. Rule files are few and small by nature."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("at")).collect()
+    return load_rules([r.value for r in sorted(rows, key=lambda r: r["at"])])
+
+
 def load_safe_names(text: str) -> list[str]:
     """All lists of a YAML mapping, whatever their keys, in order and once each."""
     import yaml

@@ -39,12 +39,37 @@ def closed_form_sat(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", r["sat"].alias("sat"), o["status"].alias("status"), o["confidence"].alias("confidence"), o["formula"].alias("formula"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'is_initialized == False ∧ is_read == True' WHEN 'click' THEN 'input_len >= dest_size' WHEN 'error' THEN 'alloc_program_point >= 0 ∧ free_program_point > alloc_program_point ∧ access_program_point > free_program_point' WHEN 'signup' THEN 'has_metachar == True ∧ is_user_controlled == True' ELSE 'purchase_is_reachable' END AS formula,
-event_type = 'view' AS requires_msan FROM events""")
+# A sink of each family, the formula of f() there, and its least witness.
+_GOLDEN = [
+    ("memmove", "input_len > dest_size", "dest_size=64,input_len=65"),
+    ("strcat", "input_len >= dest_size", "dest_size=64,input_len=64"),
+    ("operator delete", "alloc_program_point >= 0 ∧ free_program_point > alloc_program_point ∧ access_program_point > free_program_point  (use-after-free ordering)", "alloc_program_point=0,free_program_point=1,access_program_point=2"),
+    ("SysFreeString", "alloc_program_point >= 0 ∧ first_free_program_point > alloc_program_point ∧ second_free_program_point > first_free_program_point  (double-free)", "alloc_program_point=0,first_free_program_point=1,second_free_program_point=2"),
+    ("realloc", "is_initialized == False ∧ is_read == True", "is_initialized=False,is_read=True"),
+    ("calloc", "count > 0 ∧ element_size > 0 ∧ count > MAX_SIZE_T / element_size  (overflow)", "count=3,element_size=6148914691236517206"),
+    ("popen", "has_metachar == True (input contains ; | & $ ` etc.) ∧ is_user_controlled == True", "has_metachar=True,is_user_controlled=True"),
+    ("Attach", "prev_bstr_allocated == True ∧ freed_before_overwrite == False  (leak path)", "prev_allocated=True,freed_before_overwrite=False"),
+    ("eval", "shell_input_user_controlled == True ∧ input_sanitized == False  (no shlex.quote or allowlist)", "shell_input_user_controlled=True,input_sanitized=False"),
+    ("yaml.load", "data_from_untrusted_source == True ∧ uses_safe_loader == False  (missing Loader=yaml.SafeLoader)", "untrusted=True,safe_loader=False"),
+    ("httpx.get", "url_user_controlled == True ∧ url_in_allowlist == False", "user_url=True,allowlisted=False"),
+    ("_.merge", "object_key_user_controlled == True ∧ key_sanitized_against_proto == False  (no __proto__ check)", "key_user_controlled=True,key_sanitized=False"),
+    ("setTimeout", "eval_arg_user_controlled == True", "eval_arg_user_controlled=True"),
+    ("tx.Exec", "query_uses_string_concat == True  (fmt.Sprintf or + concatenation) ∧ query_uses_placeholders == False  (no $1/$2 placeholders)", "concat_query=True,parameterized=False"),
+    ("readUnshared", "stream_from_untrusted_source == True ∧ has_deserialization_allowlist == False", "untrusted_stream=True,has_allowlist=False"),
+    ("other", "other_is_reachable", "other_reachable=True"),
+]
+_GOLDEN_SQL = "(VALUES " + ", ".join(f"({k}, '{f}', '{w}')" for k, (_, f, w) in enumerate(_GOLDEN)) + ") g(k, formula, witness)"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 17 = 16 THEN 'sink_is_reachable' ELSE formula END AS formula, CASE WHEN event_id % 17 = 16 THEN '' ELSE witness END AS witness, event_id % 17 = 4 AS requires_msan
+FROM events LEFT JOIN {_GOLDEN_SQL} ON k = event_id % 17""")
 def sink_families(spark, sf_dir):
-    sink = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in ("view", "malloc", "click", "strcpy", "error", "free", "signup", "system")]), F.col("event_type")), F.col("event_type"))
-    formula = constraints.evaluate(sink, F.lit("f()"))["formula"]
-    return table(spark, sf_dir, "events").select("event_id", formula.alias("formula"), constraints.needs_msan(formula, F.lit("")).alias("requires_msan"))
+    """Formula and least witness of every family of sinks, and of one whose node is not in the graph."""
+    k = (F.col("event_id") % 17).cast("int")
+    sink = F.coalesce(F.try_element_at(F.array(*[F.lit(n) for n, _, _ in _GOLDEN]), k + 1), F.lit("memcpy"))
+    r = constraints.evaluate(sink, F.lit("f()"), k < 16)
+    shown = F.array_join(F.transform(r["witness"], lambda w: F.concat(w["variable"], F.lit("="), w["value"])), ",")
+    return table(spark, sf_dir, "events").select("event_id", r["formula"].alias("formula"), shown.alias("witness"), constraints.needs_msan(r["formula"], F.lit("")).alias("requires_msan"))
 
 
 CACHED_SQL = "(SELECT DISTINCT sha256(l_partkey || '|' || l_suppkey || '|' || l_returnflag) AS key FROM lineitem WHERE l_quantity > 45)"
