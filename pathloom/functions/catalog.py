@@ -155,21 +155,13 @@ def keywords_frame(spark: SparkSession, rules: list[Rule] = DEFAULT_RULES) -> Da
 
 
 def glob_to_regex(glob: str) -> str:
-    """A regex for rlike: `**/` is any number of folders, `*` and `?` stay inside one; matched from the right, so a
-    pattern without folders finds a file anywhere."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out, i = out + "(.*/)?", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif glob[i] == "?":
-            out, i = out + "[^/]", i + 1
-        else:
-            out, i = out + re.sub(r"([.\\+(){}|^$\[\]])", r"\\\1", glob[i]), i + 1
-    return f"(^|/){out}$"
+    """A regex for rlike over a path without doubled slashes: the glob as it is, or without its `**/`, fits the path's last parts.
+    `*`, also doubled, and `?` stay inside one folder."""
+
+    def parts(g: str) -> str:
+        return re.sub(r"\*+|\?|[.\\+(){}|^$\[\]]", lambda m: "[^/]*" if m[0][0] == "*" else "[^/]" if m[0] == "?" else "\\" + m[0], g)
+
+    return "|".join(f"(^|/){parts(g)}$" for g in dict.fromkeys((glob, glob.replace("**/", ""))))
 
 
 def framework_frame(spark: SparkSession) -> DataFrame:

@@ -23,7 +23,7 @@ def rules_for_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_path, rule_ord, rule_id, severity) of every rule with a glob that fits the file."""
     rows = rules.select("rule_ord", "rule_id", "severity", F.explode("globs").alias("glob")).collect()  # the rule table is small by nature
     table = files.sparkSession.createDataFrame([(*r, glob_to_regex(r.glob)) for r in rows], "rule_ord int, rule_id string, severity string, glob string, rx string")
-    return files.select("file_path").join(F.broadcast(table), F.expr("file_path rlike rx")).select("file_path", "rule_ord", "rule_id", "severity").distinct()
+    return files.select("file_path").join(F.broadcast(table), F.expr("regexp_replace(file_path, '/+', '/') rlike rx")).select("file_path", "rule_ord", "rule_id", "severity").distinct()
 
 
 def by_severity(rules: DataFrame, severity: str) -> DataFrame:

@@ -23,6 +23,8 @@ def prune(paths: DataFrame, order: list[Column | str], keep: int = 100, ranking:
     ranking (key, rank): for more than `keep` paths, an outside order of the first 2 * keep; those without a rank follow.
     The cut is a top-k, so no task holds all paths in order.
     """
+    if keep >= (1 << 31) - 2:
+        return paths.withColumn("was_pruned", F.lit(False))
     best = [F.desc("pruner_score"), *order]
     if ranking is None or paths.count() <= keep:
         top = paths.orderBy(*best).limit(keep).select(key)

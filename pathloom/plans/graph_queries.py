@@ -197,8 +197,8 @@ def rule_annotate(spark, sf_dir):
     return rules.annotate(p, catalog.keywords_frame(spark, WORD_RULES)).select("p_partkey", "rule_id", "rule_severity")
 
 
-@query(r"""SELECT url AS file_path, rule_id FROM pages, (VALUES ('en_pages', '(^|/)en/[^/]*$'), ('any_com', '(^|/)[^/]*\.com/(.*/)?[^/]*$'), ('secure', '(^|/)https:/(.*/)?[^/]*\.org/de/[^/]*$')) r(rule_id, rx) WHERE regexp_matches(url, rx)
-GROUP BY ALL""")
+@query(r"""SELECT DISTINCT url AS file_path, rule_id FROM pages, (VALUES ('en_pages', '(^|/)([^/]*/)?en/[^/]*$'), ('any_com', '(^|/)[^/]*\.com/([^/]*/)?[^/]*$'), ('secure', '(^|/)https:/([^/]*/)?[^/]*\.org/de/[^/]*$')) r(rule_id, rx)
+WHERE regexp_matches(regexp_replace(url, '/+', '/', 'g'), rx)""")
 def glob_rules(spark, sf_dir):
     made = [catalog.Rule("en_pages", "CRITICAL", "", ("**/en/*",)), catalog.Rule("any_com", "CRITICAL", "", ("*.com/**/*",)), catalog.Rule("secure", "ADVISORY", "", ("https:/**/*.org/de/*",))]
     return rules.rules_for_files(table(spark, sf_dir, "pages").select(F.col("url").alias("file_path")), catalog.rules_frame(spark, made)).select("file_path", "rule_id")

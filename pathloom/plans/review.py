@@ -18,6 +18,10 @@ from pathloom.functions.tables import written
 from pathloom.operators import constraints, export, filters, metrics, paths, rules, scoring, states
 
 
+#: Kept paths where no number is given: the most that a top-k takes.
+MANY = (1 << 31) - 2
+
+
 @dataclass
 class ReviewInputs:
     """nodes, edges: the graph. files: file_path, text. changed: file_path, ord. The rest is optional:
@@ -45,6 +49,7 @@ class ReviewInputs:
     scoped: bool = False
     unanswered: DataFrame | None = None
     max_hops: int = 15
+    most_paths: int | None = 100
 
 
 def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False) -> dict[str, DataFrame]:
@@ -60,7 +65,7 @@ def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False)
         sinks = sinks.union(extra).distinct()
     failed = []
     try:
-        found = paths.find_paths(given.nodes, given.edges, sources, sinks, given.changed if given.scoped else None, given.max_hops)
+        found = paths.find_paths(given.nodes, given.edges, sources, sinks, given.changed if given.scoped else None, given.max_hops, most=given.most_paths)
     except (PySparkException, Py4JJavaError) as e:
         failed.append(("paths", type(e).__name__))
         empty = spark.createDataFrame([], "node_id string, file_path string, function_name string, line_start int, node_type string")
@@ -68,7 +73,7 @@ def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False)
     found = found.withColumn("path_id", F.sha2(F.concat_ws(">", "path"), 256))
     ruled = rules.annotate(found, catalog.keywords_frame(spark, given.rules))
     score = scoring.path_score(F.col("crosses_files"), F.col("snk_func"), F.col("rule_severity"), F.size("intermediate_nodes"))
-    pruned = written(scoring.prune(ruled.withColumn("pruner_score", score), ["path_len", "path_id"], ranking=given.ranking), "paths")
+    pruned = written(scoring.prune(ruled.withColumn("pruner_score", score), ["path_len", "path_id"], keep=given.most_paths or MANY, ranking=given.ranking), "paths")
     findings = constraints.to_findings(pruned.where("not was_pruned"), given.nodes.select("node_id", "code"), given.fuzz).withColumn("finding_id", F.col("path_id"))
 
     columns = ["file_path", "rule_id", "severity", "line_number", "explanation", "confidence"]

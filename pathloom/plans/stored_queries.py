@@ -16,6 +16,7 @@ from pathloom.functions import catalog, scalars
 from pathloom.functions.tables import shared_dir
 from pathloom.operators import export, filters, graph_store, paths, requests, rules, scoring
 from pathloom.operators.graph_store import GraphStore
+from pathloom.plans.evaluate import evaluate
 from pathloom.plans.review import ReviewInputs, run_review
 from pathloom.sources import backend, extract, repo, scanners
 from pathloom.streaming import ingress
@@ -259,6 +260,15 @@ def refused_scans(spark, sf_dir):
     return run_review(spark, given)["findings"].select("snk_file", "status", "confidence", "snk_line", "summary")
 
 
+@query("""WITH c AS (SELECT n_regionkey <> 2 AS bad, n_nationkey % 3 <> 0 AS said FROM nation), n AS (SELECT count(*) FILTER (bad AND said) AS tp, count(*) FILTER (NOT bad AND said) AS fp, count(*) FILTER (NOT bad AND NOT said) AS tn, count(*) FILTER (bad AND NOT said) AS fn FROM c)
+SELECT tp, fp, tn, fn, round(tp / (tp + fp), 3) AS precision, round(tp / (tp + fn), 3) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 3) AS f1, round(fp / (fp + tn), 3) AS fpr FROM n""")
+def evaluation(spark, sf_dir):
+    """Labelled cases through the whole review: two of three hold a path from a read to a copy."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    body = _cat("int f", k, "(int n) {\n  fgets(x, 9, s);\n  ", F.when(k % 3 != 0, "strcpy(b, x);").otherwise("look(x);"), "\n}\n")
+    return evaluate(spark, n.select(_cat("c", k).alias("case_id"), body.alias("code"), (F.col("n_regionkey") != 2).alias("is_vulnerable")))["rates"]
+
+
 # ---- scores, answers and requests ----
 
 

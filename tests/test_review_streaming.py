@@ -7,6 +7,7 @@ from pathlib import Path
 from pathloom.functions import catalog
 from pathloom.functions.scalars import signature_of
 from pathloom.operators.graph_store import GraphStore
+from pathloom.cli import main
 from pathloom.plans.review import ReviewInputs, run_review
 from pathloom.sources.extract import extract_graph
 from pathloom.streaming import ingress
@@ -92,3 +93,13 @@ def test_works_without_llm(tmp_path):
     n, has = done.stdout.split()
     assert int(n) > 60 and has == "False"
     assert importlib.util.find_spec("pathloom")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.c").write_text(CODE)
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "r.yaml").write_text("rules:\n  - id: mine\n    severity: CRITICAL\n    pattern: 'call:strcpy'\n")
+    code = main([f"{tmp_path}/src", "--rules", f"{tmp_path}/rules", "--sarif", f"{tmp_path}/out.sarif", "--out", f"{tmp_path}/out"], spark)
+    assert code == 1 and "| Risk level | HIGH |" in capsys.readouterr().out
+    assert '"ruleId": "mine"' in (tmp_path / "out.sarif").read_text() and spark.read.json(f"{tmp_path}/out/findings").count() > 0
