@@ -3,14 +3,20 @@
 Each line of a text, and the whole text where it has several lines, is normalised (lower case, runs of other characters
 than letters and digits are one space) and turned into its set of word bigrams. A template of n bigrams can
 reach Dice t only with sets of n * t / (2 - t) to n * (2 - t) / t bigrams, so templates of other sizes are never compared.
-
-Templates are a fixed list given by the caller; the scan is one pass over the documents without a shuffle. Bigrams are compared
-by 64-bit hashes. Null and empty texts and lines of one word match nothing (counts 0, nulls). Ties go to the earlier
-template, then the earlier unit. Every row gives a row; an empty table gives an empty result. Other columns are kept.
+A notice or a wrapped licence inside a longer text is found by windows: where a text is too large for a template that no unit
+of it matched, but holds at least the template's lower bound of its bigrams, every run of as many words as the template has is
+compared, and the best one counts. Few texts get that far.
+
+Templates are a list or a table given by the caller, at most MOST_TEMPLATES; they are one literal value, so the plan does not grow with
+them. The scan is one pass over the documents without a shuffle. Bigrams are compared by 64-bit hashes. Null and empty texts and lines
+of one word match nothing (counts 0, nulls). A very long text is one unit like any other, and its windows are taken one by one. Ties go
+to the earlier template, then the earlier unit or window. Every row, a repeated one too, gives a row; an empty table gives an empty
+result. Other columns are kept, whatever their names but `__licenses`.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +25,26 @@ from pyspark.sql import functions as F
 from ._shared import let
 
 THRESHOLD = 0.8
+MOST_TEMPLATES = 5_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The parts that the BSD licences share.
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_TAIL = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 # Licence notices and texts, with their usual short names.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -74,6 +99,8 @@ TEMPLATES = [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
 ]
 
 
@@ -91,42 +118,67 @@ def _sizes(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def _template_bigrams(spark: SparkSession, texts: list[str]) -> list[list[int]]:
-    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", _bigrams(_words(F.col("text"))).alias("b"))
-    return [list(r.b) for r in sorted(rows.collect())]
+MATCH = "struct<license string, template int, unit int, word int, dice double>"
+
 
+def _template_table(spark: SparkSession, templates: list[tuple[str, str]] | DataFrame, threshold: float) -> list[dict]:
+    """Of each template: its name, number, count of words, set of bigrams, and the least and largest set it may match."""
+    pairs = [tuple(r) for r in templates.select("license", "text").limit(MOST_TEMPLATES + 1).collect()] if isinstance(templates, DataFrame) else templates
+    if len(pairs) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    rows = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(pairs)], "k int, license string, text string").select("k", "license", _words(F.col("text")).alias("w"))
+    found = sorted(rows.select("k", "license", F.size("w").alias("words"), _bigrams(F.col("w")).alias("b")).collect())
+    return [{"license": r.license, "k": r.k, "words": r.words, "b": list(r.b), "low": lo, "high": hi} for r in found if r.b for lo, hi in [_sizes(len(r.b), threshold)]]
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a column `__licenses`: an array of (license, template, unit, dice) of all matches, by unit and template.
 
-    Units are the text's lines from 1, and 0 for the whole text.
+def scan_licenses(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] | DataFrame = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with a column `__licenses`: an array of (license, template, unit, word, dice) of all matches, by unit and template.
+
+    templates: (license, text) pairs or a table of them. Units are the text's lines from 1, 0 for the whole text, and -1 for a
+    window, whose first word is `word` (from 1, else 0).
     """
-    sets = _template_bigrams(docs.sparkSession, [t for _, t in templates])
-    least = min(_sizes(len(b), threshold)[0] for b in sets)
-    lines = F.split(docs[text_col].cast("string"), "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.array(docs[text_col].cast("string")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-
-    def compare(bigrams: Column, unit: Column) -> Column:
-        found = []
-        for k, ((name, _), own) in enumerate(zip(templates, sets, strict=True)):
-            low, high = _sizes(len(own), threshold)
-            fits = F.size(bigrams).between(low, high)
-            literal = F.from_json(F.lit(str(own)), "array<bigint>")
-            dice = F.when(fits, 2.0 * F.size(F.array_intersect(bigrams, literal)) / (F.size(bigrams) + len(own)))
-            found.append(F.struct(F.lit(name).alias("license"), F.lit(k).alias("template"), unit.alias("unit"), dice.alias("dice")))
-        return F.filter(F.array(*found), lambda m: m["dice"] >= threshold)
-
-    none = F.array().cast("array<struct<license string, template int, unit int, dice double>>")
+    table = _template_table(docs.sparkSession, templates, threshold)
+    none = F.array().cast(f"array<{MATCH}>")
+    if not table:
+        return docs.select("*", none.alias("__licenses"))
+    known = F.from_json(F.lit(json.dumps(table)), "array<struct<license string, k int, words int, b array<bigint>, low int, high int>>")
+    every = F.from_json(F.lit(json.dumps(sorted({x for t in table for x in t["b"]}))), "array<bigint>")
+    least = min(t["low"] for t in table)
+    text = docs[text_col].cast("string")
+    lines = F.split(text, "\n")
+    units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
+    dice = lambda b, t: 2.0 * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + F.size(t["b"]))
+    match = lambda t, unit, word, d: F.struct(t["license"].alias("license"), t["k"].alias("template"), unit.cast("int").alias("unit"), word.cast("int").alias("word"), d.alias("dice"))
+
+    def compare(b: Column, unit: Column) -> Column:
+        size = F.size(b)
+        fits = F.filter(known, lambda t: (size >= t["low"]) & (size <= t["high"]))
+        return F.filter(F.transform(fits, lambda t: match(t, unit, F.lit(0), dice(b, t))), lambda m: m["dice"] >= threshold)
+
+    def windows(w: Column, found: Column) -> Column:
+        """The best window of each template that found lacks and that the text may hold."""
+
+        def best(t: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(w) - t["words"] + 1)
+            top = F.array_max(F.transform(starts, lambda s: F.struct(dice(_bigrams(F.slice(w, s, t["words"])), t).alias("dice"), (-s).alias("s"))))
+            return let(top, lambda x: match(t, F.lit(-1), -x["s"], x["dice"]))
+
+        held = let(_bigrams(w), lambda b: F.when(F.size(b) > least, F.struct(F.size(b).alias("n"), F.array_intersect(b, every).alias("hits"))))
+        may = lambda h: F.when(F.size(h["hits"]) >= least, F.filter(known, lambda t: (h["n"] > t["high"]) & (F.size(w) >= t["words"]) & (F.size(F.array_intersect(h["hits"], t["b"])) >= t["low"]) & ~F.exists(found, lambda m: m["template"] == t["k"])))
+        return F.coalesce(F.filter(F.transform(let(held, may), best), lambda m: m["dice"] >= threshold), none)
+
     per_unit = lambda u, i: let(_words(u), lambda w: F.when(F.size(w) > least, let(_bigrams(w), lambda b: compare(b, i))).otherwise(none))
-    return docs.select("*", F.coalesce(F.flatten(F.transform(units, per_unit)), none).alias("__licenses"))
+    of_units = F.coalesce(F.flatten(F.transform(units, per_unit)), none)
+    both = let(of_units, lambda found: F.concat(found, let(_words(F.coalesce(text, F.lit(""))), lambda w: windows(w, found))))
+    return docs.select("*", both.alias("__licenses"))
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.col("__licenses").alias("m"))
-    best = F.array_max(F.transform("m", lambda m: F.struct(m["dice"].alias("dice"), (-m["template"]).alias("k"), (-m["unit"]).alias("u"), m["license"].alias("license"))))
+    best = F.array_max(F.transform("m", lambda m: F.struct(m["dice"].alias("dice"), (-m["template"]).alias("k"), (-m["unit"]).alias("u"), m["license"].alias("license"), m["word"].alias("word"))))
     return found.select("doc_id", F.size("m").cast("long").alias("n_matches"), best.alias("best"), "m").select(
         "doc_id", "n_matches", F.col("best.license").alias("best_license"), F.col("best.dice").alias("best_dice"), (-F.col("best.u")).cast("long").alias("best_line"),
-        F.array_join(F.sort_array(F.array_distinct(F.transform("m", lambda m: m["license"]))), ",").alias("licenses"),
+        F.col("best.word").cast("long").alias("best_word"), F.array_join(F.sort_array(F.array_distinct(F.transform("m", lambda m: m["license"]))), ",").alias("licenses"),
     )
 
 
@@ -140,14 +192,20 @@ _PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' |
 QUERIES = {"op1_licenses": op1_licenses}
 ORACLES = {
     "op1_licenses": f"""
-WITH t AS (SELECT k, name, {_PAIRS} AS b FROM (SELECT k, name, {_SPLIT.format("text")} AS w FROM (VALUES {_VALUES}) v(k, name, text))),
+WITH t AS (SELECT k, name, len(w) AS words, {_PAIRS} AS b FROM (SELECT k, name, {_SPLIT.format("text")} AS w FROM (VALUES {_VALUES}) v(k, name, text))),
 u AS (SELECT doc_id, 0 AS unit, text AS line FROM documents WHERE len(string_split(text, chr(10))) > 1
       UNION ALL SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM documents),
 a AS (SELECT doc_id, unit, {_PAIRS} AS b FROM (SELECT doc_id, unit, {_SPLIT.format("line")} AS w FROM u) WHERE len(w) > 1),
-m AS (SELECT doc_id, unit, k, name, 2.0 * len(list_intersect(a.b, t.b)) / (len(a.b) + len(t.b)) AS dice FROM a JOIN t
+x AS (SELECT doc_id, unit, 0 AS word, k, name, 2.0 * len(list_intersect(a.b, t.b)) / (len(a.b) + len(t.b)) AS dice FROM a JOIN t
       ON len(a.b) BETWEEN ceil(len(t.b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9) AND floor(len(t.b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9)),
+y AS (SELECT doc_id, w, {_PAIRS} AS b FROM (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents) WHERE len(w) > 1),
+z AS (SELECT y.doc_id, y.w, t.* FROM y JOIN t ON len(y.b) > floor(len(t.b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9) AND len(y.w) >= t.words AND len(list_intersect(y.b, t.b)) >= ceil(len(t.b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9)
+      WHERE (y.doc_id, t.k) NOT IN (SELECT doc_id, k FROM x WHERE dice >= {THRESHOLD})),
+v AS (SELECT doc_id, k, name, b AS tb, word, all_w[word : word + words - 1] AS w FROM (SELECT doc_id, k, name, b, words, w AS all_w, unnest(range(1, len(w) - words + 2)) AS word FROM z)),
+s AS (SELECT doc_id, -1 AS unit, word, k, name, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM (SELECT *, {_PAIRS} AS b FROM v)),
+m AS (SELECT * FROM x UNION ALL SELECT doc_id, unit, word, k, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, word) AS o FROM s) WHERE o = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k, unit) AS o FROM m WHERE dice >= {THRESHOLD}),
 g AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(g.n, 0) AS n_matches, r.name AS best_license, CAST(r.dice AS DOUBLE) AS best_dice, CAST(r.unit AS BIGINT) AS best_line, coalesce(g.licenses, '') AS licenses
+SELECT d.doc_id, coalesce(g.n, 0) AS n_matches, r.name AS best_license, CAST(r.dice AS DOUBLE) AS best_dice, CAST(r.unit AS BIGINT) AS best_line, CAST(r.word AS BIGINT) AS best_word, coalesce(g.licenses, '') AS licenses
 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.o = 1 LEFT JOIN g ON g.doc_id = d.doc_id"""
 }
