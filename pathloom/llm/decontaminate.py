@@ -2,15 +2,18 @@
 
 Each few megabytes of documents are a shard. Words that no benchmark item contains split its text; the suffixes between those
 splits that are long enough to match are sorted by their first `window` words, and every test suffix is found in that
-order by binary search. Neighbouring hits on a diagonal join into the longest verbatim matches. Nothing is shuffled.
+order by binary search. A suffix of the test text is sought by its first `window` words, which is all that a hit depends on;
+neighbouring hits on a diagonal join into the longest verbatim matches, with their places. Nothing is shuffled.
 
 The benchmark is indexed in blocks of bounded size (by its bytes, measured first); with several blocks each shard is
-searched by one block after the other, so neither driver nor worker holds more than a block.
+searched by one block after the other, so neither driver nor worker holds more than a block: the driver ships one and forgets it
+before it builds the next.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item of fewer words than a window is one
-window; items and documents of null or empty text have no words and match nothing. Equal items each count; all items with a null
-name are one item, which counts in n_hit, n_items and contaminated but has no name in the digest. Every row gives
-a row; an empty table gives an empty result, and an empty benchmark leaves all clean. Other columns are not read.
+window; items and documents of null or empty text have no words and match nothing; a very long document is a shard of its own.
+Equal items each count; all items with a null name are one item, which counts in n_hit, n_items and contaminated but has no name in the
+digest. Every row, a repeated one too, gives a row; an empty table gives an empty result, and an empty benchmark leaves all clean.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from ._shared import row_blocks, ship, text_buffers
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Benchmark text in one index; an index takes about 37 bytes for each of its bytes while it is built, and 9 after that.
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 3 << 20
 SCHEMA = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
@@ -50,19 +54,27 @@ class TestIndex:
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocab: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
-        by_length: dict[int, list[tuple[bytes, int, int]]] = {}
-        for i, (_, words) in enumerate(items):
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], ">u4")
-            length = min(window, len(words))
-            for start in range(len(words) - length + 1 if length else 0):
-                by_length.setdefault(length, []).append((ids[start : start + length].tobytes(), i, start))
+        sizes = np.array([len(w) for _, w in items], np.int64)
+        ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for _, words in items for w in words), ">u4", int(sizes.sum()))
+        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
         self.window = window
         # For each length: distinct keys, and for each key the run of its (item, start) in `item`, `start`.
         self.lengths = []
-        for length, entries in sorted(by_length.items()):
-            entries.sort()
-            keys, first = np.unique(np.array([e[0] for e in entries], f"S{4 * length}"), return_index=True)
-            self.lengths.append((length, keys, np.append(first, len(entries)), np.array([e[1] for e in entries]), np.array([e[2] for e in entries])))
+        for length in np.unique(np.minimum(sizes, window)).tolist():
+            if not length:
+                continue
+            own = np.flatnonzero(np.minimum(sizes, window) == length)
+            counts = sizes[own] - length + 1
+            item = np.repeat(own, counts)
+            start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = begins[item] + start
+            entries = np.empty((len(at), length), ">u4")
+            for k in range(length):
+                entries[:, k] = ids[at + k]
+            keys = entries.view(f"S{4 * length}").ravel()
+            order = np.argsort(keys, kind="stable")
+            keys, first = np.unique(keys[order], return_index=True)
+            self.lengths.append((length, keys, np.append(first, len(order)), item[order].astype(np.int32), start[order].astype(np.int32)))
 
     @property
     def shortest(self) -> int:
@@ -104,7 +116,7 @@ def build_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, windo
     blocks, indexes = total // block_bytes + 1, []
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
-        rows = sorted(((r.item, words_of(r.words)) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        rows = sorted(((r.item, words_of(r.words)) for r in own.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
         indexes.append(spark.sparkContext.broadcast(TestIndex(rows, window)))
     return indexes
 

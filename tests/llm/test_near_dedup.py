@@ -14,7 +14,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
 
@@ -32,7 +32,7 @@ def brute(rows):
             continue
         for j in {j for x in s for j in held[x] if j < k}:
             common = len(s & sets[j][1])
-            if 100 * common >= 85 * len(s | sets[j][1]):
+            if 100 * common >= percent * len(s | sets[j][1]):
                 a, b = root(i), root(sets[j][0])
                 parent[max(a, b)] = min(a, b)
     return sorted(((i, len(s), None if i is None else root(i), i is None or root(i) == i) for i, s in sets), key=repr)

@@ -18,7 +18,7 @@ def test_stages_and_run(spark, sf):
     kept = {r[0] for r in brute_quality(list(text.items()), labels) if r[7]}
     assert 0.7 * len(text) < len(kept) < len(text)
     text = {r[0]: r[2] for r in brute_lines([(i, want[i].source, text[i]) for i in kept], RATIO, MIN_PAGES)}
-    text = {r[0]: text[r[0]] for r in brute_near(list(text.items())) if r[3]}
+    text = {r[0]: text[r[0]] for r in brute_near(list(text.items()), 80) if r[3]}
     text = {r[0]: text[r[0]] for r in brute_contamination(list(text.items()), items) if not r[5]}
     tokens = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     sizes = {i: len(tokens.encode(t, add_special_tokens=False).ids) + 1 for i, t in text.items()}
