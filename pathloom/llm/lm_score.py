@@ -12,7 +12,8 @@ by probes (lam only where the first was seen); the text's start counts as after
 The base score needs each token's exact count. The at most `head` most frequent words are broadcast; all other occurrences are
 joined with the counts by word hash, so nothing grows on the driver and no key is hot. Words are told apart by 64-bit hashes.
 
-Training documents: crc32 of the id as text, modulo 7, is not 2 (a null id trains). Null and empty texts are an end alone.
+Training documents: crc32 of the id as text, modulo 7, is not 2 (a null id trains). Null and empty texts are an end alone; a very long
+text is a chunk of its own. Words of equal count at the head's edge are all in the head or all out of it.
 Repeated rows train and are scored each. An empty table gives an empty result; with no training document N = V = 0.
 """
 
@@ -218,12 +219,25 @@ def text_chunks(plain: DataFrame) -> DataFrame:
     return plain.mapInArrow(work, "cid long, docs binary")
 
 
-def _tokens_of(docs: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, tokens, first of each row, pair keys, ascending keys of all n-grams) of one chunk."""
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the place of each key among them."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    first = np.ones(len(keys), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=first[1:])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ascending[first], place
+
+
+def _tokens_of(docs: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one chunk: ids, tokens, first of each row, distinct tokens and where each token is among them, ascending keys of all
+    n-grams, and where in these are the distinct tokens, the end, and the pair at each token."""
     batch = pa.ipc.open_stream(docs).read_next_batch()
     tokens, starts = _with_ends(*hashed_words(*text_buffers(batch.column(1))))
-    pairs = pair_keys(_before(tokens), tokens)
-    return batch.column(0), tokens, starts, pairs, np.unique(np.concatenate([np.unique(word_keys(np.append(tokens, END))), pairs]))
+    own, back = _distinct(tokens)
+    grams, place = _distinct(np.concatenate([word_keys(np.append(own, END)), pair_keys(_before(tokens), tokens)]))
+    return batch.column(0), tokens, starts, own, back, grams, place
 
 
 def probed_levels(chunks: DataFrame, model: DataFrame, slices: int) -> DataFrame:
@@ -232,7 +246,7 @@ def probed_levels(chunks: DataFrame, model: DataFrame, slices: int) -> DataFrame
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, docs in zip(batch.column(0), batch.column(1), strict=True):
-                own = _packed(_tokens_of(docs.as_py())[-1], slices)
+                own = _packed(_tokens_of(docs.as_py())[5], slices)
                 yield pa.RecordBatch.from_arrays([pa.array([cid.as_py()] * len(own), pa.int64()), pa.array([r[0] for r in own], pa.int32()), pa.array([r[3] for r in own], pa.binary())], names=["cid", "slice", "keys"])
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -282,16 +296,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def work(chunk: pa.Table, found: pa.Table) -> pa.Table:
         keys, values = shared.value
         rid = chunk["cid"][0].as_py()
-        ids, tokens, starts, pairs, grams = _tokens_of(chunk["docs"][0].as_py())
+        ids, tokens, starts, own, back, _, place = _tokens_of(chunk["docs"][0].as_py())
         parts = [found["levels"][int(i)].as_py() for i in np.argsort(found["slice"].to_numpy())]
         levels = np.concatenate([np.frombuffer(pa.decompress(p[8:], int.from_bytes(p[:8], "little"), "zstd", asbytes=True), np.uint8) for p in parts])
-        count = lambda k: MEANS[levels[np.searchsorted(grams, k)]]
-        own, back = np.unique(tokens, return_inverse=True)
+        counts = MEANS[levels[place]]
         at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
         in_head = keys[at] == own if len(keys) else np.zeros(len(own), bool)
         exact = np.where(in_head, values[at], 0) if len(keys) else np.zeros(len(own), np.int64)
-        joint, single = count(pairs), count(word_keys(own))[back]
-        first = np.concatenate([count(word_keys(np.array([END]))), single[:-1]])
+        joint, single = counts[len(own) + 1 :], counts[: len(own)][back]
+        first = np.concatenate([counts[len(own) : len(own) + 1], single[:-1]])
         plain_p = (single + 1) / ground
         mixed = np.where(first > 0, lam * np.minimum(1.0, joint / np.maximum(first, 1.0)) + (1 - lam) * plain_p, plain_p)
         per_row = lambda x: np.add.reduceat(x, starts[:-1])
