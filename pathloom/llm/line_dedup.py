@@ -8,7 +8,7 @@ Line counts are summed inside each task before the shuffle. A host has at most (
 all hosts' lists are broadcast where their measured number of lines is below `broadcast_lines`, and otherwise joined by host
 with the documents of each host dealt over `salts` parts, so that a hot host meets no single task.
 
-Null text stays null and has no lines; rows with a null host form a site of their own. Repeated rows count as pages
+A line at just the ratio stays; very long texts are split like any other. Null text stays null and has no lines; rows with a null host form a site of their own. Repeated rows count as pages
 each. An empty table gives an empty result. Working columns begin with __pl_.
 """
 
@@ -22,6 +22,7 @@ from ._shared import let, store
 RATIO = 0.1
 MIN_PAGES = 5
 BROADCAST_LINES = 200_000
+BROADCAST_HOSTS = 200_000
 SALTS = 32
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -38,6 +39,9 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = RATI
     totals = pages.groupBy("__pl_host").agg(F.count("*").alias("__pl_pages"))
     lines = pages.select("__pl_host", F.explode("__pl_lines").alias("__pl_line")).select("__pl_host", _key(F.col("__pl_line")).alias("__pl_key"))
     counts = lines.groupBy("__pl_host", "__pl_key").agg(F.count("*").alias("__pl_n")).where(F.col("__pl_n") >= min_pages)
+    # The hosts' totals go to every task while they are few, so that a hot host's lines are not brought together; more of them are joined.
+    totals = store(totals, "totals")
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_HOSTS else totals
     found = counts.alias("c").join(totals.alias("t"), F.col("c.__pl_host").eqNullSafe(F.col("t.__pl_host"))).where(F.col("__pl_n") > ratio * F.col("__pl_pages"))
     return found.groupBy(F.col("c.__pl_host").alias("__pl_host")).agg(F.collect_list("__pl_key").alias("__pl_drop"))
 

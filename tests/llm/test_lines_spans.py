@@ -41,6 +41,15 @@ def test_lines(spark, broadcast_lines):
     assert drop_lines(docs.limit(0), F.col("host")).collect() == []
 
 
+def test_lines_of_sites(spark, sf):
+    """Pages by the host of their address."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.concat("html", F.lit("\nmenu")))
+    host = F.parse_url("url", F.lit("HOST"))
+    got = sorted(map(tuple, drop_lines(pages, host, "html", ratio=0.3, min_pages=2).select("page_id", host, "html", "__cut.n_lines", "__cut.n_dropped").collect()), key=repr)
+    assert got == brute_lines([(r[0], r[1], r[2]) for r in pages.select("page_id", host, "html").collect()], 0.3, 2)
+    assert len({r[1] for r in got}) > 1 and sum(r[4] for r in got) > 0
+
+
 def brute_spans(rows, run=3, least=120):
     where = defaultdict(list)
     parts = {i: sentences(t) for i, t in rows}
