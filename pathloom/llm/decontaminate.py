@@ -218,7 +218,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_item_start", "longest_start")
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -227,15 +227,21 @@ ORACLES = {
     "op4_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
-t AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS k
+u AS (SELECT item_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS k
       FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+t AS (SELECT DISTINCT item_id, n, k FROM u),
 p AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS k
       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM t) WHERE len(w) >= n)),
 h AS (SELECT p.doc_id, p.s, p.n, t.item_id FROM p JOIN t ON p.n = t.n AND p.k = t.k),
 c AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM h) GROUP BY doc_id),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+q AS (SELECT p.doc_id, CAST(u.item_id AS VARCHAR) AS item, p.n, p.s AS pos, u.s AS start, p.s - u.s AS diagonal FROM p JOIN u ON p.n = u.n AND p.k = u.k),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item, diagonal ORDER BY pos) AS run FROM q),
+l AS (SELECT doc_id, item, count(*) - 1 + min(n) AS longest, min(pos) - 1 AS pos, min(start) - 1 AS start FROM g GROUP BY doc_id, item, diagonal, run),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY longest DESC, pos, item, start) AS r FROM l)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
-       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)"""
+       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated,
+       coalesce(o.longest, 0) AS longest, o.item AS longest_item, CAST(o.start AS BIGINT) AS longest_item_start, CAST(o.pos AS BIGINT) AS longest_start
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN o ON o.doc_id = d.doc_id AND o.r = 1"""
 }
