@@ -260,9 +260,11 @@ def sarif_rows(spark, sf_dir):
     return export.result_rows(f, "tool").select(F.col("message").cast("long").alias("o_orderkey"), "rule", "level", "start_line", "fingerprint", "confidence")
 
 
-@query()
+@query(f"""SELECT '{{"ruleId":"' || sink || '","level":"' || CASE status WHEN 'PROVEN' THEN 'error' ELSE 'note' END || '","message":{{"text":"' || o_orderkey || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"a.c","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":1}}}}}}],'
+|| '"relatedLocations":[{{"id":0,"message":{{"text":"taint source"}},"physicalLocation":{{"artifactLocation":{{"uri":"b.c","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":3}}}}}}],"partialFingerprints":{{"primaryLocationLineHash/v1":"' || substr(sha256('a.c:0:' || sink), 1, 32)
+|| '"}},"properties":{{"confidence":0.95,"z3Proof":"f"}}}}' AS result FROM {FINDING_SQL} WHERE status IN ('PROVEN', 'LIKELY') AND confidence >= 0.85""")
 def sarif_json(spark, sf_dir):
-    """Results as JSON; nested documents have no SQL counterpart here."""
+    """Results as JSON documents."""
     f = findings(spark, sf_dir).withColumns({"rule_id": F.col("snk_func"), "snk_file": F.lit("a.c"), "snk_line": F.lit(0), "src_file": F.lit("b.c"), "src_line": F.lit(3), "formula": F.lit("f"), "summary": F.col("o_orderkey").cast("string")})
     return export.sarif_results(f)
 

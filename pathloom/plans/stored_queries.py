@@ -269,6 +269,15 @@ def evaluation(spark, sf_dir):
     return evaluate(spark, n.select(_cat("c", k).alias("case_id"), body.alias("code"), (F.col("n_regionkey") != 2).alias("is_vulnerable")))["rates"]
 
 
+@query("""SELECT n AS n_verified, CAST(0 AS BIGINT) AS n_likely, CAST(0 AS BIGINT) AS n_advisory, 'HIGH' AS risk, CAST(1 AS INT) AS exit_code FROM (SELECT least(count(*), 100) AS n FROM documents)""")
+def whole_review(spark, sf_dir):
+    """Two files a document from text to card: extraction, search, rules, constraints, filters."""
+    files = _c_files(spark, sf_dir)
+    nodes, edges = extract.extract_graph(files, "r")
+    changed = files.select("file_path", F.monotonically_increasing_id().alias("ord"))
+    return run_review(spark, ReviewInputs(nodes, edges, files, changed))["card"]
+
+
 # ---- scores, answers and requests ----
 
 
