@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,15 +29,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """written(), and the number of rows, counted while they are written."""
-    seen = Observation()
-    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return table, seen.get["n"]
+class Parts:
+    """A table that grows by parts of one schema, each written once, and is read as one scan over all of them."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base, self.schema = spark, f"{shared_dir(spark)}/pathloom/{name}-{uuid.uuid4().hex}", None
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, object]]:
+        """Write df as the next part: (the part read back, aggregates over it, taken while it is written)."""
+        path = f"{self.base}/{len(self.paths)}"
+        seen = Observation()
+        (df.observe(seen, *[m.alias(n) for n, m in measures.items()]) if measures else df).write.parquet(path)
+        self.schema = self.schema or df.schema
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path), seen.get if measures else {}
+
+    def read(self) -> DataFrame:
+        """All parts; at least one must have been added."""
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by written() or counted()."""
+    """Delete the files behind frames made by written()."""
     for df in frames:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:

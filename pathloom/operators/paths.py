@@ -10,11 +10,13 @@ folder; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import catalog
-from pathloom.functions.tables import counted, written
+from pathloom.functions.tables import Parts, written
 
 
 def source_nodes(nodes: DataFrame, sources: DataFrame, changed: DataFrame | None = None) -> DataFrame:
@@ -32,17 +34,27 @@ def sink_nodes(nodes: DataFrame, sinks: DataFrame) -> DataFrame:
     return nodes.where(fits).join(F.broadcast(sinks), nodes["function_name"] == sinks["name"], "left_semi")
 
 
-def distances_to(edges: DataFrame, ends: DataFrame, most: int) -> DataFrame:
-    """(node, dist): least hops from each node to any of `ends` (node), up to `most`; ends themselves are 0."""
-    known = written(ends.select("node").distinct().withColumn("dist", F.lit(0)), "dist")
-    frontier = known
-    for hop in range(1, most + 1):
-        new = edges.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        frontier, found = counted(new.join(known, "node", "left_anti").withColumn("dist", F.lit(hop)), "dist")
-        if not found:
+def distances_to(edges: DataFrame, ends: DataFrame, most: int, stride: int = 4) -> DataFrame:
+    """(node, dist): least hops from each node to any of `ends` (node), up to `most`; ends themselves are 0.
+
+    Every `stride` hops are one job: what their layers reach is written without the nodes known before, and the nodes
+    found in the last layer are where the next job starts. A layer holds each node once, so a job's rows are at most
+    `stride` times the nodes, however many paths lead to them.
+    """
+    known = Parts(edges.sparkSession, "dist")
+    frontier, _ = known.add(ends.select("node").distinct().withColumn("dist", F.lit(0)))
+    for hop in range(0, most, stride):
+        last, layers = min(hop + stride, most), []
+        layer = frontier.select("node")
+        for dist in range(hop + 1, last + 1):
+            layer = edges.join(layer.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            layers.append(layer.withColumn("dist", F.lit(dist)))
+        reached = reduce(DataFrame.unionByName, layers).groupBy("node").agg(F.min("dist").alias("dist"))
+        new, seen = known.add(reached.join(known.read().select("node"), "node", "left_anti"), last=F.count_if(F.col("dist") == last))
+        if not seen["last"]:
             break
-        known = known.unionByName(frontier)
-    return known
+        frontier = new.where(F.col("dist") == last)
+    return known.read()
 
 
 def expand(
@@ -67,31 +79,24 @@ def expand(
     flags = [F.col(c) for c in ("summary", "resolved_virtual") if c in edges.columns]
     key = F.xxhash64("src", "dst", "type", *flags)
     used = written(used.where("src is not null and dst is not null").select("src", "dst", key.alias("edge")).distinct(), "edges")
-    ends = written(ends.select("node").distinct(), "ends")
-    dist = written(distances_to(used.select("src", "dst").distinct(), ends, max_hops), "dist")
+    dist = distances_to(used.select("src", "dst"), ends, max_hops)
     # An edge is worth taking if a sink is near enough behind it.
     used = written(used.join(dist.toDF("dst", "dist"), "dst"), "edges")
     front = starts.select("node").distinct().select(F.col("node").alias("last"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("trail"))
-    done: DataFrame | None = None
-    so_far = 0
+    done, so_far = Parts(edges.sparkSession, "paths"), 0
     for hop in range(1, max_hops + 1):
         step = front.join(used, front["last"] == used["src"]).where(F.col("dist") <= max_hops - hop)
         fresh = ~F.array_contains("path", F.col("dst")) if uniqueness == "node" else ~F.array_contains("trail", F.col("edge"))
         trail = F.array_append("trail", F.col("edge")) if uniqueness == "edge" else F.col("trail")
-        step = step.where(fresh).select(F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"), trail.alias("trail"), (F.col("dist") == 0).alias("hit"))
-        step, reached = counted(step, "paths")
-        if not reached:
+        step = step.where(fresh).select(
+            F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"), trail.alias("trail"), (F.col("dist") == 0).alias("hit"), F.lit(hop).alias("path_len")
+        )
+        step, seen = done.add(step, rows=F.count(F.lit(1)), hits=F.count_if("hit"))
+        so_far += seen["hits"]
+        if not seen["rows"] or most is not None and so_far >= most:
             break
-        found = step.where("hit").select("path", F.lit(hop).alias("path_len"))
-        done = found if done is None else done.unionByName(found)
-        if most is not None:
-            so_far += found.count()
-            if so_far >= most:
-                break
-        front = (step.where("not hit") if stop == "any" else step).drop("hit")
-    if done is None:
-        return starts.sparkSession.createDataFrame([], f"path array<{dict(starts.select('node').dtypes)['node']}>, path_len int")
-    return done
+        front = (step.where("not hit") if stop == "any" else step).drop("hit", "path_len")
+    return done.read().where("hit").select("path", "path_len")
 
 
 def project(paths: DataFrame, nodes: DataFrame, key: str | None = None) -> DataFrame:
