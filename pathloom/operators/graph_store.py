@@ -1,11 +1,12 @@
 """The stored graph: nodes and edges as tables, loaded in full or file by file.
 
-Every step gives new frames; save() writes them beside the old ones and then moves a pointer, so a table is never
-overwritten while it is read and a lost job leaves the old graph in place.
+Every step gives new frames; they are written beside the old ones, and then a version names the folders that are in use, so
+a table is never overwritten while it is read and a lost job leaves the old graph in place.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -98,10 +99,15 @@ def group_by_backend(files: DataFrame) -> DataFrame:
 
 @dataclass
 class GraphStore:
-    """A graph at `path`: versioned nodes and edges, and a pointer to the current version."""
+    """A graph at `path`: nodes in buckets of files, edges in the bucket of their source, and versions.
+
+    A version is a list of the bucket folders that it consists of, so a load of changed files writes only the buckets of these
+    files and of edges that come or go, and shares the rest with the version before. `buckets` is fixed by the first version.
+    """
 
     spark: SparkSession
     path: str
+    buckets: int = 256
 
     def _fs(self, at: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -114,44 +120,98 @@ class GraphStore:
             return 0
         return max((int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName()[0] == "v"), default=0)
 
-    def load(self) -> tuple[DataFrame, DataFrame]:
-        n = self.version()
+    def _parts(self, n: int) -> dict[str, dict[int, str]]:
+        """The folders of a version: for nodes and edges, bucket to path below the store."""
         if not n:
-            return self.spark.createDataFrame([], NODE_SCHEMA), self.spark.createDataFrame([], EDGE_SCHEMA)
-        read = self.spark.read
-        return read.schema(NODE_SCHEMA).parquet(f"{self._data(n)}/nodes"), self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self._data(n)}/edges")
+            return {"nodes": {}, "edges": {}}
+        fs, p = self._fs(f"{self.path}/versions/v{n}")
+        stream = fs.open(p)
+        told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        self.buckets = told["buckets"]
+        return {kind: {int(k): at for k, at in told[kind].items()} for kind in ("nodes", "edges")}
+
+    def _read(self, kind: str, parts: dict[str, dict[int, str]], only: set[int] | None = None, but: set[int] = frozenset()) -> DataFrame:
+        schema = NODE_SCHEMA if kind == "nodes" else EDGE_SCHEMA + ", far int"
+        paths = [f"{self.path}/{at}" for k, at in sorted(parts[kind].items()) if (only is None or k in only) and k not in but]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def load(self) -> tuple[DataFrame, DataFrame]:
+        parts = self._parts(self.version())
+        return self._read("nodes", parts), self._read("edges", parts).drop("far")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")
+
+    def _placed(self, edges: DataFrame, ids: DataFrame) -> DataFrame:
+        """edges with their bucket, and that of the node at their far end (-1 where an end is not in ids: node_id, bucket)."""
+        at = edges.join(ids.toDF("src", "bucket"), "src", "left").join(ids.toDF("dst", "far"), "dst", "left")
+        return at.select(*[f.split()[0] for f in EDGE_SCHEMA.split(", ")], F.coalesce("far", F.lit(-1)).alias("far"), F.coalesce("bucket", F.lit(0)).alias("bucket"))
+
+    def _write(self, kind: str, own: str, rows: DataFrame, order: list[str]) -> dict[int, str]:
+        """rows (with bucket) below data/own: the folders made. A bucket too large for one task is split over several."""
+        at = f"data/{own}/{kind}"
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+        fs, p = self._fs(f"{self.path}/{at}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {int(name.partition("=")[2]): f"{at}/{name}" for name in names if name.startswith("bucket=")}
+
+    def _write_nodes(self, own: str, nodes: DataFrame) -> dict[int, str]:
+        columns = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+        return self._write("nodes", own, nodes.select(*columns, self._bucket().alias("bucket")), ["repo_id", "file_path"])
 
     def save(self, nodes: DataFrame, edges: DataFrame, keep: int = 2) -> int:
-        """Write a version and point to it; of older ones `keep` stay, for readers that began before. Of two writers at once the
-        later one fails and may try again on what the other wrote."""
+        """Write all of a graph as a version and point to it; of older ones `keep` stay, for readers that began before. Of two
+        writers at once the later one fails and may try again on what the other wrote."""
         n, own = self.version() + 1, uuid.uuid4().hex
-        columns = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
-        nodes.select(columns).repartition("repo_id", "file_path").sortWithinPartitions("repo_id", "file_path").write.mode("overwrite").parquet(f"{self.path}/data/{own}/nodes")
-        edges.select([f.split()[0] for f in EDGE_SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/data/{own}/edges")
+        self._parts(n - 1)
+        made = {"nodes": self._write_nodes(own, nodes)}
+        ids = self._read("nodes", made).select("node_id", self._bucket())
+        made["edges"] = self._write("edges", own, self._placed(edges, ids), ["src"])
+        return self._point(n, made, keep)
+
+    def replace(self, new: DataFrame, offered: DataFrame, changed: DataFrame, repo: str, keep: int = 2) -> int:
+        """A version with the nodes of changed files (file_path) of a repository replaced by new, without the edges of nodes
+        that are gone, and with those offered whose ends exist. Only buckets in which something changes are written."""
+        n, own = self.version() + 1, uuid.uuid4().hex
+        parts = self._parts(n - 1)
+        dirty = {r[0] for r in changed.select(self._bucket()).distinct().collect()}
+        old = self._read("nodes", parts, dirty)
+        made = self._write_nodes(own, replace_files(old, new, changed, repo))
+        nodes = {**{k: at for k, at in parts["nodes"].items() if k not in dirty}, **made}
+        ids = self._read("nodes", {"nodes": nodes}).select("node_id", self._bucket().alias("bucket"))
+        gone = written(old.select("node_id").join(self._read("nodes", {"nodes": made}).select("node_id"), "node_id", "left_anti"), "gone")
+        come = written(self._placed(live_edges(offered, ids), ids), "edges")
+        # Edges into a bucket that changes may lie in any other; the column far tells which, and few of its row groups are read.
+        lost = self._read("edges", parts).withColumn("bucket", F.regexp_extract(F.input_file_name(), "/bucket=([0-9]+)/[^/]*$", 1).cast("int"))
+        lost = lost.where(F.col("far").isin(dirty) | F.col("bucket").isin(dirty))
+        lost = lost.join(gone.toDF("src"), "src", "left_semi").select("bucket").union(lost.join(gone.toDF("dst"), "dst", "left_semi").select("bucket"))
+        touched = {r[0] for r in come.select("bucket").union(lost).distinct().collect()}
+        before = self._read("edges", parts, touched).join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti")
+        edges = {k: at for k, at in parts["edges"].items() if k not in touched}
+        if touched:
+            placed = self._placed(before.drop("far"), ids)
+            edges |= self._write("edges", own, placed.unionByName(come).distinct(), ["src"])
+        return self._point(n, {"nodes": nodes, "edges": edges}, keep)
+
+    def _point(self, n: int, parts: dict[str, dict[int, str]], keep: int) -> int:
         fs, p = self._fs(f"{self.path}/versions/v{n}")
         try:
             out = fs.create(p, False)
         except Py4JJavaError as e:
             raise RuntimeError(f"version {n} of {self.path} was written by another writer") from e
-        out.write(bytearray(own.encode()))
+        out.write(bytearray(json.dumps({"buckets": self.buckets, **parts}).encode()))
         out.close()
+        used = {at for v in range(max(n - keep, 1), n + 1) for kind in self._parts(v).values() for at in kind.values()}
         for old in range(n - keep - 1, 0, -1):
             fs, p = self._fs(f"{self.path}/versions/v{old}")
             if not fs.exists(p):
                 break
-            data = self._data(old)
+            for at in {at for kind in self._parts(old).values() for at in kind.values()} - used:
+                fs.delete(self._fs(f"{self.path}/{at}")[1], True)
             fs.delete(p, False)
-            fs.delete(self._fs(data)[1], True)
         return n
 
-    def _data(self, n: int) -> str:
-        """The folder of a version, whose name stands in its marker."""
-        fs, p = self._fs(f"{self.path}/versions/v{n}")
-        stream = fs.open(p)
-        name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return f"{self.path}/data/{name}"
-
     def has(self, repo: str) -> bool:
         return not self.load()[0].where(F.col("repo_id") == repo).isEmpty()
 
@@ -159,22 +219,22 @@ class GraphStore:
         return self.load()[0].where(F.col("node_id") == node_id)
 
     def nodes_of(self, file_path: str) -> DataFrame:
-        return self.load()[0].where(F.col("file_path") == file_path)
+        """Nodes of a file, read from its bucket alone."""
+        parts = self._parts(self.version())
+        at = self.spark.sql("SELECT pmod(xxhash64(:path), :n)", {"path": file_path, "n": self.buckets}).first()[0]
+        return self._read("nodes", parts, {at}).where(F.col("file_path") == file_path)
 
     def ingest(self, nodes: DataFrame, edges: DataFrame, repo: str, run: str, changed: DataFrame | None = None, full: bool = False) -> dict[str, object]:
         """Load raw nodes and edges of a repository: all of it at first or if `full`, else only the changed files."""
         full = full or changed is None or not self.has(repo)
-        old_nodes, old_edges = self.load()
         raw = written(latest(normalise_nodes(nodes, repo, run), ["node_id"], "seq"), "nodes")
-        mapped = remap(edges, raw.select("file_path", "local_id", "node_id", "seq"))
+        clean = clean_edges(remap(edges, raw.select("file_path", "local_id", "node_id", "seq")))
         new = raw.drop("local_id", "seq")
         if full:
+            old_nodes, old_edges = self.load()
             every = purge(upsert(old_nodes, new, ["node_id"]), repo, run)
+            self.save(every, live_edges(old_edges.unionByName(clean).distinct(), every))
         else:
             new = new.join(changed.select("file_path").distinct(), "file_path", "left_semi")
-            every = replace_files(old_nodes, new, changed, repo)
-        kept, offered = write_edges(mapped, every)
-        self.save(every, live_edges(old_edges, every).unionByName(kept).distinct())
-        created = new.count()
-        edges_created = offered.agg(F.coalesce(F.sum("offered"), F.lit(0))).first()[0]
-        return {"nodes_created": created, "nodes_updated": 0, "nodes_unchanged": 0, "edges_created": edges_created, "ingestion_mode": "full" if full else "incremental"}
+            self.replace(new, clean, changed, repo)
+        return {"nodes_created": new.count(), "nodes_updated": 0, "nodes_unchanged": 0, "edges_created": clean.count(), "ingestion_mode": "full" if full else "incremental"}

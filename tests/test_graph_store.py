@@ -40,3 +40,28 @@ def test_ids_do_not_depend_on_order(spark):
     a = g.normalise_nodes(raw(spark, (None, "a.c", "f", ""), (None, "b.c", "f", "")), "r", "x")
     b = g.normalise_nodes(raw(spark, (None, "b.c", "f", ""), (None, "a.c", "f", "")), "r", "y")
     assert {r.node_id for r in a.collect()} == {r.node_id for r in b.collect()} and a.select("node_id").distinct().count() == 2
+
+
+def test_change_writes_only_its_buckets(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/graph", buckets=64)
+    files = [f"f{i}.c" for i in range(12)]
+    nodes = raw(spark, *[(str(i), f, f"g{i}", "x") for i, f in enumerate(files)])
+    edges = spark.createDataFrame([(str(i), str((i + 1) % 12), "CALL") for i in range(12)], E)
+    store.ingest(nodes, edges, "r", "1")
+    before = store._parts(1)
+    assert store.load()[1].count() == 12
+    # f3.c loses its node: the edges 2-3 and 3-4 go; nothing else is written.
+    store.ingest(raw(spark), spark.createDataFrame([], E), "r", "2", spark.createDataFrame([("f3.c",)], "file_path string"))
+    after = store._parts(2)
+    n, e = store.load()
+    assert n.count() == 11 and e.count() == 10 and store.nodes_of("f3.c").isEmpty() and store.nodes_of("f4.c").count() == 1
+    same = lambda kind: sum(before[kind].get(k) == at for k, at in after[kind].items())
+    assert len(before["nodes"]) - same("nodes") == 1 and 1 <= len(before["edges"]) - same("edges") <= 2
+    # It comes back, with an edge from a node of another file that was not loaded again.
+    other = n.where("function_name = 'g9'").first().node_id
+    store.ingest(raw(spark, ("3", "f3.c", "g3", "y")), spark.createDataFrame([(other, "3", "REF")], E), "r", "3", spark.createDataFrame([("f3.c",)], "file_path string"))
+    n, e = store.load()
+    assert n.count() == 12 and e.count() == 11 and e.where("type = 'REF'").first().src == other
+    store.ingest(raw(spark), spark.createDataFrame([], E), "r", "4", spark.createDataFrame([("f5.c",)], "file_path string"))
+    n, e = store.load()  # the first version is gone, what later ones share with it is not
+    assert n.count() == 11 and e.count() == 9 and store.version() == 4
