@@ -144,9 +144,9 @@ class GraphStore:
         return F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")
 
     def _placed(self, edges: DataFrame, ids: DataFrame) -> DataFrame:
-        """edges with their bucket, and that of the node at their far end (-1 where an end is not in ids: node_id, bucket)."""
-        at = edges.join(ids.toDF("src", "bucket"), "src", "left").join(ids.toDF("dst", "far"), "dst", "left")
-        return at.select(*[f.split()[0] for f in EDGE_SCHEMA.split(", ")], F.coalesce("far", F.lit(-1)).alias("far"), F.coalesce("bucket", F.lit(0)).alias("bucket"))
+        """Edges whose ends both exist, with their bucket and that of the node at their far end. ids: node_id, bucket."""
+        at = edges.join(ids.toDF("src", "bucket"), "src").join(ids.toDF("dst", "far"), "dst")
+        return at.select(*[f.split()[0] for f in EDGE_SCHEMA.split(", ")], "far", "bucket")
 
     def _write(self, kind: str, own: str, rows: DataFrame, order: list[str]) -> dict[int, str]:
         """rows (with bucket) below data/own: the folders made. A bucket too large for one task is split over several."""
@@ -161,12 +161,12 @@ class GraphStore:
         return self._write("nodes", own, nodes.select(*columns, self._bucket().alias("bucket")), ["repo_id", "file_path"])
 
     def save(self, nodes: DataFrame, edges: DataFrame, keep: int = 2) -> int:
-        """Write all of a graph as a version and point to it; of older ones `keep` stay, for readers that began before. Of two
+        """Write all of a graph (edges whose ends exist) as a version and point to it; of older ones `keep` stay, for readers that began before. Of two
         writers at once the later one fails and may try again on what the other wrote."""
         n, own = self.version() + 1, uuid.uuid4().hex
         self._parts(n - 1)
         made = {"nodes": self._write_nodes(own, nodes)}
-        ids = self._read("nodes", made).select("node_id", self._bucket())
+        ids = self._read("nodes", made).select("node_id", self._bucket().alias("bucket")).dropDuplicates(["node_id"])
         made["edges"] = self._write("edges", own, self._placed(edges, ids), ["src"])
         return self._point(n, made, keep)
 
@@ -181,7 +181,7 @@ class GraphStore:
         nodes = {**{k: at for k, at in parts["nodes"].items() if k not in dirty}, **made}
         ids = self._read("nodes", {"nodes": nodes}).select("node_id", self._bucket().alias("bucket"))
         gone = written(old.select("node_id").join(self._read("nodes", {"nodes": made}).select("node_id"), "node_id", "left_anti"), "gone")
-        come = written(self._placed(live_edges(offered, ids), ids), "edges")
+        come = written(self._placed(offered, ids), "edges")
         # Edges into a bucket that changes may lie in any other; the column far tells which, and few of its row groups are read.
         lost = self._read("edges", parts).withColumn("bucket", F.regexp_extract(F.input_file_name(), "/bucket=([0-9]+)/[^/]*$", 1).cast("int"))
         lost = lost.where(F.col("far").isin(dirty) | F.col("bucket").isin(dirty))
@@ -233,7 +233,7 @@ class GraphStore:
         if full:
             old_nodes, old_edges = self.load()
             every = purge(upsert(old_nodes, new, ["node_id"]), repo, run)
-            self.save(every, live_edges(old_edges.unionByName(clean).distinct(), every))
+            self.save(every, old_edges.unionByName(clean).distinct())
         else:
             new = new.join(changed.select("file_path").distinct(), "file_path", "left_semi")
             self.replace(new, clean, changed, repo)
