@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, licenses, line_dedup, lm_score, near_dedup, packing, quality, secrets, span_dedup, token_store
+from . import decontaminate, licenses, line_dedup, lm_score, near_dedup, packing, periodic_runs, quality, secrets, span_dedup, token_store
 
-MODULES = [licenses, token_store, line_dedup, decontaminate, span_dedup, near_dedup, packing, secrets, lm_score, quality]
+MODULES = [licenses, token_store, line_dedup, decontaminate, span_dedup, near_dedup, packing, secrets, lm_score, quality, periodic_runs]
 
 
 def queries() -> dict:
