@@ -16,9 +16,9 @@
    shingles; pairs connected meanwhile are skipped. Only links that join components come back.
 
 `matches` follows from `percent`: the most at which a pair at that similarity is missed with probability below 1e-7, a closer one
-less (15 of 32 coordinates at 0.85, 12 at 0.8). Nothing is capped. Work on a group of n near copies is n for those linked to the pivot; each
-of the others costs one merge of the lists it stands on, whose rows are copied once for each block of `block_rows` others.
-A group with many others that all collide with it but link with nothing costs others x n counts, the least that an exact answer can ask.
+less (15 of 32 coordinates at 0.85, 12 at 0.8). Nothing is capped. Work on a group of n near copies is n for those linked to the pivot. A list of
+n classes with r outside its main component sends n rows for each `block_rows` of the r, and r rows for each `block_rows` of the n; up to `block_rows`
+others it is sent once. A group with many others that all collide with it but link with nothing costs r x n counts, the least that an exact answer can ask.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than five words is one shingle. Null, empty and
 blank texts have no shingles, link with nothing and are kept. Very long texts are whole sets like any other. Rows of equal id,
@@ -303,36 +303,42 @@ def _edges(docs: DataFrame, live: DataFrame, matches: int, percent: int, block_r
     of_comp = clusters.select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
     members = met.select("node", "comp").distinct().join(of_comp, "comp", "left").select("node", "comp", F.coalesce("cluster", "comp").alias("cluster"))
     by_comp = members.join(sets.select("node", (8 * F.size("shingles")).cast("long").alias("bytes")), "node").groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
-    sizes = by_comp.groupBy("cluster").agg(F.sum("size").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("size", -F.col("comp"))).alias("m"))
-    sizes = sizes.select("cluster", (-F.col("m.col2")).alias("main"), F.greatest(F.ceil(F.col("size") / block_rows), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = by_comp.groupBy("cluster").agg(F.sum("size").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("size", -F.col("comp"), "bytes")).alias("m"))
+    blocks = lambda n, b: F.greatest(F.ceil(n / block_rows), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
+    rest = blocks(F.col("size") - F.col("m.size"), F.col("bytes") - F.col("m.bytes"))
+    sizes = sizes.select("cluster", (-F.col("m.col2")).alias("main"), blocks(F.col("size"), F.col("bytes")).alias("blocks"), rest.alias("rest_blocks"))
     rows = members.join(sizes, "cluster").join(sets, "node").withColumn("residual", F.col("comp") != F.col("main"))
-    more = _in_blocks(rows, ["cluster"], ["node", "comp", "residual", "shingles"]).applyInArrow(_compare(percent), "a long, b long")
+    more = _dealt(rows, ["cluster"], ["node", "comp", "residual", "shingles"]).groupBy("cluster", "r", "b").applyInArrow(_compare(percent), "a long, b long")
     return links.unionByName(store(more, "more"))
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], columns: list[str]):
-    """rows (with `blocks` and `residual`) in groups (keys, r, b): the residual rows of block r beside all rows of block b."""
-    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+def _dealt(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows (with residual, and the numbers of blocks and rest_blocks) dealt to pairs (r, b): the residual rows of block r beside all rows of block b."""
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     wanted = [*keys, "r", "b", "residual_side", *columns]
-    own = rows.where("residual").select("*", place.alias("r"), all_blocks.alias("b"), F.lit(True).alias("residual_side")).select(wanted)
-    across = rows.select("*", place.alias("b"), all_blocks.alias("r"), F.lit(False).alias("residual_side")).select(wanted)
-    return own.unionByName(across).groupBy(*keys, "r", "b")
+    own = rows.where("residual").select("*", place("rest_blocks").alias("r"), each("blocks").alias("b"), F.lit(True).alias("residual_side")).select(wanted)
+    across = rows.select("*", place("blocks").alias("b"), each("rest_blocks").alias("r"), F.lit(False).alias("residual_side")).select(wanted)
+    return own.unionByName(across)
 
 
-def _collisions(state: DataFrame, matches: int, block_rows: int) -> DataFrame:
-    """(node, comp, other): classes that share `matches` tokens with a class of another component, and a component theirs is tied to, so that
-    (comp, other) connect all that collide; never more rows than the lists have. state: node, comp, tokens (rarest first)."""
+def _lists(state: DataFrame, matches: int, block_rows: int) -> DataFrame:
+    """Posting lists that hold several components, dealt to pairs of blocks."""
     prefix = F.slice("tokens", 1, F.size("tokens") - matches + 1)
     postings = state.select("node", "comp", F.explode(prefix).alias("t")).select("node", "comp", F.col("t.token").alias("token"))
     by_comp = postings.groupBy("token", "comp").agg(F.count("*").alias("size"))
     lists = by_comp.groupBy("token").agg(F.sum("size").alias("size"), F.count("*").alias("comps"), F.max(F.struct("size", -F.col("comp"))).alias("m")).where("comps > 1 and size > 2")
     # In a list of two the only pair has been compared with its pivot. Written, so that the joins below may be split.
-    lists = store(lists.select("token", (-F.col("m.col2")).alias("main"), F.ceil(F.col("size") / block_rows).cast("int").alias("blocks")), "lists")
+    blocks = lambda n: F.ceil(n / block_rows).cast("int")
+    lists = store(lists.select("token", (-F.col("m.col2")).alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("m.size")).alias("rest_blocks")), "lists")
     rows = postings.join(lists, "token").join(state.select("node", F.transform("tokens", lambda t: t["token"]).alias("tokens")), "node")
-    rows = rows.withColumn("residual", F.col("comp") != F.col("main"))
-    met = _in_blocks(rows, ["token"], ["node", "comp", "residual", "tokens"]).applyInArrow(_collide(matches), "node long, comp long, other long")
-    return met.distinct()
+    return _dealt(rows.withColumn("residual", F.col("comp") != F.col("main")), ["token"], ["node", "comp", "residual", "tokens"])
+
+
+def _collisions(state: DataFrame, matches: int, block_rows: int) -> DataFrame:
+    """(node, comp, other): classes that share `matches` tokens with a class of another component, and a component theirs is tied to, so that
+    (comp, other) connect all that collide; never more rows than the lists have. state: node, comp, tokens (rarest first)."""
+    return _lists(state, matches, block_rows).groupBy("token", "r", "b").applyInArrow(_collide(matches), "node long, comp long, other long").distinct()
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -4,7 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pathloom.llm.components import connected_components
-from pathloom.llm.near_dedup import keep_one_of_each, link_near_duplicates, matches_for
+from pathloom.llm.near_dedup import _lists, keep_one_of_each, link_near_duplicates, matches_for
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -106,3 +107,13 @@ def test_a_large_cluster_is_read_in_proportion(spark):
     docs = spark.createDataFrame([(int(i), str(t)) for i, t in rows], "doc_id long, text string")
     got = sorted((r.id, r.component_id) for r in link_near_duplicates(docs, block_rows=64).collect())
     assert got == [(i, i - i % 2) for i in range(800)]
+
+
+def test_rows_sent_follow_the_others_of_a_list(spark):
+    """A list of n classes with r outside its main component sends about n rows for each block of the r."""
+    token = F.array(*[F.struct(F.lit(9).cast("long").alias("df"), F.lit(k).cast("long").alias("token")) for k in range(3)])
+    sent = {}
+    for n, r in ((10_000, 1), (40_000, 1), (10_000, 600)):
+        state = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") >= n - r, F.col("id")).otherwise(0).alias("comp"), token.alias("tokens"))
+        sent[n, r] = _lists(state, 3, 512).count()
+    assert sent[10_000, 1] == 10_000 + 20 and sent[40_000, 1] == 40_000 + 79 and sent[10_000, 600] == 2 * 10_000 + 20 * 600
