@@ -22,10 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have what lies at path deleted when the application ends: frames that read it may be used until then."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table read back: its lineage ends here and a lost executor does not repeat it."""
+    """df as a Parquet table read back: its lineage ends here and a lost executor does not repeat it. It is gone when the application ends, or by discard()."""
     path = f"{shared_dir(df.sparkSession)}/pathloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +48,7 @@ class Parts:
         path = f"{self.base}/{len(self.paths)}"
         seen = Observation()
         (df.observe(seen, *[m.alias(n) for n, m in measures.items()]) if measures else df).write.parquet(path)
+        until_exit(self.spark, path)
         self.schema = self.schema or df.schema
         self.paths.append(path)
         return self.spark.read.schema(self.schema).parquet(path), seen.get if measures else {}

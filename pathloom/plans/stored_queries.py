@@ -359,7 +359,7 @@ def _customer_graph(spark, sf_dir, where: str, code: Column) -> tuple[DataFrame,
 
 def _twice(spark, sf_dir) -> tuple[GraphStore, list]:
     """A store after a full load and one of two changed files, of which one is gone; and what was told on the way."""
-    store, told = GraphStore(spark, _folder(spark, "store")), []
+    store, told = GraphStore(spark, _folder(spark, "store"), buckets=16), []
     told.append(store.has("r"))
     told.append(store.ingest(*_customer_graph(spark, sf_dir, "true", F.col("c_name")), "r", "1")["ingestion_mode"])
     told.append(store.has("r"))
@@ -372,13 +372,44 @@ _KEPT_SQL = """(SELECT c_custkey AS k, 'f' || c_nationkey AS f, sha256('r:f' ||
 
 
 @query(f"""WITH n AS {_KEPT_SQL} SELECT 'node' AS kind, node_id AS a, f AS b, sha256(code) AS c FROM n
-UNION ALL SELECT 'edge', x.node_id, y.node_id, 'CALL' FROM n x JOIN n y ON y.k = x.k + 1""")
+UNION ALL SELECT 'edge', x.node_id, y.node_id, 'CALL' FROM n x JOIN n y ON y.k = x.k + 1 WHERE (x.f = 'f1') = (y.f = 'f1')""")
 def stored_graph(spark, sf_dir):
-    """Loaded in full, then for two changed files: what the store holds."""
+    """Loaded in full, then for two changed files: what the store holds. Edges between a changed file and others go with the file's old nodes."""
     nodes, edges = _twice(spark, sf_dir)[0].load()
     return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("file_path").alias("b"), F.col("content_hash").alias("c")).union(edges.select(F.lit("edge"), "src", "dst", "type"))
 
 
+def _document_graph(spark, sf_dir, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as functions of their sources, each calling the next of its language that the same file loads."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    line = F.col("n_chars").cast("int")
+    nodes = rows.select(name.alias("node_id"), F.col("source").alias("file_path"), F.col("lang").alias("function_name"), line.alias("line_start"), line.alias("line_end"), F.lit("AST_FUNC").alias("node_type"), F.col("code"))
+    after = lambda k: F.concat(F.lit("d"), (F.col("doc_id") + k).cast("string"))
+    edges = rows.select(name.alias("src"), F.explode(F.array(after(1), after(2), after(20))).alias("dst"), F.lit("CALL").alias("type"))
+    return nodes, edges
+
+
+_CHANGED_SQL = """c AS (SELECT doc_id, source, 'd' || doc_id AS name, text AS was, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN text || '!' ELSE text END AS now FROM documents WHERE source IN ('src1', 'src2', 'src7')),
+o AS (SELECT doc_id, source, sha256('r:' || source || ':d' || doc_id) AS node_id FROM documents),
+e AS (SELECT a.node_id AS src, b.node_id AS dst, a.source AS sf, b.source AS df, a.doc_id AS sk, b.doc_id AS dk FROM o a JOIN o b ON b.doc_id - a.doc_id IN (1, 2, 20))"""
+
+
+@query(f"""WITH {_CHANGED_SQL},
+n AS (SELECT doc_id FROM c WHERE now IS NOT NULL)
+SELECT 'state' AS kind, s AS a, CAST(count(*) FILTER (s = 'created' AND now IS NOT NULL AND was IS NULL OR s = 'updated' AND now <> was OR s = 'unchanged' AND now = was) AS VARCHAR) AS b
+  FROM c, (VALUES ('created'), ('updated'), ('unchanged')) t(s) GROUP BY s
+UNION ALL SELECT 'edge', src, dst FROM e WHERE sf NOT IN ('src1', 'src2', 'src7') AND df NOT IN ('src1', 'src2', 'src7') OR sk IN (SELECT doc_id FROM n) AND dk IN (SELECT doc_id FROM n)""")
+def graph_changes(spark, sf_dir):
+    """Three files loaded again: of their nodes a third is gone, a third has other code and a third is as it was. All edges between these files and others
+    go, those of nodes that stay too; edges among the nodes loaded come."""
+    docs, store = table(spark, sf_dir, "documents"), GraphStore(spark, _folder(spark, "store"), buckets=16)
+    store.ingest(*_document_graph(spark, sf_dir, docs.withColumn("code", F.col("text"))), "r", "1")
+    again = docs.where("source in ('src1', 'src2', 'src7') and doc_id % 3 > 0").withColumn("code", F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    told = store.ingest(*_document_graph(spark, sf_dir, again), "r", "2", spark.createDataFrame([("src1",), ("src2",), ("src7",)], "file_path string"))
+    states = [("state", s, str(told[f"nodes_{s}"])) for s in ("created", "updated", "unchanged")]
+    return spark.createDataFrame(states, "kind string, a string, b string").union(store.load()[1].select(F.lit("edge"), "src", "dst"))
+
+
 @query(f"""WITH n AS {_KEPT_SQL} SELECT 'file' AS what, node_id, name FROM n WHERE f = 'f1' UNION ALL SELECT 'id', node_id, name FROM n WHERE k = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 7)
 UNION ALL SELECT v, '', '' FROM (VALUES ('false'), ('full'), ('true'), ('incremental')) t(v)""")
 def point_lookups(spark, sf_dir):
@@ -390,17 +421,26 @@ def point_lookups(spark, sf_dir):
     return found.union(spark.createDataFrame([(str(t).lower(), "", "") for t in told], "what string, node_id string, name string"))
 
 
-@query("""SELECT 'n' || n_nationkey || '.c' AS file_path, 'g' AS function_name, 'AST_FUNC' AS node_type FROM nation WHERE n_nationkey > 4 UNION ALL SELECT 'n' || n_nationkey || '.c', 'free', 'CALL_SINK' FROM nation WHERE n_nationkey > 4""")
+@query("""WITH n AS (SELECT doc_id, doc_id % 4 = 0 AS gone, doc_id % 4 = 1 AS same FROM documents)
+SELECT 'd' || doc_id || '.c' AS file_path, CASE WHEN same THEN 'f' ELSE 'g' END || doc_id AS caller, CASE WHEN same THEN 'recv' ELSE 'free' END AS callee FROM n WHERE NOT gone""")
 def watched_files(spark, sf_dir):
-    """A stream of changed files keeps a stored graph current; each file comes twice, and the last text, or its absence, counts."""
-    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    text = F.when(F.col("seq") == 1, "int f(int a) {\n  x(a);\n}").when(k > 4, "int g(int a) {\n  free(a);\n}")
-    rows = n.select(k, F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select(_cat("n", k, ".c").alias("file_path"), text.alias("text"), F.col("seq").cast("long").alias("seq"))
-    at, store = _folder(spark, "changes"), _folder(spark, "watched")
-    rows.repartition(1).write.json(at)
-    stream = spark.readStream.schema("file_path string, text string, seq long").json(at)
-    ingress.watch_files(spark, stream, store, "r", _folder(spark, "stream"), once=True).awaitTermination()
-    return GraphStore(spark, store).load()[0].select("file_path", "function_name", "node_type")
+    """A stream of changed files keeps a stored graph current. Each document's file comes in a first batch; in a second one, of four one is deleted, one
+    is left out and two come with another text, twice, of which the last counts. What calls what in the graph."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    code = lambda name, call: _cat("int ", name, k, "(int a) {\n  ", call, "(a);\n}")
+    at, store, checkpoint = _folder(spark, "changes"), _folder(spark, "watched"), _folder(spark, "stream")
+    path = _cat("d", k, ".c").alias("file_path")
+    first = d.select(path, code("f", "recv").alias("text"), F.lit(1).cast("long").alias("seq"))
+    later = d.where(k % 4 != 1).select(path, F.explode(F.array(F.struct(code("h", "recv").alias("text"), F.lit(2).cast("long").alias("seq")), F.struct(F.when(k % 4 > 0, code("g", "free")).alias("text"), F.lit(3).cast("long").alias("seq")))).alias("r")).select("file_path", "r.*")
+    for rows in (first, later):
+        rows.write.mode("append").json(at)
+        stream = spark.readStream.schema("file_path string, text string, seq long").json(at)
+        ingress.watch_files(spark, stream, store, "r", checkpoint, once=True, buckets=16).awaitTermination()
+    nodes, edges = GraphStore(spark, store).load()
+    name = lambda end: nodes.select(F.col("node_id").alias(end), F.col("file_path").alias(f"{end}_file"), F.col("function_name").alias(f"{end}_name"), F.col("node_type").alias(f"{end}_type"))
+    ends = edges.join(name("src"), "src").join(name("dst"), "dst")
+    source = F.col("src_type") == "CALL_SOURCE"
+    return ends.select(F.col("src_file").alias("file_path"), F.when(source, F.col("dst_name")).otherwise(F.col("src_name")).alias("caller"), F.when(source, F.col("src_name")).otherwise(F.col("dst_name")).alias("callee"))
 
 
 # ---- outputs ----

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import signature_of
+from pathloom.functions.tables import discard, written
 from pathloom.operators.graph_store import GraphStore
 from pathloom.sources.extract import extract_graph
 
@@ -62,18 +63,21 @@ def queue(jobs: DataFrame, arrival: str) -> DataFrame:
     return jobs.withColumn("priority", queue_priority(F.col("n_files"))).orderBy(F.desc("priority"), arrival)
 
 
-def watch_files(spark: SparkSession, files: DataFrame, store_path: str, repo: str, checkpoint: str, once: bool = False):
-    """Start a query over a stream of changed files (file_path, text; null text: deleted) that keeps the graph current.
+def watch_files(spark: SparkSession, files: DataFrame, store_path: str, repo: str, checkpoint: str, once: bool = False, buckets: int = 256):
+    """Start a query over a stream of changed files (seq, file_path, text; null text: deleted) that keeps the graph current.
 
-    A batch replaces all its files at once, so repeating it after a failure changes nothing. once: take what is there and end.
+    A batch replaces all its files at once, each by the text of its greatest seq. The graph knows the last batch that it holds of a
+    checkpoint, so a batch that comes again, after a failure or late, changes nothing. once: take what is there and end. buckets: of a new graph.
     """
+    if "seq" not in files.columns:
+        raise ValueError("changed files need a seq, which tells the last text of a file")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("file_path").agg(F.max_by("text", "seq").alias("text")) if "seq" in batch.columns else batch.dropDuplicates(["file_path"])
-        last = last.persist()
+        last = written(batch.groupBy("file_path").agg(F.max_by("text", "seq").alias("text")), "batch")
         nodes, edges = extract_graph(last.where("text is not null"), repo)
-        GraphStore(batch.sparkSession, store_path).ingest(nodes, edges, repo, f"batch-{batch_id}", changed=last.select("file_path"))
-        last.unpersist()
+        store = GraphStore(batch.sparkSession, store_path, buckets)
+        store.ingest(nodes, edges, repo, f"batch-{batch_id}", changed=last.select("file_path"), batch=(checkpoint, batch_id))
+        discard(last)
 
     stream = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
