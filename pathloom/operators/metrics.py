@@ -28,10 +28,14 @@ def risk_card(findings: DataFrame) -> DataFrame:
     return n.select("*", F.when(v, "HIGH").when(k, "MEDIUM").otherwise("LOW").alias("risk"), F.when(v, 1).when(k, 2).otherwise(0).alias("exit_code"))
 
 
-def confusion(cases: DataFrame, findings: DataFrame, key: str, truth: str, failed: str | None = None) -> DataFrame:
-    """One row of tp, fp, tn, fn. A case is predicted positive if any finding of it is; a failed case counts against us."""
-    found = findings.where(F.col("status").isin(POSITIVE)).select(key).distinct().withColumn("__p", F.lit(True))
-    said = F.coalesce("__p", F.lit(False))
+def confusion(cases: DataFrame, findings: DataFrame, key: str, truth: str, failed: str | None = None, least_confidence: float | None = None) -> DataFrame:
+    """One row of tp, fp, tn, fn. A case is predicted positive if any finding of it is; a failed case counts against us.
+
+    least_confidence: findings of less count for cases that are false only.
+    """
+    sure = F.lit(True) if least_confidence is None else F.coalesce(F.col("confidence") >= least_confidence, F.lit(False))
+    found = findings.where(F.col("status").isin(POSITIVE)).groupBy(key).agg(F.max(sure).alias("__sure"), F.lit(True).alias("__p"))
+    said = F.when(F.col(truth), F.coalesce("__sure", F.lit(False))).otherwise(F.coalesce("__p", F.lit(False)))
     if failed:
         said = F.when(F.col(failed), ~F.col(truth)).otherwise(said)
     rows = cases.join(found, key, "left").select(F.col(truth).alias("t"), said.alias("p"))

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ MANY = (1 << 31) - 2
 
 @dataclass
 class ReviewInputs:
-    """nodes, edges: the graph. files: file_path, text. changed: file_path, ord. The rest is optional:
+    """nodes, edges: the graph. files: file_path, text. changed: file_path, ord. The rest is optional, as is a column scope of nodes, inside of which calls resolve:
 
     scan_findings: file_path, rule_id, severity, line_number, explanation. unanswered: file_path of scans that were asked for and
     refused; the texts of these files are searched for the words of their critical rules instead. context_scores: finding_id, score.
@@ -65,9 +64,10 @@ def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False)
         sinks = sinks.union(extra).distinct()
     failed = []
     try:
-        found = paths.find_paths(given.nodes, given.edges, sources, sinks, given.changed if given.scoped else None, given.max_hops, most=given.most_paths)
-    except (PySparkException, Py4JJavaError) as e:
-        failed.append(("paths", type(e).__name__))
+        found = paths.find_paths(given.nodes, given.edges, sources, sinks, given.changed if given.scoped else None, given.max_hops, most=given.most_paths, within="scope" if "scope" in given.nodes.columns else None)
+    except AnalysisException as e:
+        # The inputs cannot be searched. What else may fail, a lost executor for one, is no result and goes up.
+        failed.append(("paths", f"{type(e).__name__}: {e.getCondition() or ''} {str(e).splitlines()[0]}"))
         empty = spark.createDataFrame([], "node_id string, file_path string, function_name string, line_start int, node_type string")
         found = paths.project(spark.createDataFrame([], "path array<string>, path_len int"), empty)
     found = found.withColumn("path_id", F.sha2(F.concat_ws(">", "path"), 256))

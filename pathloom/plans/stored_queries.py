@@ -231,12 +231,15 @@ def path_tiers(spark, sf_dir):
 
 @query("SELECT a.n_nationkey || '' AS src_id, (a.n_nationkey + 3) || '' AS snk_id, CAST(3 AS INT) AS path_len FROM nation a WHERE a.n_nationkey % 4 = 0 AND a.n_nationkey <= 8")
 def nearest_paths(spark, sf_dir):
-    """The first three paths; longer ones are not sought once they are found."""
+    """The first three paths, found best-first; ids of two digits are in the order of their numbers."""
     nodes, edges = _nation_chain(spark, sf_dir)
+    wide = lambda c: F.lpad(c, 2, "0").alias(c)
+    nodes, edges = nodes.withColumn("node_id", wide("node_id")), edges.withColumns({c: wide(c) for c in ("src", "dst")})
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    ends = lambda r: n.where(F.col("k") % 4 == r).select(F.col("k").cast("string").alias("node"))
+    ends = lambda r: n.where(F.col("k") % 4 == r).select(F.lpad(F.col("k").cast("string"), 2, "0").alias("node"))
     found = paths.project(paths.expand(edges, ends(0), ends(3), most=3), nodes)
-    return paths.shortest(found, 3, [F.col("src_id").cast("int"), "snk_id"]).select("src_id", "snk_id", "path_len")
+    number = lambda c: F.col(c).cast("int").cast("string").alias(c)
+    return paths.shortest(found, 3).select(number("src_id"), number("snk_id"), "path_len")
 
 
 @query("SELECT 'paths' AS step, CAST(0 AS BIGINT) AS n_paths")
@@ -260,13 +263,14 @@ def refused_scans(spark, sf_dir):
     return run_review(spark, given)["findings"].select("snk_file", "status", "confidence", "snk_line", "summary")
 
 
-@query("""WITH c AS (SELECT n_regionkey <> 2 AS bad, n_nationkey % 3 <> 0 AS said FROM nation), n AS (SELECT count(*) FILTER (bad AND said) AS tp, count(*) FILTER (NOT bad AND said) AS fp, count(*) FILTER (NOT bad AND NOT said) AS tn, count(*) FILTER (bad AND NOT said) AS fn FROM c)
+@query("""WITH c AS (SELECT c_nationkey % 5 <> 2 AS bad, c_custkey % 3 <> 0 AS said FROM customer), n AS (SELECT count(*) FILTER (bad AND said) AS tp, count(*) FILTER (NOT bad AND said) AS fp, count(*) FILTER (NOT bad AND NOT said) AS tn, count(*) FILTER (bad AND NOT said) AS fn FROM c)
 SELECT tp, fp, tn, fn, round(tp / (tp + fp), 3) AS precision, round(tp / (tp + fn), 3) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 3) AS f1, round(fp / (fp + tn), 3) AS fpr FROM n""")
 def evaluation(spark, sf_dir):
-    """Labelled cases through the whole review: two of three hold a path from a read to a copy."""
-    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    body = _cat("int f", k, "(int n) {\n  fgets(x, 9, s);\n  ", F.when(k % 3 != 0, "strcpy(b, x);").otherwise("look(x);"), "\n}\n")
-    return evaluate(spark, n.select(_cat("c", k).alias("case_id"), body.alias("code"), (F.col("n_regionkey") != 2).alias("is_vulnerable")))["rates"]
+    """Labelled cases through the whole review, all of equal function names: of three, two have a helper that copies what was read, and one a helper that
+    does not."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    body = _cat("void helper(int n) {\n  ", F.when(k % 3 != 0, "strcpy(b, x);").otherwise("look(x);"), "\n}\nint work(int n) {\n  fgets(x, 9, s);\n  helper(n);\n}\n")
+    return evaluate(spark, c.select(_cat("c", k).alias("case_id"), body.alias("code"), (F.col("c_nationkey") % 5 != 2).alias("is_vulnerable")))["rates"]
 
 
 @query("""SELECT n AS n_verified, CAST(0 AS BIGINT) AS n_likely, CAST(0 AS BIGINT) AS n_advisory, 'HIGH' AS risk, CAST(1 AS INT) AS exit_code FROM (SELECT least(count(*), 100) AS n FROM documents)""")

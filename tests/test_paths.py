@@ -121,3 +121,76 @@ def test_chain_equals_expander(spark, sf):
     from pathloom.plans.queries import QUERIES
 
     assert QUERIES["event_paths"](spark, sf).count() == QUERIES["chain_positions"](spark, sf).count()
+
+
+def in_order(found):
+    return sorted((len(p) - 1, p[0].encode(), p[-1].encode(), [n.encode() for n in p]) for p in found)
+
+
+@pytest.mark.parametrize("unique,stop,seed", [("node", "pair", 1), ("node", "any", 2), ("edge", "pair", 3), ("node", "pair", 4)])
+def test_first_paths_against_brute_force(spark, monkeypatch, unique, stop, seed):
+    """Cyclic graphs: the first so many of all paths, from one partial path kept for each asked for on."""
+    rng = random.Random(seed)
+    edges = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.choice(["CALL", "CFG"])) for _ in range(24)}
+    frame = spark.createDataFrame([(*e, None, None) for e in edges], EDGES)
+    ends = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    starts, stops = ["n0", "n1", "n2", "n8"], ["n3", "n4", "n0"]
+    every = in_order(brute(edges, starts, set(stops), 6, unique, stop))
+    monkeypatch.setattr(paths, "GROWTH", 3)
+    steps = paths._Steps(frame, ends(stops), 6, None, unique, [])
+    for most, kept in ((1, 1), (7, 1), (len(every) // 2, 1), (10 * len(every), 4)):
+        got = paths.first_paths(steps, ends(starts), stop, most, kept)
+        assert in_order(tuple(r.path) for r in got.collect()) == every[:most], (most, len(every))
+
+
+def test_first_paths_of_a_dense_graph(spark, tmp_path):
+    """All of 300 nodes lead to all others, 89,700 edges full of cycles: the first paths are found from a fixed number of rows a hop."""
+    n = spark.range(300).select(F.format_string("n%03d", "id").alias("src"))
+    edges = n.crossJoin(n.toDF("dst")).where("src <> dst").withColumn("type", F.lit("CALL"))
+    far = edges.where("src < 'n290' and dst < 'n290' or src >= 'n290' and dst > src")
+    link = spark.createDataFrame([("n289", "n290", "CALL")], "src string, dst string, type string")
+    ends = spark.createDataFrame([("n299",), ("n295",)], "node string")
+    starts = spark.createDataFrame([("n000",), ("n001",), ("n002",)], "node string")
+    steps = paths._Steps(far.union(link), ends, 15, None, "node", [])
+    got = in_order(tuple(r.path) for r in paths.first_paths(steps, starts, "pair", 100).collect())
+    # n -> 289 -> 290 -> end takes 3 hops; with one more node anywhere, 4.
+    want = [(s, "n289", "n290", e) for s in ("n000", "n001", "n002") for e in ("n295", "n299")]
+    inner = [f"n{i:03d}" for i in range(290)]
+    for s in ("n000", "n001", "n002"):
+        for e in ("n295", "n299"):
+            want += [(s, x, "n289", "n290", e) for x in inner if x not in (s, "n289")]
+            want += [(s, "n289", "n290", f"n{x}", e) for x in range(291, int(e[1:]))]
+    assert got == in_order(want)[:100]
+
+
+def test_hubs_equal_their_edges(spark):
+    """Searches through hubs give what a search over the edges one by one gives."""
+    rng = random.Random(5)
+    nodes = [(f"f{i}", "x.c", rng.choice(["work", "run", None]), 1, 1, "AST_FUNC", "") for i in range(8)]
+    nodes += [(f"c{i}", "x.c", rng.choice(["read", "memcpy", "call", "strcpy"]), 1, 1, "CALL", "") for i in range(12)]
+    ids = [n[0] for n in nodes]
+    edges = {(rng.choice(ids), rng.choice(ids), rng.choice(["CALL", "REACHING_DEF"]), rng.choice([None, None, None, True])) for _ in range(34)}
+    nf, ef = spark.createDataFrame(nodes, NODES), spark.createDataFrame([(a, b, t, s if t == "REACHING_DEF" else None, None) for a, b, t, s in edges], EDGES)
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    full = paths.resolve_virtual_calls(nf, paths.bridge_opaque_calls(nf, ef, most=None))
+    for unique in ("node", "edge"):
+        for most in (None, 15):
+            how = dict(max_hops=4, uniqueness=unique, most=most)
+            got = paths.find_paths(nf, ef, names("read", "call"), names("strcpy"), most_bridges=None, **how)
+            want = paths.find_paths(nf, full, names("read", "call"), names("strcpy"), extend=False, **how)
+            assert sorted(r.path for r in got.collect()) == sorted(r.path for r in want.collect())
+    hubs = paths.virtual_hubs(nf, ef)
+    assert hubs.enter.count() + hubs.leave.count() <= 8 + len(edges)
+
+
+def test_first_bridges(spark):
+    rng = random.Random(6)
+    nodes = [("m1", "memcpy"), ("m2", "memcpy"), *[(f"a{i:02d}", "x") for i in range(40)], *[(f"b{i}", "y") for i in range(9)]]
+    edges = {(f"a{rng.randrange(40):02d}", rng.choice(["m1", "m2"])) for _ in range(60)} | {(m, f"b{i}") for m in ("m1", "m2") for i in range(9)}
+    had = {(f"a{i:02d}", f"b{j}") for i in range(20) for j in range(9)}
+    nf = spark.createDataFrame([(i, "f", n, 1, 1, "CALL", "") for i, n in nodes], NODES)
+    ef = spark.createDataFrame([(a, b, "CALL", None, None) for a, b in edges] + [(a, b, "REACHING_DEF", True, None) for a, b in had], EDGES)
+    every = sorted({(a, b) for a, m in edges for m2, b in edges if m == m2} - had)
+    for most in (1, 5, 30, 1000):
+        got = paths.bridge_opaque_calls(nf, ef, most=most).where("summary").join(spark.createDataFrame(list(had), "src string, dst string"), ["src", "dst"], "left_anti")
+        assert sorted((r.src, r.dst) for r in got.collect()) == every[:most]
