@@ -4,13 +4,14 @@ Counts of words and word pairs over the training documents are quantised to leve
 1.4); an n-gram of level q is inserted q times, as (n-gram, 1) .. (n-gram, q), into one Bloom filter. A reader probes levels
 upwards until one is missing. Every n-gram is in it, at 10 bits an entry, so it grows with the corpus. It is a table of slices by
 key range, more of them for more text, so that none takes over about `filter_bytes` bytes. Texts go through in chunks: each sends its
-distinct keys to their slices and gets their levels back, so that a worker holds one slice at a time and the driver none.
+distinct keys, with how often training documents of the chunk have them, to their slices; the task of a slice sums the counts, fills the slice
+and tells each chunk the levels of its keys, so that a worker holds one slice at a time, the driver none, and keys go over the network once.
 
 The probability of a word after another is lam * c(pair) / c(first) + (1 - lam) * (c(word) + 1) / (N + V + 1), all counts
 by probes (lam only where the first was seen); the text's start counts as after an end.
 
 The base score needs each token's exact count. The at most `head` most frequent words are broadcast; all other occurrences are
-joined with the counts by word hash, so nothing grows on the driver and no key is hot. Words are told apart by 64-bit hashes.
+joined with the counts by word hash, so nothing grows on the driver and no key is hot. Words and pairs are told apart by 64-bit hashes.
 
 Training documents: crc32 of the id as text, modulo 7, is not 2 (a null id trains). Null and empty texts are an end alone; a very long
 text is a chunk of its own. Words of equal count at the head's edge are all in the head or all out of it.
@@ -59,15 +60,23 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 def word_keys(words: np.ndarray) -> np.ndarray:
-    return mix(words ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(24)
+    return mix(words ^ np.uint64(0xA0761D6478BD642F))
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * np.uint64(0xE7037ED1A0B428DB) + second * np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(24)
+    return mix(first * np.uint64(0xE7037ED1A0B428DB) + second * np.uint64(0x8EBC6AF09C88C6E3))
+
+
+#: Slices are ranges of the keys' first bits; places inside a slice are by all 64.
+_TOP, _REST = np.uint64(40), np.uint64(24)
+
+
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return (keys >> _REST) * np.uint64(slices) >> _TOP
 
 
 class CountFilter:
-    """40-bit keys with levels, in slices by key range."""
+    """64-bit keys with levels, in slices by key range."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits  # uint8, slices x bytes per slice
@@ -80,7 +89,7 @@ class CountFilter:
     def _places(self, keys: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
         h = mix(keys * np.uint64(0x9FB21C651E98DF25) + np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         low, step = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-        base = (keys * self.slices >> np.uint64(40)) * self.width
+        base = slice_of(keys, int(self.slices)) * self.width
         for i in range(PROBES):
             yield base + (low + np.uint64(i) * step) % self.width
 
@@ -162,8 +171,8 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def _packed(keys: np.ndarray, slices: int) -> list[tuple[int, int, int, bytes]]:
     """(slice, first, last, packed keys) of ascending keys, for each slice that has any."""
-    edges = ((np.arange(slices + 1, dtype=np.uint64) << np.uint64(40)) + np.uint64(slices - 1)) // np.uint64(slices)
-    at = np.searchsorted(keys, edges).tolist()
+    edges = ((np.arange(slices, dtype=np.uint64) << _TOP) + np.uint64(slices - 1)) // np.uint64(slices) << _REST
+    at = [*np.searchsorted(keys, edges).tolist(), len(keys)]
     return [(s, i, j, _squeeze(np.diff(keys[i:j], prepend=np.uint64(0)))) for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
 
 
@@ -171,38 +180,6 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(_unsqueeze(data), dtype=np.uint64)
 
 
-def build_filter(train: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
-    """(slice, bits): the filter over all pairs and words of train (id, text), each slice as large as its entries ask for."""
-
-    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        own = _packed(keys, slices)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int32()), pa.array([r[3] for r in own], pa.binary()), pa.array([_squeeze(counts[i:j]) for _, i, j, _ in own], pa.binary())], names=["slice", "keys", "counts"])
-
-    def deal_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, firsts in _chunks(batches):
-            tokens, _ = _with_ends(words, firsts)
-            yield rows(*_counted(pair_keys(_before(tokens), tokens)))
-
-    def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = word_keys(batch.column(0).to_numpy().view(np.uint64))
-            order = np.argsort(keys)
-            yield rows(keys[order], batch.column(1).to_numpy()[order])
-
-    def fill(group: pa.Table) -> pa.Table:
-        # Pair counts are parts of sums, word counts are whole; keys of the two kinds are hashed apart.
-        keys = np.concatenate([_unpacked(k.as_py()) for k in group["keys"]])
-        keys, counts = _counted(keys, np.concatenate([_unsqueeze(c.as_py()) for c in group["counts"]]).astype(np.int64))
-        levels = level_of(counts)
-        filled = CountFilter.empty(max(64, int(levels.sum(dtype=np.int64)) * BITS_PER_ENTRY // 8 + 1), 1)
-        filled.add(keys, levels)
-        return pa.table({"slice": pa.array([group["slice"][0].as_py()], pa.int32()), "bits": pa.array([filled.flat.tobytes()], pa.binary())})
-
-    shape = "slice int, keys binary, counts binary"
-    every = train.mapInArrow(deal_pairs, shape).unionByName(counts.select("h", "c").mapInArrow(deal_words, shape))
-    return every.groupBy("slice").applyInArrow(fill, "slice int, bits binary")
-
-
 def text_chunks(plain: DataFrame) -> DataFrame:
     """(cid, docs): rows (id, text) of plain in parts of bounded text size, as compressed Arrow data. cid is the number of the part's first row."""
 
@@ -240,25 +217,56 @@ def _tokens_of(docs: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     return batch.column(0), tokens, starts, own, back, grams, place
 
 
-def probed_levels(chunks: DataFrame, model: DataFrame, slices: int) -> DataFrame:
-    """(cid, slice, levels): of each chunk's keys, dealt to the filter's slices; a worker holds one slice at a time."""
+def is_held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+
+def asked_keys(chunks: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
+    """(cid, slice, keys, counts): each chunk's keys, with the pairs' counts over its training documents; and, of no chunk (cid null), the words' counts."""
+    names = ["cid", "slice", "keys", "counts"]
+
+    def rows(cid: int | None, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        own = _packed(keys, slices)
+        return pa.RecordBatch.from_arrays([pa.array([cid] * len(own), pa.int64()), pa.array([r[0] for r in own], pa.int32()), pa.array([r[3] for r in own], pa.binary()), pa.array([_squeeze(counts[i:j]) for _, i, j, _ in own], pa.binary())], names=names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, docs in zip(batch.column(0), batch.column(1), strict=True):
-                own = _packed(_tokens_of(docs.as_py())[5], slices)
-                yield pa.RecordBatch.from_arrays([pa.array([cid.as_py()] * len(own), pa.int64()), pa.array([r[0] for r in own], pa.int32()), pa.array([r[3] for r in own], pa.binary())], names=["cid", "slice", "keys"])
+                ids, _, starts, own, _, grams, place = _tokens_of(docs.as_py())
+                trains = np.repeat([not is_held_out(i) for i in ids.to_pylist()], np.diff(starts))
+                yield rows(cid.as_py(), grams, np.bincount(place[len(own) + 1 :][trains], minlength=len(grams)))
+
+    def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = word_keys(batch.column(0).to_numpy().view(np.uint64))
+            order = np.argsort(keys)
+            yield rows(None, keys[order], batch.column(1).to_numpy()[order])
+
+    shape = "cid long, slice int, keys binary, counts binary"
+    return chunks.mapInArrow(ask, shape).unionByName(counts.select("h", "c").mapInArrow(deal_words, shape))
 
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if len(held) else np.zeros(64, np.uint8)
-        own, found = CountFilter(bits.reshape(1, -1)), []
-        for k in asked["keys"]:
-            levels = own.levels(_unpacked(k.as_py()))
-            found.append(len(levels).to_bytes(8, "little") + pa.compress(levels.tobytes(), "zstd", asbytes=True))
-        return pa.table({"cid": asked["cid"], "slice": asked["slice"], "levels": pa.array(found, pa.binary())})
 
-    asked = chunks.mapInArrow(ask, "cid long, slice int, keys binary")
-    return asked.groupBy("slice").cogroup(model.groupBy("slice")).applyInArrow(answer, "cid long, slice int, levels binary")
+def probed_levels(asked: DataFrame) -> DataFrame:
+    """(cid, slice, levels): the levels of each chunk's keys; and of each slice one row without cid, the filter's bits."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        keys = [_unpacked(k.as_py()) for k in group["keys"]]
+        # Pair counts are parts of sums, word counts are whole; keys of the two kinds are hashed apart.
+        counts = np.concatenate([_unsqueeze(c.as_py()) for c in group["counts"]]).astype(np.int64)
+        some = np.concatenate(keys)[counts > 0]
+        some, counts = _counted(some, counts[counts > 0])
+        levels = level_of(counts)
+        held = CountFilter.empty(max(64, int(levels.sum(dtype=np.int64)) * BITS_PER_ENTRY // 8 + 1), 1)
+        held.add(some, levels)
+        cids, found = [None], [held.flat.tobytes()]
+        for cid, own in zip(group["cid"].to_pylist(), keys, strict=True):
+            if cid is not None:
+                levels = held.levels(own)
+                cids.append(cid)
+                found.append(len(levels).to_bytes(8, "little") + pa.compress(levels.tobytes(), "zstd", asbytes=True))
+        return pa.table({"cid": pa.array(cids, pa.int64()), "slice": pa.array([group["slice"][0].as_py()] * len(cids), pa.int32()), "levels": pa.array(found, pa.binary())})
+
+    return asked.groupBy("slice").applyInArrow(answer, "cid long, slice int, levels binary")
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, rare array<long>"
@@ -287,9 +295,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = min(PAIRS_PER_BUCKET, max(1, filter_bytes * 8 // BITS_PER_ENTRY))
     tokens = max(1, total, size // BYTES_PER_TOKEN)
     slices = max(-(-tokens // most), min(SLICES, -(-tokens // LEAST_PER_SLICE)))
-    model = store(build_filter(train, counts, slices), "filter")
     chunks = store(text_chunks(plain), "chunks")
-    answers = probed_levels(chunks, model, slices)
+    answers = probed_levels(asked_keys(chunks, counts, slices)).where("cid is not null")
     shared = spark.sparkContext.broadcast((top_h[order], np.array([r.c for r in top], np.int64)[order]))
     ground = total + distinct + 1
 
@@ -313,7 +320,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         names = [i.as_py() for i in ids]
         return pa.Table.from_arrays(
             [
-                pa.array(rid + np.arange(len(names))), ids, pa.array([i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in names]),
+                pa.array(rid + np.arange(len(names))), ids, pa.array([is_held_out(i) for i in names]),
                 pa.array(np.diff(starts)), pa.array(per_row((exact > 0)[back].astype(np.int64))), pa.array(per_row(np.log10(exact + 1.0)[back])),
                 pa.array(per_row(np.log10(mixed))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[rare].view(np.int64))),
             ],

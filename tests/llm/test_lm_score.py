@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pathloom.llm.lm_score import LEVELS, MEANS, CountFilter, _packed, _squeeze, _unpacked, _unsqueeze, level_of, score_documents
+from pathloom.llm.lm_score import LEVELS, MEANS, CountFilter, _packed, _squeeze, _unpacked, _unsqueeze, level_of, score_documents, slice_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,12 +75,12 @@ def test_small_filter_and_empty(spark):
 
 def test_filter_holds_what_was_added():
     rng = np.random.default_rng(8)
-    keys = np.unique(rng.integers(0, 1 << 40, 20_000, dtype=np.uint64))
+    keys = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
     levels = level_of(rng.zipf(1.5, len(keys)).clip(1, 10**9))
     f = CountFilter.empty(int(levels.sum()) * 10 // 8 // 64 + 1)
     f.add(keys, levels)
     assert (f.levels(keys) >= levels).all() and (f.levels(keys) != levels).mean() < 0.05
-    other = np.setdiff1d(rng.integers(0, 1 << 40, 20_000, dtype=np.uint64), keys)
+    other = np.setdiff1d(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64), keys)
     assert (f.levels(other) > 0).mean() < 0.05
     assert (_unsqueeze(_squeeze(keys)) == keys).all() and (np.diff(LEVELS) > 0).all()
 
@@ -99,7 +99,19 @@ def test_small_slices_leave_nothing_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, score_documents(docs, filter_bytes=512).collect()), key=repr)
     assert np.mean([abs(g[6] - w[6]) / w[2] for g, w in zip(got, brute(rows))]) < 0.03
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000, dtype=np.uint64))
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64))
     parts = _packed(keys, 192)
     assert len(parts) == 192 and (np.concatenate([_unpacked(p[3]) for p in parts]) == keys).all()
-    assert all((keys[i:j] * np.uint64(192) >> np.uint64(40) == s).all() for s, i, j, _ in parts)
+    assert all((slice_of(keys[i:j], 192) == s).all() for s, i, j, _ in parts)
+
+
+def test_keys_that_differ_in_low_bits_stay_apart():
+    """All 64 bits of a key count: neighbours of what was added are not found."""
+    keys = np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    f = CountFilter.empty(20_000, 64)
+    f.add(keys, np.full(len(keys), 2, np.uint8))
+    assert (f.levels(keys) >= 2).all()
+    for bit in (0, 1, 12, 23, 24, 40):
+        assert (f.levels(keys ^ np.uint64(1 << bit)) > 0).mean() < 0.02
+    edges = np.array([0, 1, (1 << 64) - 1], np.uint64)
+    assert [(p[0], p[1], p[2]) for p in _packed(edges, 7)] == [(0, 0, 2), (6, 2, 3)]
