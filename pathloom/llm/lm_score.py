@@ -36,7 +36,7 @@ FILTER_BYTES = 32 << 20
 BITS_PER_ENTRY = 10
 PROBES = 4
 HEAD = 200_000
-LAM = 0.2
+LAM = 0.4
 SLICES = 64
 #: Text that is counted, and that is scored, at once; bounds on a worker's memory.
 CHUNK_BYTES = 8 << 20

@@ -1,9 +1,9 @@
 """Operator 5: remove sentences covered by a repeated run of sentences.
 
 A sentence ends after . ! ? or an ellipsis (and closing quotes or brackets) before white space, after a full-width stop, and at a
-line end. Long sentences are cut by their content, so that an equal passage is cut equally wherever it stands: after a word whose last
-character's code point (below U+3000) is 3 modulo 5, about each fifth word; and where none comes for 32 words, after these. From
-every sentence starts one run: three sentences, and as many more as it takes to reach 120 characters. Runs are hashed to 96
+line end. Sentences of more than LONG_WORDS words, and only these, are cut by their content, so that an equal passage is cut equally wherever it
+stands in them: after a word whose last character's code point (below U+3000) is 3 modulo 5, about each fifth word; and where none comes for
+32 words, after these. From every sentence starts one run: three sentences, and as many more as it takes to reach 120 characters. Runs are hashed to 96
 bits and joined globally. The first occurrence is that of the smallest doc_id and, inside it, the smallest position; sentences
 covered by any other are removed. Of a repeated passage the parts before its first cut and after its last may stay.
 
@@ -38,27 +38,42 @@ MIN_CHARS = 120
 FILTER_BITS = 1 << 25
 # What ends a sentence.
 WHITE, WIDE_STOPS, STOPS, CLOSING = r" \t-\r", "。！？", ".!?…", "\"')\\]”’»」』"
+#: Sentences of more words are cut by their content.
+LONG_WORDS = 16
 MOST_WORDS, CUT_AT, CUT_MODULO = 32, 3, 5
+_END = re.compile(rf"\A[{WHITE}]+|[{WIDE_STOPS}]+[{CLOSING}]*[{WHITE}]*|[{STOPS}][{CLOSING}]*(?:[{WHITE}]+|\Z)|[{WHITE}]*\n[{WHITE}]*")
 _CUTS = "".join(re.escape(chr(c)) for c in range(CUT_AT, 0x3000, CUT_MODULO) if c != 0x0D)
-_END = re.compile(rf"\A[{WHITE}]+|[{WIDE_STOPS}]+[{CLOSING}]*[{WHITE}]*|(?:[{STOPS}][{CLOSING}]*|[{_CUTS}])(?:[{WHITE}]+|\Z)|[{WHITE}]*\n[{WHITE}]*")
+_CUT = re.compile(rf"[{_CUTS}](?:[{WHITE}]+|\Z)")
+_WORD = re.compile(rf"[^{WHITE}]+")
 _MANY = re.compile(rf"(?:[^{WHITE}]+[{WHITE}]*){{1,{MOST_WORDS}}}")
 _ENDS = " \t\n\x0b\x0c\r" + STOPS + WIDE_STOPS
 
 
 def sentences(text: str | None) -> list[str]:
-    """The parts of text, in order and with all that stands between them; white space before the first word is a part."""
+    """The sentences of text, long ones in parts, in order and with all that stands between them; white space before the first word is one."""
     if not text:
         return []
     parts, at = [], 0
-    for m in _END.finditer(text):
-        end = m.end()
-        if end - at <= 2 * MOST_WORDS or m.start() == 0:
-            parts.append(text[at:end])
+    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
+        if end > at:
+            # Of n characters at most (n + 1) / 2 are words.
+            if end - at > 2 * LONG_WORDS and len(_WORD.findall(text, at, end)) > LONG_WORDS:
+                parts.extend(_clauses(text, at, end))
+            else:
+                parts.append(text[at:end])
+            at = end
+    return parts
+
+
+def _clauses(text: str, at: int, end: int) -> list[str]:
+    """The parts of a long sentence."""
+    parts = []
+    for cut in [m.end() for m in _CUT.finditer(text, at, end)] + [end]:
+        if cut - at <= 2 * MOST_WORDS:
+            parts.extend([text[at:cut]] if cut > at else [])
         else:
-            parts.extend(_MANY.findall(text, at, end))
-        at = end
-    if at < len(text):
-        parts.extend(_MANY.findall(text, at))
+            parts.extend(_MANY.findall(text, at, cut))
+        at = cut
     return parts
 
 
@@ -171,8 +186,10 @@ ORACLES = {
     "op5_span_dedup": rf"""
 WITH p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM (SELECT doc_id, regexp_extract_all(text, '{_PIECE}') AS l FROM documents)),
 q AS (SELECT *, unicode(right(rtrim(piece, {_BLANK}), 1)) AS u FROM p),
-v AS (SELECT *, regexp_matches(piece, '{_CLOSES}') OR (u % {CUT_MODULO} = {CUT_AT} AND u < 12288) AS closes FROM q),
-o AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM v),
+v AS (SELECT *, regexp_matches(piece, '{_CLOSES}') AS ends FROM q),
+x AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM v),
+z AS (SELECT *, ends OR u % {CUT_MODULO} = {CUT_AT} AND u < 12288 AND count(*) OVER (PARTITION BY doc_id, sentence) > {LONG_WORDS} AS closes FROM x),
+o AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM z),
 y AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY i) - 1) // {MOST_WORDS} AS cut FROM o),
 k AS (SELECT *, rtrim(part, {_BLANK} || '{STOPS}{WIDE_STOPS}') AS key FROM
       (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i, string_agg(piece, '' ORDER BY i) AS part FROM y GROUP BY doc_id, seg, cut)),

@@ -100,3 +100,13 @@ def test_spans_line_up_wherever_they_stand(spark):
     assert sum(left) < 0.25 * 60 * 60 and max(left) < 40
     assert len(sentences(wide)) == 30 and clean[501]["__removed"].n_removed >= 28
     assert sentences("Pi is 3.14 here. So!") == ["Pi is 3.14 here. ", "So!"]
+
+
+def test_only_long_sentences_are_cut():
+    """Words that end in b, g, l, q or v end no sentence; in a sentence of more than sixteen words they may end a part."""
+    text = 'I am going home to read all the big books. "Will you bring all?" Yes…\nNothing else all along'
+    assert sentences(text) == ["I am going home to read all the big books. ", '"Will you bring all?" ', "Yes…\n", "Nothing else all along"]
+    assert sentences("all big " * 8) == ["all big " * 8]
+    parts = sentences("Well, all big books " * 5 + "end. Short one, all told.")
+    assert parts[-1] == "Short one, all told." and len(parts) > 6 and "".join(parts[:-1]) == "Well, all big books " * 5 + "end. "
+    assert [len(p.split()) for p in sentences("one " * 70)] == [32, 32, 6]

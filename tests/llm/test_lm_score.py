@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pathloom.llm.lm_score import LEVELS, MEANS, CountFilter, _packed, _squeeze, _unpacked, _unsqueeze, level_of, score_documents, slice_of
+from pathloom.llm.lm_score import LAM, LEVELS, MEANS, CountFilter, _packed, _squeeze, _unpacked, _unsqueeze, level_of, score_documents, slice_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -18,7 +18,7 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def brute(rows, lam=0.2):
+def brute(rows, lam=LAM):
     words, pairs = Counter(), Counter()
     for i, text in rows:
         if not held(i):
