@@ -5,9 +5,12 @@ splits that are long enough to match are sorted by their first `window` words, a
 order by binary search. A suffix of the test text is sought by its first `window` words, which is all that a hit depends on;
 neighbouring hits on a diagonal join into the longest verbatim matches, with their places. Nothing is shuffled.
 
-The benchmark is indexed in blocks of bounded size (by its bytes, measured first); with several blocks each shard is
-searched by one block after the other, so neither driver nor worker holds more than a block: the driver ships one and forgets it
-before it builds the next.
+The benchmark is indexed in blocks of bounded size (by its bytes, measured first), each built by a task; with several blocks each
+shard is searched by one block after the other, so neither driver nor worker holds more than a block: the driver ships one and forgets it
+before it takes the next.
+
+A window that many items share is one entry of the index with a list of its items. Hits are kept as (position, entry), and items are looked up once for
+each different set of entries that a document has and each different run of neighbouring ones, so documents times items are never listed.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item of fewer words than a window is one
 window; items and documents of null or empty text have no words and match nothing; a very long document is a shard of its own.
@@ -19,7 +22,8 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import row_blocks, ship, text_buffers
+from ._shared import discard, row_blocks, ship, store, text_buffers
 
 WINDOW = 10
 #: Benchmark text in one index; an index takes about 37 bytes for each of its bytes while it is built, and 9 after that.
@@ -52,14 +56,17 @@ class TestIndex:
     __test__ = False
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        """items: in the order of their names, those without one last."""
         self.vocab: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
+        self.rank = np.cumsum([i > 0 and n != self.names[i - 1] for i, n in enumerate(self.names)], dtype=np.int64)
         sizes = np.array([len(w) for _, w in items], np.int64)
         ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for _, words in items for w in words), ">u4", int(sizes.sum()))
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
         self.window = window
-        # For each length: distinct keys, and for each key the run of its (item, start) in `item`, `start`.
-        self.lengths = []
+        # Of each length, distinct keys: least and greatest suffix that begins with one. Entry e has the places `places[first[e] : first[e + 1]]`.
+        self.lengths: list[tuple[int, np.ndarray, np.ndarray]] = []
+        firsts, places, done = [], [], 0
         for length in np.unique(np.minimum(sizes, window)).tolist():
             if not length:
                 continue
@@ -74,12 +81,40 @@ class TestIndex:
             keys = entries.view(f"S{4 * length}").ravel()
             order = np.argsort(keys, kind="stable")
             keys, first = np.unique(keys[order], return_index=True)
-            self.lengths.append((length, keys, np.append(first, len(order)), item[order].astype(np.int32), start[order].astype(np.int32)))
+            low = keys.astype(f"S{4 * window}")
+            tail = b"\xff" * (4 * (window - length))
+            high = np.array([t.ljust(4 * length, b"\0") + tail for t in keys.tolist()], low.dtype) if tail else low
+            self.lengths.append((length, low, high))
+            firsts.append(first + done)
+            places.append(item[order] << 32 | start[order])
+            done += len(order)
+        self.first = np.append(np.concatenate(firsts), done) if firsts else np.zeros(1, np.int64)
+        self.places = np.concatenate(places) if places else np.zeros(0, np.int64)
 
     @property
     def shortest(self) -> int:
         return self.lengths[0][0] if self.lengths else 0
 
+    def places_of(self, entry: int) -> np.ndarray:
+        """item << 32 | start of each place of an entry, ascending."""
+        return self.places[self.first[entry] : self.first[entry + 1]]
+
+    def longest(self, run: tuple[int, ...]) -> tuple[int, int, int, int]:
+        """(-words, which of the run, rank of the item's name, start in the item) of the longest match among entries at neighbouring positions."""
+        best, before, heads = (0, 0, 0, 0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for j, entry in enumerate(run):
+            own = self.places_of(entry)
+            at = np.minimum(np.searchsorted(before, own - 1), max(len(before) - 1, 0))
+            heads = np.where(before[at] == own - 1, heads[at], j) if len(before) else np.full(len(own), j)
+            head = int(heads.min())
+            if self.window + j - head > -best[0]:
+                some = own[heads == head]
+                rank, start = self.rank[some >> 32], (some & 0xFFFFFFFF) - (j - head)
+                least = rank.min()
+                best = (head - j - self.window, head, int(least), int(start[rank == least].min()))
+            before = own
+        return best
+
 
 def suffix_array(ids: np.ndarray, shortest: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, keys): suffixes that begin with at least `shortest` known words (id > 0), sorted by their first `window` ids."""
@@ -95,36 +130,57 @@ def suffix_array(ids: np.ndarray, shortest: int, window: int) -> tuple[np.ndarra
     return at[order], keys[order]
 
 
-def search(index: TestIndex, positions: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, text positions, items, item starts) of the windows of each length."""
-    for length, tests, first, item, start in index.lengths:
-        pad = 4 * (index.window - length)
-        low = np.searchsorted(keys, tests.astype(keys.dtype), "left")
-        high = np.searchsorted(keys, np.array([t.ljust(4 * length, b"\0") + b"\xff" * pad for t in tests.tolist()], keys.dtype), "right")
-        for k in np.flatnonzero(high > low).tolist():
-            at, own = positions[low[k] : high[k]], slice(first[k], first[k + 1])
-            n = first[k + 1] - first[k]
-            yield length, np.repeat(at, n), np.tile(item[own], len(at)), np.tile(start[own], len(at))
+def search(index: TestIndex, positions: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text position, entry, its length) of every occurrence of a window, by position."""
+    at, entries, lengths, done = [], [], [], 0
+    for length, least, greatest in index.lengths:
+        low = np.searchsorted(keys, least.astype(keys.dtype), "left")
+        many = np.searchsorted(keys, greatest.astype(keys.dtype), "right") - low
+        hit = np.flatnonzero(many > 0)
+        many, low = many[hit], low[hit]
+        place = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
+        at.append(positions[place])
+        entries.append(np.repeat(hit + done, many))
+        lengths.append(np.full(len(place), length))
+        done += len(least)
+    at, entries, lengths = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, entries, lengths))
+    order = np.argsort(at, kind="stable")
+    return at[order], entries[order], lengths[order]
 
 
 def build_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcast indexes of all items, each over items of about block_bytes of text."""
+    """Broadcast indexes (pickled) of all items, each over items of about block_bytes of text."""
     spark = benchmark.sparkSession
     ship(spark)
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("words"))
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks, indexes = total // block_bytes + 1, []
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
-        rows = sorted(((r.item, words_of(r.words)) for r in own.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
-        indexes.append(spark.sparkContext.broadcast(TestIndex(rows, window)))
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(total // block_bytes + 1)).cast("int").alias("block")
+
+    def index(group: pa.Table) -> pa.Table:
+        rows = zip(group["item"].to_pylist(), group["words"].to_pylist(), strict=True)
+        rows = sorted(((name, words_of(text)) for name, text in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        return pa.table({"block": group["block"].slice(0, 1), "data": pa.array([pickle.dumps(TestIndex(rows, window))], pa.binary())})
+
+    built = store(items.select(block, "item", "words").groupBy("block").applyInArrow(index, "block int, data binary"), "indexes")
+    indexes = [spark.sparkContext.broadcast(bytes(r.data)) for r in built.select("data").toLocalIterator()]
+    discard(built)
     return indexes
 
 
+_lone: dict[int, TestIndex] = {}
+
+
 def _each(indexes: list) -> Iterator[TestIndex]:
     """One block's index after the other; a worker keeps only a lone one."""
-    for shared in indexes:
-        yield shared.value if len(indexes) == 1 else shared.load_from_path(shared._path)
+    if len(indexes) == 1:
+        data = indexes[0].value
+        if id(data) not in _lone:
+            _lone.clear()
+            _lone[id(data)] = pickle.loads(data)
+        yield _lone[id(data)]
+    else:
+        for shared in indexes:
+            yield pickle.loads(shared.load_from_path(shared._path))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -141,13 +197,66 @@ def _starts(words: list[list[bytes]]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.array([len(w) + 1 for w in words], np.int64))]).astype(np.int64)
 
 
-def _hits(index: TestIndex, words: list[list[bytes]], first: np.ndarray, window: int) -> list[tuple]:
-    if not index.lengths:
-        return []
+def _hits(index: TestIndex, words: list[list[bytes]], first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, get = np.zeros(first[-1], np.int64), index.vocab.get
     for at, own in zip(first.tolist(), words, strict=False):
         ids[at : at + len(own)] = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
-    return list(search(index, *suffix_array(ids, index.shortest, window)))
+    return search(index, *suffix_array(ids, max(index.shortest, 1), window))
+
+
+def shard_columns(words: list[list[bytes]], indexes: Iterable[TestIndex], window: int) -> list[list]:
+    """What SCHEMA has after the id, of the documents of a shard."""
+    first = _starts(words)
+    change = np.zeros(first[-1] + 1, np.int64)
+    sets: list[list[tuple]] = [[] for _ in words]  # of each document, names by set of entries
+    best: list[tuple] = [(0, 0, False, "", 0)] * len(words)
+    for index in indexes:
+        at, entry, length = _hits(index, words, first, window)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + length, -1)
+        known: dict[bytes, tuple] = {}
+        names_of: dict[int, tuple] = {}
+        matches: dict[tuple, tuple] = {}
+        doc = np.searchsorted(first, at, "right") - 1
+        edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)).tolist()
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            d, mine = int(doc[i]), {}
+            for e in np.unique(entry[i:j]).tolist():
+                if e not in names_of:
+                    ranks, one = np.unique(index.rank[index.places_of(e) >> 32], return_index=True)
+                    key = ranks.tobytes()
+                    if key not in known:
+                        known[key] = tuple(index.names[k] for k in (index.places_of(e)[one] >> 32).tolist())
+                    names_of[e] = known[key]
+                mine[id(names_of[e])] = names_of[e]
+            sets[d].extend(mine.values())
+            whole = np.flatnonzero(length[i:j] == window) + i
+            if len(whole):
+                runs = [(int(p[0]), tuple(entry[p].tolist())) for p in np.split(whole, np.flatnonzero(np.diff(at[whole]) != 1) + 1)]
+            else:  # only items of fewer words, which match whole
+                runs = [(p, (int(entry[p]),)) for p in range(i, j)]
+            for p, run in runs:
+                if run not in matches:
+                    matches[run] = index.longest(run)
+                n, k, rank, start = matches[run]
+                n = n if len(whole) else -int(length[p])
+                name = index.names[int(np.searchsorted(index.rank, rank))]
+                best[d] = min(best[d], (n, int(at[p]) + k - int(first[d]), name is None, name or "", start))
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+    n_hit = (covered[first[1:] - 1] - covered[first[:-1]]).tolist()
+    told: dict[tuple, tuple[int, str]] = {}
+    counts, digests = [], []
+    for own in sets:
+        key = tuple(sorted(map(id, own)))
+        if key not in told:
+            names = set().union(*own)
+            told[key] = len(names), hashlib.sha256(",".join(sorted(n for n in names if n is not None)).encode()).hexdigest()
+        counts.append(told[key][0])
+        digests.append(told[key][1])
+    return [
+        [len(w) for w in words], n_hit, counts, digests, [n > 0 for n in n_hit], [-b[0] for b in best],
+        [b[3] if b[0] and not b[2] else None for b in best], [b[4] if b[0] else None for b in best], [b[1] if b[0] else None for b in best],
+    ]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -159,8 +268,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         for batch, words in _shards(batches, at):
             first, clean = _starts(words), np.ones(len(words), bool)
             for index in _each(indexes):
-                for _, where, _, _ in _hits(index, words, first, window):
-                    clean[np.searchsorted(first, where, "right") - 1] = False
+                clean[np.searchsorted(first, _hits(index, words, first, window)[0], "right") - 1] = False
             yield batch.filter(pa.array(clean))
 
     plain = docs.toDF(*names)
@@ -172,46 +280,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     on a tie the first in the document, then of the first item as a string, one without a name last."""
     indexes = build_indexes(benchmark, item_col, item_text_col, window, block_bytes)
 
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in _shards(batches, 1):
-            counts = np.array([len(w) for w in words], np.int64)
-            first = _starts(words)
-            change = np.zeros(first[-1] + 1, np.int64)
-            names: list[set[str | None]] = [set() for _ in words]
-            best: list[tuple] = [(0, 0, False, "", 0)] * len(words)
-            for index in _each(indexes):
-                hits = _hits(index, words, first, window)
-                if not hits:
-                    continue
-                length = np.concatenate([np.full(len(p), n) for n, p, _, _ in hits])
-                at, item, start = (np.concatenate([h[k] for h in hits]) for k in (1, 2, 3))
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
-                doc = np.searchsorted(first, at, "right") - 1
-                for d, i in np.unique(np.column_stack([doc, item]), axis=0).tolist():
-                    names[d].add(index.names[i])
-                # Windows in step with each other are one match.
-                order = np.lexsort((at, at - start, item))
-                at, item, start, length, doc = at[order], item[order], start[order], length[order], doc[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) != 1) | (np.diff(at - start) != 0) | (np.diff(item) != 0) | (np.diff(doc) != 0)
-                head = np.flatnonzero(new)
-                size = np.diff(np.append(head, len(at))) - 1 + length[head]
-                for d, n, i, s, p in zip(doc[head].tolist(), size.tolist(), item[head].tolist(), start[head].tolist(), at[head].tolist(), strict=True):
-                    name = index.names[i]
-                    best[d] = min(best[d], (-n, p - int(first[d]), name is None, name or "", s))
-            covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
-            n_hit = covered[first[1:] - 1] - covered[first[:-1]]
-            sha = [hashlib.sha256(",".join(sorted(n for n in x if n is not None)).encode()).hexdigest() for x in names]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                    pa.array(sha, pa.string()), pa.array(n_hit > 0), pa.array([-b[0] for b in best], pa.int64()),
-                    pa.array([b[3] if b[0] and not b[2] else None for b in best], pa.string()),
-                    pa.array([b[4] if b[0] else None for b in best], pa.int64()), pa.array([b[1] if b[0] else None for b in best], pa.int64()),
-                ],
-                names=[f.split()[0] for f in SCHEMA.split(", ")],
-            )
+            columns = shard_columns(words, _each(indexes), window)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

@@ -1,8 +1,9 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
-from pathloom.llm.decontaminate import drop_contaminated, find_contamination
+from pathloom.llm.decontaminate import TestIndex, drop_contaminated, find_contamination, shard_columns, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -68,3 +69,21 @@ def test_items_without_a_name(spark):
     assert sorted(map(tuple, find_contamination(docs, items).collect())) == want
     assert sorted(map(tuple, find_contamination(docs, items, block_bytes=20).collect())) == want
     assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_a_prompt_that_many_items_share():
+    """Documents times items are not listed: 6,000 of each have one prompt."""
+    prompt = " ".join(f"p{i}" for i in range(25))
+    n = 6000
+    items = [(f"i{k:05d}", words_of(f"{prompt} question {k}")) for k in range(n)]
+    docs = [words_of(f"lead {k} {prompt} tail") for k in range(n - 1)] + [words_of(f"x {prompt} question 77 y")]
+    index = TestIndex(items, 10)
+    tracemalloc.start()
+    n_words, n_hit, n_items, sha, bad, longest, item, item_start, start = shard_columns(docs, [index], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    whole = hashlib.sha256(",".join(name for name, _ in items).encode()).hexdigest()
+    assert set(n_hit[:-1]) == {25} and set(n_items) == {n} and set(sha) == {whole} and all(bad)
+    assert {*zip(longest[:-1], item[:-1], item_start[:-1], start[:-1])} == {(25, "i00000", 0, 2)}
+    assert (n_hit[-1], longest[-1], item[-1], item_start[-1], start[-1]) == (27, 27, "i00077", 0, 1)
