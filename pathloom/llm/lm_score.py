@@ -41,6 +41,8 @@ SLICES = 64
 #: Text that is counted, and that is scored, at once; bounds on a worker's memory.
 CHUNK_BYTES = 8 << 20
 SCORE_BYTES = 3 << 20
+#: How hard chunks are compressed; they are written once and sent once.
+CHUNK_LEVEL = 6
 #: Pairs that one slice merges, about, and text for each of them; bounds on a worker's memory.
 PAIRS_PER_BUCKET = 4_000_000
 BYTES_PER_TOKEN = 6
@@ -188,7 +190,7 @@ def text_chunks(plain: DataFrame) -> DataFrame:
         for batch in batches:
             for first, last in row_blocks(text_buffers(batch.column(1))[1], SCORE_BYTES):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=CHUNK_LEVEL))) as out:
                     out.write_batch(batch.slice(first, last - first))
                 yield pa.RecordBatch.from_arrays([pa.array([cid]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["cid", "docs"])
                 cid += last - first
