@@ -5,7 +5,8 @@ than letters and digits are one space) and turned into its set of word bigrams.
 reach Dice t only with sets of n * t / (2 - t) to n * (2 - t) / t bigrams, so templates of other sizes are never compared.
 A notice or a wrapped licence inside a longer text is found by windows: where a text is too large for a template that no unit
 of it matched, but holds at least the template's lower bound of its bigrams, every run of as many words as the template has is
-compared, and the best one counts. Few texts get that far.
+compared, and the best one counts. The text is first taken in stretches that hold each window whole somewhere, and windows are compared only
+in those that hold the lower bound by themselves; so a licence in pieces far apart costs one look at each word.
 
 Templates are a list or a table given by the caller, at most MOST_TEMPLATES; they are one literal value, so the plan does not grow with
 them. The scan is one pass over the documents without a shuffle. Bigrams are compared by 64-bit hashes. Null and empty texts and lines
@@ -104,10 +105,14 @@ TEMPLATES = [
 ]
 
 
-def _bigrams(words: Column) -> Column:
-    """Distinct hashes of neighbouring words."""
+def _pairs(words: Column) -> Column:
+    """Hashes of neighbouring words, in order."""
     less = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda x, y: F.xxhash64(x, y)))
+    return F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda x, y: F.xxhash64(x, y))
+
+
+def _bigrams(words: Column) -> Column:
+    return F.array_distinct(_pairs(words))
 
 
 def _words(text: Column) -> Column:
@@ -158,14 +163,22 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: list[tuple
     def windows(w: Column, found: Column) -> Column:
         """The best window of each template that found lacks and that the text may hold."""
 
-        def best(t: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(w) - t["words"] + 1)
-            top = F.array_max(F.transform(starts, lambda s: F.struct(dice(_bigrams(F.slice(w, s, t["words"])), t).alias("dice"), (-s).alias("s"))))
-            return let(top, lambda x: match(t, F.lit(-1), -x["s"], x["dice"]))
+        def best(g: Column, t: Column) -> Column:
+            # Window s has the pairs s .. s + size - 1; each stretch has those of as many windows as a template has words.
+            size, last = t["words"] - 1, F.size(g) - t["words"] + 2
+            common = lambda at, n: F.size(F.array_intersect(F.slice(g, at, n), t["b"]))
+            score = lambda s: 2.0 * common(s, size) / (F.size(F.array_distinct(F.slice(g, s, size))) + F.size(t["b"]))
+            within = lambda i: F.array_max(F.transform(F.sequence(i, F.least(i + size, last)), lambda s: F.struct(score(s).alias("dice"), (-s).alias("s"))))
+            stretches = F.transform(F.sequence(F.lit(1), last, t["words"]), lambda i: F.when(common(i, 2 * size) >= t["low"], within(i)))
+            return let(F.array_max(stretches), lambda x: match(t, F.lit(-1), -x["s"], x["dice"]))
+
+        def held(g: Column) -> Column:
+            own = F.array_distinct(g)
+            return F.when(F.size(own) > least, F.struct(g.alias("g"), F.size(own).alias("n"), F.array_intersect(own, every).alias("hits")))
 
-        held = let(_bigrams(w), lambda b: F.when(F.size(b) > least, F.struct(F.size(b).alias("n"), F.array_intersect(b, every).alias("hits"))))
         may = lambda h: F.when(F.size(h["hits"]) >= least, F.filter(known, lambda t: (h["n"] > t["high"]) & (F.size(w) >= t["words"]) & (F.size(F.array_intersect(h["hits"], t["b"])) >= t["low"]) & ~F.exists(found, lambda m: m["template"] == t["k"])))
-        return F.coalesce(F.filter(F.transform(let(held, may), best), lambda m: m["dice"] >= threshold), none)
+        tried = let(_pairs(w), lambda g: let(held(g), lambda h: F.transform(may(h), lambda t: best(h["g"], t))))
+        return F.coalesce(F.filter(tried, lambda m: m["dice"] >= threshold), none)
 
     per_unit = lambda u, i: let(_words(u), lambda w: F.when(F.size(w) > least, let(_bigrams(w), lambda b: compare(b, i))).otherwise(none))
     of_units = F.coalesce(F.flatten(F.transform(units, per_unit)), none)

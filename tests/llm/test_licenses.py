@@ -1,5 +1,6 @@
 import re
 import textwrap
+import time
 
 from pathloom.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses
 
@@ -57,3 +58,18 @@ def test_templates_as_a_table(spark):
     got = scan_licenses(docs, templates=spark.createDataFrame(many, "license string, text string").orderBy("license").coalesce(1)).collect()
     assert sorted((r.doc_id, [m.license for m in r["__licenses"]]) for r in got) == [(1, ["L7"]), (2, ["L399"]), (3, [])]
     assert [r["__licenses"] for r in scan_licenses(docs, templates=[("empty", "")]).collect()] == [[]] * 3
+
+
+def test_broken_licences_in_long_texts_cost_little(spark):
+    """A million words with the halves of a licence far apart: nothing is found, and no window is compared."""
+    text = dict(t for t in TEMPLATES if len(t[1]) > 500)["MIT"].split()
+    filler = [f"w{k % 997} x{k % 1009}" for k in range(250_000)]
+    rows = [(1, " ".join([*text[:80], *filler, *text[80:], *filler])), (2, " ".join([*filler[:9], *text, *filler]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).persist()
+    docs.count()
+    scan_licenses(spark.createDataFrame([(0, "warm up " * 50)], "doc_id long, text string")).collect()
+    began = time.time()
+    got = {r.doc_id: [(m.license, m.unit, m.word) for m in r["__licenses"]] for r in scan_licenses(docs).select("doc_id", "__licenses").collect()}
+    took = time.time() - began
+    assert got == {1: [], 2: [("MIT", -1, 19)]}
+    assert took < 20
