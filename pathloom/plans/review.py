@@ -6,6 +6,7 @@ its step changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import catalog
 from pathloom.functions.tables import written
-from pathloom.operators import constraints, export, filters, metrics, paths, rules, scoring, states
+from pathloom.operators import constraints, export, filters, metrics, paths, requests, rules, scan_runner, scoring, states
 
 
 #: Kept paths where no number is given: the most that a top-k takes.
@@ -28,7 +29,8 @@ class ReviewInputs:
     scan_findings: file_path, rule_id, severity, line_number, explanation. unanswered: file_path of scans that were asked for and
     refused; the texts of these files are searched for the words of their critical rules instead. context_scores: finding_id, score.
     sandbox_runs: finding_id, passed, sanitizer, compilation_error. suppressions: file_path, line_number, rule_id.
-    fuzz: path_id, crashed. ranking: path_id, rank. manifests: file_name, text.
+    fuzz: path_id, crashed. ranking: path_id, rank. manifests: file_name, text. scan: a function (file_path, text) -> (rule_id, severity,
+    line_number, explanation) each, called for the first scan_files files by priority under scan_budget; what it refuses or fails on counts as unanswered.
     """
 
     nodes: DataFrame
@@ -47,10 +49,21 @@ class ReviewInputs:
     manifests: DataFrame | None = None
     scoped: bool = False
     unanswered: DataFrame | None = None
+    scan: Callable[[str, str], Iterable[tuple]] | None = None
+    scan_budget: scan_runner.Budget = scan_runner.Budget()
+    scan_files: int = 40
     max_hops: int = 15
     most_paths: int | None = 100
 
 
+def _scans(spark: SparkSession, given: ReviewInputs) -> DataFrame:
+    """What the scan function says of the files that come first."""
+    mine = rules.rules_for_files(given.files, catalog.rules_frame(spark, given.rules))
+    chosen = scoring.scan_priority(given.files, given.changed, mine, given.scan_files)
+    asked = requests.scan_requests(given.files, chosen).join(chosen.select("file_path", (-F.col("score")).alias("ord")), "file_path")
+    return scan_runner.run_scans(asked, given.scan, given.scan_budget, ["ord"])
+
+
 def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False) -> dict[str, DataFrame]:
     """Frames by name: paths, findings, dropped, results, card, files, unreported, report, errors.
 
@@ -77,11 +90,15 @@ def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False)
     findings = constraints.to_findings(pruned.where("not was_pruned"), given.nodes.select("node_id", "code"), given.fuzz).withColumn("finding_id", F.col("path_id"))
 
     columns = ["file_path", "rule_id", "severity", "line_number", "explanation", "confidence"]
-    answers = None
-    if given.scan_findings is not None:
-        answers = given.scan_findings.withColumn("confidence", scoring.explanation_confidence(F.col("severity"), F.col("explanation"))).select(columns)
-    if given.unanswered is not None:
-        asked = given.files.join(given.unanswered.select("file_path"), "file_path", "left_semi")
+    answers, told, unanswered = None, given.scan_findings, given.unanswered
+    if given.scan is not None:
+        ran = _scans(spark, given)
+        either = lambda a, b: b if a is None else a.select(b.columns).unionByName(b)
+        told, unanswered = either(told, scan_runner.answers_of(ran)), either(unanswered, scan_runner.unanswered(ran))
+    if told is not None:
+        answers = told.withColumn("confidence", scoring.explanation_confidence(F.col("severity"), F.col("explanation"))).select(columns)
+    if unanswered is not None:
+        asked = given.files.join(unanswered.select("file_path"), "file_path", "left_semi")
         mine = rules.rules_for_files(asked, catalog.rules_frame(spark, given.rules)).select("file_path", "rule_id")
         hits = rules.search_text(asked, catalog.keywords_frame(spark, given.rules)).join(mine, ["file_path", "rule_id"], "left_semi")
         told = F.concat(F.lit("text search: "), "rule_id", F.lit(" — "), "keyword", F.lit(" in "), "file_path")

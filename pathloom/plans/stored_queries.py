@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import catalog, scalars
 from pathloom.functions.tables import shared_dir
-from pathloom.operators import export, filters, graph_store, paths, requests, rules, scoring
+from pathloom.operators import export, filters, graph_store, paths, requests, rules, scan_runner, scoring
 from pathloom.operators.graph_store import GraphStore
 from pathloom.plans.evaluate import evaluate
 from pathloom.plans.review import ReviewInputs, run_review
@@ -263,6 +263,41 @@ def refused_scans(spark, sf_dir):
     return run_review(spark, given)["findings"].select("snk_file", "status", "confidence", "snk_line", "summary")
 
 
+@query("""WITH r AS (SELECT 'd' || doc_id AS f, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+s AS (SELECT f, text, CASE WHEN (k - 1) // 4 >= 150 THEN 'refused' WHEN contains(text, '%%%') THEN 'failed' ELSE 'answered' END AS outcome FROM r),
+l AS (SELECT f, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM s WHERE outcome = 'answered')
+SELECT s.f AS file_path, outcome, CAST(l.n AS INT) AS line_number, CASE WHEN l.n IS NOT NULL THEN 'secret' END AS rule_id FROM s LEFT JOIN (SELECT f, n FROM l WHERE contains(line, 'token')) l ON l.f = s.f""")
+def scan_runs(spark, sf_dir):
+    """Documents scanned by a function in four slots of 150 requests each: what it finds, what it fails on, and what is refused."""
+
+    def look(path: str, text: str):
+        if "%%%" in text:
+            raise ValueError("not a text")
+        return [("secret", "CRITICAL", n, line) for n, line in enumerate(text.split("\n"), 1) if "token" in line]
+
+    asked = table(spark, sf_dir, "documents").select(_cat("d", F.col("doc_id")).alias("file_path"), "text", "doc_id")
+    return scan_runner.run_scans(asked, look, scan_runner.Budget(slots=4, requests=150), ["doc_id"]).select("file_path", "outcome", "line_number", "rule_id")
+
+
+@query("""WITH c AS (SELECT c_custkey, 'c' || c_custkey || '.c' AS f, c_custkey % 3 AS m, row_number() OVER (ORDER BY 'c' || c_custkey || '.c') AS k FROM customer)
+SELECT f AS snk_file, 'LIKELY' AS status, CAST(1 AS INT) AS snk_line, 0.88::DOUBLE AS confidence FROM c WHERE k <= 1000 AND m = 1
+UNION ALL SELECT f, 'LIKELY', 2, 0.72 FROM c WHERE k > 1000 OR m = 0""")
+def scanned_review(spark, sf_dir):
+    """A review whose scans run under a budget of 1,000 requests: files that are refused or fail are searched for the words of their critical rules."""
+
+    def look(path: str, text: str):
+        n = int(path[1:-2])
+        if n % 3 == 0:
+            raise TimeoutError(path)
+        return [("no_strcpy", "CRITICAL", 1, "this is an explanation of a certain bug")] if n % 3 == 1 else []
+
+    nodes, edges = _nation_chain(spark, sf_dir)
+    files = table(spark, sf_dir, "customer").select(_cat("c", F.col("c_custkey"), ".c").alias("file_path"), F.lit("x\n strcpy(a, b)\n").alias("text"))
+    made = [catalog.Rule("no_strcpy", "CRITICAL", "call:gets|call:strcpy", ("**/*.c",))]
+    given = ReviewInputs(nodes.where("false").withColumn("code", F.lit("")), edges, files, files.select("file_path", F.monotonically_increasing_id().alias("ord")), rules=made, scan=look, scan_budget=scan_runner.Budget(requests=1000), scan_files=1_000_000)
+    return run_review(spark, given)["findings"].select("snk_file", "status", "snk_line", "confidence")
+
+
 @query("""WITH c AS (SELECT c_nationkey % 5 <> 2 AS bad, c_custkey % 3 <> 0 AS said FROM customer), n AS (SELECT count(*) FILTER (bad AND said) AS tp, count(*) FILTER (NOT bad AND said) AS fp, count(*) FILTER (NOT bad AND NOT said) AS tn, count(*) FILTER (bad AND NOT said) AS fn FROM c)
 SELECT tp, fp, tn, fn, round(tp / (tp + fp), 3) AS precision, round(tp / (tp + fn), 3) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 3) AS f1, round(fp / (fp + tn), 3) AS fpr FROM n""")
 def evaluation(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.catalog import parse_suppressions
+from pathloom.functions.matching import match_words
 from pathloom.functions.tables import written
 
 # Extensions of C and C++ and of all scanned languages; build files by system in the order of their
@@ -18,7 +19,6 @@ BUILD_FILES = [
 ]
 ALLOWED_FLAGS = ["-O", "-std=", "-I", "-D", "-W", "-f", "-m", "-g", "-march=", "-mtune=", "-target"]
 BLOCKED_FLAGS = ["-fplugin", "-B", "--sysroot", "-rpath", "-Wl,", "-load", "-pass-plugin"]
-MOST_COMMANDS = 50_000
 LEVELS = ["-O0", "-O1", "-O2", "-O3", "-Os", "-Oz"]
 
 
@@ -61,11 +61,11 @@ def build_system(files: DataFrame) -> DataFrame:
 def compile_settings(files: DataFrame, commands: DataFrame, compiler: str = "c++") -> DataFrame:
     """Per file (file_path): compiler, opt_level and flags of the first command (ord, file, command) whose file or
     command contains its path; defaults where there is none."""
-    hit = F.contains("file", F.col("file_path")) | F.contains("command", F.col("file_path"))
-    # Neither test is an equality, so one side must go everywhere: the commands while they are few, else the one that Spark finds smaller.
-    few = commands.limit(MOST_COMMANDS + 1).count() <= MOST_COMMANDS
-    met = files.select("file_path").distinct().join(F.broadcast(commands) if few else commands, hit).groupBy("file_path").agg(F.min_by("command", "ord").alias("command"))
-    rows = files.select("file_path").distinct().join(met, "file_path", "left")
+    paths = files.select("file_path").distinct().select(F.xxhash64("file_path").alias("word_id"), "file_path")
+    # Every path is sought in every command's two texts, all paths in one pass.
+    both = commands.select(F.struct("ord", "command").alias("key"), F.explode(F.array("file", "command")).alias("text"))
+    met = match_words(both, paths.select("word_id", F.col("file_path").alias("word"))).groupBy("word_id").agg(F.min("key").alias("first"))
+    rows = paths.join(met, "word_id", "left").select("file_path", F.col("first.command").alias("command"))
     parts = F.filter(F.split("command", r"\s+"), lambda x: x != "")
     flags = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.startswith(x, F.lit("-")))
     level = F.filter(flags, lambda x: x.isin(LEVELS))
