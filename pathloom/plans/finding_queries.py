@@ -165,6 +165,15 @@ def nitpick_anti(spark, sf_dir):
     return filters.unreported_files(changed, found, most=None).select(F.col("file_path").alias("doc_id"))
 
 
+@query("""WITH f AS (SELECT doc_id FROM documents WHERE source <> 'src0' ORDER BY doc_id LIMIT 20) SELECT doc_id FROM f WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars % 3 = 0)""")
+def nitpick_first(spark, sf_dir):
+    """Of the first twenty changed files those without a positive finding."""
+    d = table(spark, sf_dir, "documents")
+    changed = d.where("source <> 'src0'").select(F.col("doc_id").alias("file_path"), F.col("doc_id").alias("ord"))
+    found = d.select(F.col("doc_id").alias("snk_file"), F.when(F.col("n_chars") % 3 == 0, "LIKELY").otherwise("ADVISORY").alias("status"))
+    return filters.unreported_files(changed, found).select(F.col("file_path").alias("doc_id"))
+
+
 @query(f"""WITH r AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS passed, max(CASE WHEN l_tax > 0.07 THEN 'e' ELSE '' END) AS err, min(CASE WHEN l_linestatus = 'O' THEN 'memory' ELSE 'address' END) AS san FROM lineitem WHERE l_quantity > 5 GROUP BY 1),
 f AS (SELECT *, sink = 'custom' AS msan FROM {FINDING_SQL})
 SELECT o_orderkey, CASE WHEN passed IS NULL THEN status WHEN NOT passed AND err = '' THEN 'SANDBOX_VERIFIED' WHEN err <> '' AND status = 'PROVEN' THEN 'LIKELY' WHEN err <> '' OR (msan AND san <> 'memory') THEN status ELSE 'WARNING' END AS status

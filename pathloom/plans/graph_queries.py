@@ -159,18 +159,33 @@ def sink_distances(spark, sf_dir):
     return paths.distances_to(edges.select("src", "dst"), _ends(nodes, "purchase"), 6)
 
 
-@query("""WITH h AS (SELECT p_partkey FROM part WHERE p_size = 7), i AS (SELECT DISTINCT 'o' || l_orderkey AS a, l_partkey FROM lineitem WHERE l_partkey IN (SELECT * FROM h)),
+_BRIDGE_SQL = """WITH h AS (SELECT p_partkey FROM part WHERE p_size = 7), i AS (SELECT DISTINCT 'o' || l_orderkey AS a, l_partkey FROM lineitem WHERE l_partkey IN (SELECT * FROM h)),
 o AS (SELECT DISTINCT l_partkey, 's' || l_suppkey AS b FROM lineitem WHERE l_partkey IN (SELECT * FROM h))
-SELECT DISTINCT a AS src, b AS dst FROM i JOIN o USING (l_partkey) WHERE (a, b) NOT IN (SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 40)""")
+SELECT DISTINCT a AS src, b AS dst FROM i JOIN o USING (l_partkey) WHERE (a, b) NOT IN (SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 40)"""
+
+
+@query(_BRIDGE_SQL)
 def summary_bridge(spark, sf_dir):
     """Parts of one size are opaque calls from orders to suppliers; large quantities already have a summary edge."""
+    nodes, edges, had = _opaque_parts(spark, sf_dir)
+    return paths.bridge_opaque_calls(nodes, edges, most=None).where("summary").join(had, ["src", "dst"], "left_anti").select("src", "dst")
+
+
+@query(_BRIDGE_SQL + " ORDER BY 1, 2 LIMIT 500")
+def first_bridges(spark, sf_dir):
+    """The first 500 of them."""
+    nodes, edges, had = _opaque_parts(spark, sf_dir)
+    return paths.bridge_opaque_calls(nodes, edges).where("summary").join(had, ["src", "dst"], "left_anti").select("src", "dst")
+
+
+def _opaque_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, and the summary edges among them."""
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
     nodes = p.select(name("p", "p_partkey").alias("node_id"), F.when(F.col("p_size") == 7, "memcpy").otherwise("other").alias("function_name"), F.lit("CALL").alias("node_type"))
     flow = li.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")).union(li.select(name("p", "l_partkey"), name("s", "l_suppkey"))).select("src", "dst", F.lit("REACHING_DEF").alias("type"), F.lit(None).cast("boolean").alias("summary"))
     had = li.where("l_quantity > 40").select(name("o", "l_orderkey").alias("src"), name("s", "l_suppkey").alias("dst"), F.lit("REACHING_DEF").alias("type"), F.lit(True).alias("summary"))
-    edges = flow.unionByName(had)
-    return paths.bridge_opaque_calls(nodes, edges, most=None).where("summary").join(had, ["src", "dst"], "left_anti").select("src", "dst")
+    return nodes, flow.unionByName(had), had
 
 
 @query("""WITH f AS (SELECT p_partkey, p_brand || p_size AS name FROM part), d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)

@@ -116,10 +116,12 @@ def safe_lists(spark, sf_dir):
     return catalog.names(spark, catalog.load_safe_names(text))
 
 
-@query("SELECT rule_id FROM (VALUES ('steel', 'CRITICAL'), ('tin', 'ADVISORY'), ('zinc', 'CRITICAL')) t(rule_id, severity) WHERE severity = 'CRITICAL'")
+@query("SELECT 'r' || p_partkey AS rule_id, p_type AS pattern FROM part WHERE p_size % 3 = 1")
 def rules_by_severity(spark, sf_dir):
-    made = [catalog.Rule("steel", "CRITICAL", ""), catalog.Rule("tin", "ADVISORY", ""), catalog.Rule("zinc", "CRITICAL", "")]
-    return rules.by_severity(catalog.rules_frame(spark, made), "CRITICAL").select("rule_id")
+    """Parts as rules of three severities, one of them unknown."""
+    size = F.col("p_size") % 3
+    made = table(spark, sf_dir, "part").select(_cat("r", F.col("p_partkey")).alias("rule_id"), F.col("p_type").alias("pattern"), F.when(size == 1, "CRITICAL").when(size == 2, "ADVISORY").alias("severity"))
+    return rules.by_severity(made, "CRITICAL").select("rule_id", "pattern")
 
 
 @query("""SELECT doc_id || '-' || CAST(n_chars % 2 AS INT) AS case_id, CASE WHEN n_chars % 2 = 1 THEN sha256(text) ELSE sha256(source) END AS code, n_chars % 2 = 1 AS is_vulnerable FROM documents WHERE lang = 'en'""")
@@ -131,13 +133,16 @@ def csv_corpus(spark, sf_dir):
     return repo.pair_corpus(repo.read_pairs(spark, at), "en", 1_000_000).withColumn("code", F.sha2("code", 256))
 
 
-@query("""SELECT n_nationkey || '-' || v AS case_id, CASE WHEN v THEN n_name ELSE 'x' || n_regionkey END AS code, v AS is_vulnerable FROM nation, (VALUES (true), (false)) t(v) WHERE n_regionkey <> 2""")
+@query("""SELECT doc_id || '-' || v AS case_id, CASE WHEN v THEN sha256(text) ELSE source || lang END AS code, v AS is_vulnerable FROM documents, (VALUES (true), (false)) t(v) WHERE n_chars % 5 > 0 AND doc_id % 7 > 0""")
 def sqlite_corpus(spark, sf_dir):
-    with tempfile.NamedTemporaryFile(suffix=".db") as f:  # read on the driver alone
+    """A SQLite corpus of the documents, read in ranges of row numbers; a part has no code after, a part another language."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").cast("string"), F.sha2("text", 256), F.when(F.col("n_chars") % 5 > 0, F.concat("source", "lang")), F.when(F.col("doc_id") % 7 > 0, "Python").otherwise("C"))
+    with tempfile.NamedTemporaryFile(suffix=".db", delete=False) as f:  # written by the driver, sent to executors by Spark
         with sqlite3.connect(f.name) as db:
             db.execute("CREATE TABLE file_change (file_change_id, code_before, code_after, programming_language)")
-            db.executemany("INSERT INTO file_change VALUES (?, ?, ?, ?)", [(str(r.n_nationkey), r.n_name, None if r.n_regionkey == 2 else f"x{r.n_regionkey}", "Python") for r in table(spark, sf_dir, "nation").collect()])
-        return repo.change_corpus(repo.read_changes(spark, f.name), "python", 1_000_000)
+            db.executemany("INSERT INTO file_change VALUES (?, ?, ?, ?)", (tuple(r) for r in rows.toLocalIterator()))
+    return repo.change_corpus(repo.read_changes(spark, f.name, rows_per_task=500), "python", 1_000_000)
 
 
 # ---- extraction and search ----
@@ -170,14 +175,16 @@ def extracted_nodes(spark, sf_dir):
     return extract.extract_graph(_c_files(spark, sf_dir), "r")[0].select("file_path", "function_name", "line_start", "line_end", "node_type")
 
 
-@query("""SELECT n_nationkey || '.c' AS file_path, 'f' AS function_name, CAST(1 AS INT) AS line_start, 'AST_FUNC' AS node_type FROM nation UNION ALL SELECT n_nationkey || '.c', 'free', 2, 'CALL_SINK' FROM nation""")
+@query("""SELECT s_suppkey || '.c' AS file_path, 'f' AS function_name, CAST(1 AS INT) AS line_start, 'AST_FUNC' AS node_type FROM supplier WHERE s_suppkey BETWEEN 10 AND 19 OR s_suppkey BETWEEN 100 AND 199
+UNION ALL SELECT s_suppkey || '.c', 'free', 2, 'CALL_SINK' FROM supplier WHERE s_suppkey BETWEEN 10 AND 19 OR s_suppkey BETWEEN 100 AND 199""")
 def backend_source(spark, sf_dir):
-    """The extractor as a pluggable backend behind a Python data source."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lit("int f(int a) {\n  free(p);\n}").alias("text"))
-    at = _one_file_each(n, "n_nationkey", _folder(spark, "backend"), "text")
+    """The extractor as a pluggable backend behind a Python data source; the filter on paths chooses the files that are read."""
+    n = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("int f(int a) {\n  free(p);\n}").alias("text"))
+    at = _one_file_each(n, "s_suppkey", _folder(spark, "backend"), "text")
     backend.register(spark)
-    found = spark.read.format("pathloom_backend").option("root", at).option("extensions", "txt").load()
-    return found.select(_cat(F.regexp_extract("file_path", "n_nationkey=([0-9]+)/", 1), ".c").alias("file_path"), "function_name", "line_start", "node_type")
+    found = spark.read.format("pathloom_backend").option("root", at).option("extensions", "txt").load().where("file_path LIKE 's_suppkey=1%'")
+    out = found.select(F.regexp_extract("file_path", "s_suppkey=([0-9]+)/", 1).alias("key"), "function_name", "line_start", "node_type")
+    return out.where("length(key) > 1 and cast(key as int) < 200").select(_cat(F.col("key"), ".c").alias("file_path"), "function_name", "line_start", "node_type")
 
 
 _KIND_SQL = "SELECT 'p' || p_partkey AS node_id, p_brand AS file_path, ['fgets', 'strcpy', 'memcpy', 'recv', 'foo', 'argv'][1 + p_size % 6] AS name, ['CALL', 'AST_FUNC', 'CALL_SINK', 'MY_SOURCE'][1 + p_partkey % 4] AS kind FROM part"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.catalog import parse_suppressions
 from pathloom.functions.matching import match_words
-from pathloom.functions.tables import written
 
 # Extensions of C and C++ and of all scanned languages; build files by system in the order of their
 # test; compiler flags by prefix.
@@ -93,20 +96,29 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[(F.col(n).try_cast(t) if n in rows.columns else F.lit(None).cast(t)).alias(n) for n, t in (f.split() for f in schema.split(", "))])
 
 
-def read_changes(spark: SparkSession, path: str, table: str = "file_change", id_col: str = "file_change_id") -> DataFrame:
-    """The rows of change_corpus() from a SQLite file, read on the driver row by row and written in parts to the shared folder, so
-    that its size meets no memory limit. Spark has no reader for this format without a driver of its own."""
+def read_changes(spark: SparkSession, path: str, table: str = "file_change", id_col: str = "file_change_id", rows_per_task: int = 10_000) -> DataFrame:
+    """The rows of change_corpus() from a SQLite file, read by tasks in ranges of row numbers. Spark has no reader for this format without a
+    driver of its own, so the file goes to each executor once; path may be in any file system that Spark reads."""
     import sqlite3
 
-    names, parts = ("id", "code_before", "code_after", "programming_language"), []
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        cursor = db.execute(f'SELECT "{id_col}", code_before, code_after, programming_language FROM "{table}" ORDER BY 1')
-        while rows := cursor.fetchmany(10_000):
-            parts.append(written(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), "changes"))
-    every = parts[0] if parts else spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    spark.sparkContext.addFile(path)
+    name, names = path.rstrip("/").rpartition("/")[2], ("id", "code_before", "code_after", "programming_language")
+    with sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True) as db:
+        least, most = db.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+    schema = ", ".join(f"{n} string" for n in names)
+    if least is None:
+        return spark.createDataFrame([], schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True) as db:
+            for batch in batches:
+                for first in batch.column(0).to_pylist():
+                    rows = db.execute(f'SELECT "{id_col}", code_before, code_after, programming_language FROM "{table}" WHERE rowid BETWEEN ? AND ?', (first, first + rows_per_task - 1)).fetchall()
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([None if v is None else str(v) for v in c], pa.string()) for c in zip(*rows, strict=True)], names=list(names))
+
+    ranges = spark.range(least, most + 1, rows_per_task)
+    return ranges.repartition(min(10_000, (most - least) // rows_per_task + 1)).mapInArrow(read, schema)
 
 
 def pair_corpus(rows: DataFrame, lang: str, most: int, order: str = "index") -> DataFrame:
