@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import subprocess
 import sys
 
@@ -12,6 +13,7 @@ from pathloom.functions import catalog
 from pathloom.operators import export
 from pathloom.plans.review import ReviewInputs, run_review
 from pathloom.sources.extract import extract_graph
+from pathloom.sources.sarif_sink import write_sarif
 from pathloom.sources.repo import CPP_EXTENSIONS, changed_files, read_suppressions, scan_files
 
 
@@ -31,13 +33,18 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     p.add_argument("--suppress", help="a file of lines file:line:rule")
     p.add_argument("--out", help="a folder for the results as JSON")
     p.add_argument("--sarif", help="a file for the results in SARIF")
+    p.add_argument("--sources", default="", help="comma-separated further names of sources")
+    p.add_argument("--sinks", default="", help="comma-separated further names of sinks")
+    p.add_argument("--extensions", default=",".join(CPP_EXTENSIONS), help="comma-separated endings of the files to read")
+    p.add_argument("--comments", help="a folder for the review comments as JSON")
     p.add_argument("--dry-run", action="store_true")
     a = p.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("pathloom").getOrCreate()
-    files = scan_files(spark, a.root, CPP_EXTENSIONS)
+    names = lambda text: [x.strip() for x in text.split(",") if x.strip()]
+    files = scan_files(spark, a.root, names(a.extensions))
     nodes, edges = extract_graph(files, a.root)
     changed = changed_files(spark, a.changed, _diff(a.root, a.against), files)
-    given = ReviewInputs(nodes, edges, files, changed, suppressions=read_suppressions(spark, a.suppress) if a.suppress else None)
+    given = ReviewInputs(nodes, edges, files, changed, suppressions=read_suppressions(spark, a.suppress) if a.suppress else None, sources=names(a.sources), sinks=names(a.sinks))
     if a.rules:
         given.rules = catalog.load_rule_files(spark, a.rules)
     out = run_review(spark, given, a.dry_run)
@@ -46,8 +53,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.out:
         export.write_json({k: out[k] for k in ("findings", "results", "card", "files")}, a.out)
     if a.sarif:
-        with open(a.sarif, "w") as f:
-            f.write(export.sarif_document(out["findings"]))
+        write_sarif(export.sarif_results(out["findings"]), os.path.abspath(a.sarif) if "://" not in a.sarif else a.sarif)
+    if a.comments:
+        told = export.result_rows(out["findings"]).selectExpr("uri AS file_path", "start_line AS line_end", "message AS body")
+        export.comment_rows(told).write.mode("overwrite").json(a.comments)
     return out["card"].first().exit_code
 
 

@@ -18,7 +18,7 @@ from pathloom.operators import export, filters, graph_store, paths, requests, ru
 from pathloom.operators.graph_store import GraphStore
 from pathloom.plans.evaluate import evaluate
 from pathloom.plans.review import ReviewInputs, run_review
-from pathloom.sources import backend, extract, repo, scanners
+from pathloom.sources import backend, extract, repo, sarif_sink, scanners
 from pathloom.streaming import ingress
 
 from .registry import query, table
@@ -520,6 +520,23 @@ def sequence_diagrams(spark, sf_dir):
     return export.sequence_lines(found, "p_partkey")
 
 
+@query("""SELECT 'f' || c_nationkey AS uri, CAST(greatest(c_custkey % 50, 1) AS INT) AS line, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'error' ELSE 'note' END AS level, c_name AS message, CAST(2 AS BIGINT) AS batch
+FROM customer WHERE c_acctbal > 0""")
+def sarif_document(spark, sf_dir):
+    """Findings written as one SARIF document by all tasks, twice; a batch that comes again changes nothing. The document read back."""
+    c, at = table(spark, sf_dir, "customer"), f"{_folder(spark, 'sarif')}.sarif"
+    status = F.when(F.col("c_mktsegment") == "MACHINERY", "PROVEN").otherwise("LIKELY")
+    found = c.where("c_acctbal > 0").select(_cat("f", F.col("c_nationkey")).alias("snk_file"), (F.col("c_custkey") % 50).cast("int").alias("snk_line"), _cat("s", F.col("c_nationkey")).alias("src_file"), F.lit(1).alias("src_line"), F.lit("r").alias("rule_id"), status.alias("status"), F.lit(0.9).alias("confidence"), F.col("c_name").alias("summary"), F.lit("").alias("formula"))
+    results = export.sarif_results(found).repartition(6)
+    for batch, rows in ((1, results.limit(3)), (2, results), (2, results.limit(5)), (1, results.limit(1))):
+        sarif_sink.write_sarif(rows, at, batch=batch)
+    one = "struct<level string, message struct<text string>, locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int>>>>>"
+    back = spark.read.schema(f"runs array<struct<results array<{one}>>>").json(at, multiLine=True).select(F.explode(F.flatten("runs.results")).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    told = spark.read.text(f"{at}.batch").select(F.col("value").cast("long").alias("batch"))
+    return back.select(place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"), "r.level", F.col("r.message.text").alias("message")).join(told)
+
+
 @query("SELECT source AS file_path, CAST(n_chars % 7 AS INT) AS line_end, sha256(substr(text, 1, 3800)) AS body FROM documents WHERE lang <> 'fr' AND n_chars % 7 > 0")
 def review_comments(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -69,3 +69,43 @@ def test_sqlite_in_ranges(spark, tmp_path):
     got = repo.read_changes(spark, at, rows_per_task=64)
     assert sorted(map(tuple, got.collect())) == sorted((str(i), f"b{i}", None if i % 3 == 0 else f"a{i}", "C") for i in range(1000) if not 100 <= i <= 700)
     assert got.rdd.getNumPartitions() > 4 and repo.read_changes(spark, at, table="none").collect() == []
+
+
+def test_sarif_document_is_whole_or_as_it_was(spark, tmp_path):
+    import json
+
+    import pytest
+    from pathloom.sources.sarif_sink import write_sarif
+    from pyspark.sql import functions as F
+
+    at = f"file://{tmp_path}/out.sarif"
+    rows = lambda n: spark.range(n).repartition(4).select(F.to_json(F.struct(F.col("id").alias("ruleId"))).alias("result"))
+    read = lambda: sorted(r["ruleId"] for r in json.loads((tmp_path / "out.sarif").read_text())["runs"][0]["results"])
+    write_sarif(rows(0), at)
+    assert read() == []
+    write_sarif(rows(500), at, batch=7, tool="t")
+    assert read() == list(range(500)) and '"name": "t"' in (tmp_path / "out.sarif").read_text()
+    write_sarif(rows(3), at, batch=7)
+    assert read() == list(range(500))
+    # A job that fails leaves the document and no parts.
+    broken = rows(500).select(F.when(F.col("result").contains("499"), F.raise_error(F.lit("lost"))).otherwise(F.col("result")).alias("result"))
+    with pytest.raises(Exception):
+        write_sarif(broken, at, batch=8)
+    assert read() == list(range(500)) and sorted(p.name for p in tmp_path.iterdir()) == ["out.sarif", "out.sarif.batch"]
+    write_sarif(rows(2), at, batch=8)
+    assert read() == [0, 1]
+
+
+def test_a_failed_load_leaves_the_graph(spark, tmp_path):
+    import pytest
+    from pathloom.operators.graph_store import GraphStore
+    from pyspark.sql import functions as F
+
+    store = GraphStore(spark, f"file://{tmp_path}/graph", buckets=4)
+    edges = spark.createDataFrame([], "src string, dst string, type string")
+    nodes = spark.range(20).select(F.col("id").cast("string").alias("node_id"), F.lit("f").alias("file_path"), F.lit("n").alias("function_name"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("CALL").alias("node_type"), F.lit("x").alias("code"))
+    store.ingest(nodes, edges, "r", "1")
+    bad = nodes.withColumn("code", F.when(F.col("node_id") == "7", F.raise_error(F.lit("lost"))).otherwise("y"))
+    with pytest.raises(Exception):
+        store.ingest(bad, edges, "r", "2", spark.createDataFrame([("f",)], "file_path string"))
+    assert store.version() == 1 and {r.code for r in store.load()[0].collect()} == {"x"}
