@@ -75,7 +75,10 @@ def _by_range(plain: DataFrame) -> DataFrame:
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
     cuts = plain.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0] or []
     bounds = F.from_json(F.lit(str(sorted(set(cuts)))), "array<bigint>")
-    return plain.repartitionById(n, F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)))
+    # How many cuts are not above the id, by halving steps.
+    halves = F.array(*[F.lit(1 << k) for k in range(n.bit_length(), -1, -1)])
+    on = lambda at, step: (at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= F.col("doc_id"))
+    return plain.repartitionById(n, F.aggregate(halves, F.lit(0), lambda at, step: F.when(on(at, step), at + step).otherwise(at)))
 
 
 def read_tokens(spark: SparkSession, at: str, doc_ids: list[int] | None = None) -> DataFrame:
