@@ -10,7 +10,7 @@ and tells each chunk the levels of its keys, so that a worker holds one slice at
 The probability of a word after another is lam * c(pair) / c(first) + (1 - lam) * (c(word) + 1) / (N + V + 1), all counts
 by probes (lam only where the first was seen); the text's start counts as after an end.
 
-The base score needs each token's exact count. The at most `head` most frequent words are broadcast; all other occurrences are
+The base score needs each token's exact count. The at most `head` most frequent words are broadcast, and so their levels need no probe; all other occurrences are
 joined with the counts by word hash, so nothing grows on the driver and no key is hot. Words and pairs are told apart by 64-bit hashes.
 
 Training documents: crc32 of the id as text, modulo 7, is not 2 (a null id trains). Null and empty texts are an end alone; a very long
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -209,22 +210,63 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ascending[first], place
 
 
-def _tokens_of(docs: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one chunk: ids, tokens, first of each row, distinct tokens and where each token is among them, ascending keys of all
-    n-grams, and where in these are the distinct tokens, the end, and the pair at each token."""
-    batch = pa.ipc.open_stream(docs).read_next_batch()
-    tokens, starts = _with_ends(*hashed_words(*text_buffers(batch.column(1))))
-    own, back = _distinct(tokens)
-    grams, place = _distinct(np.concatenate([word_keys(np.append(own, END)), pair_keys(_before(tokens), tokens)]))
-    return batch.column(0), tokens, starts, own, back, grams, place
+@dataclass(frozen=True)
+class Head:
+    """The most frequent words: ascending hashes and exact counts."""
+
+    words: np.ndarray
+    counts: np.ndarray
+
+    def counts_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are among these, and the counts (0 of others)."""
+        if not len(self.words):
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        inside = self.words[at] == words
+        return inside, np.where(inside, self.counts[at], 0)
+
+
+@dataclass(frozen=True)
+class _Chunk:
+    """Tokens of a chunk: ids of its rows, tokens and the first of each row, distinct tokens and where each token is among them, which of these the
+    head has and how often. Its keys to ask for: of the other distinct tokens, and of the pair at each token; `place` is where those are."""
+
+    ids: pa.Array
+    tokens: np.ndarray
+    starts: np.ndarray
+    own: np.ndarray
+    back: np.ndarray
+    in_head: np.ndarray
+    exact: np.ndarray
+    keys: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def read(cls, docs: bytes, head: Head) -> _Chunk:
+        batch = pa.ipc.open_stream(docs).read_next_batch()
+        tokens, starts = _with_ends(*hashed_words(*text_buffers(batch.column(1))))
+        own, back = _distinct(tokens)
+        in_head, exact = head.counts_of(own)
+        keys, place = _distinct(np.concatenate([word_keys(own[~in_head]), pair_keys(_before(tokens), tokens)]))
+        return cls(batch.column(0), tokens, starts, own, back, in_head, exact, keys, place)
+
+    @property
+    def pairs(self) -> np.ndarray:
+        return self.place[len(self.place) - len(self.tokens) :]
+
+    def counts(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts that the levels of the keys stand for: of each distinct token, and of the pair at each token."""
+        single = level_of(self.exact)
+        single[~self.in_head] = levels[self.place[: len(self.place) - len(self.tokens)]]
+        return MEANS[single], MEANS[levels[self.pairs]]
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def asked_keys(chunks: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
-    """(cid, slice, keys, counts): each chunk's keys, with the pairs' counts over its training documents; and, of no chunk (cid null), the words' counts."""
+def asked_keys(chunks: DataFrame, counts: DataFrame, slices: int, head) -> DataFrame:
+    """(cid, slice, keys, counts): each chunk's keys (head: a broadcast Head, whose words are known), with the pairs' counts over its training documents; and, of no chunk (cid null), the words' counts."""
     names = ["cid", "slice", "keys", "counts"]
 
     def rows(cid: int | None, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -234,9 +276,9 @@ def asked_keys(chunks: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, docs in zip(batch.column(0), batch.column(1), strict=True):
-                ids, _, starts, own, _, grams, place = _tokens_of(docs.as_py())
-                trains = np.repeat([not is_held_out(i) for i in ids.to_pylist()], np.diff(starts))
-                yield rows(cid.as_py(), grams, np.bincount(place[len(own) + 1 :][trains], minlength=len(grams)))
+                c = _Chunk.read(docs.as_py(), head.value)
+                trains = np.repeat([not is_held_out(i) for i in c.ids.to_pylist()], np.diff(c.starts))
+                yield rows(cid.as_py(), c.keys, np.bincount(c.pairs[trains], minlength=len(c.keys)))
 
     def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,39 +334,35 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = counts.where(F.floor(F.log2("c") * 4) >= reach).collect() if reach is not None else []
     top_h = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(top_h)
+    shared = spark.sparkContext.broadcast(Head(top_h[order], np.array([r.c for r in top], np.int64)[order]))
     # Slices of bounded size, by what may go into one (train) and be asked of one (all text).
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     most = min(PAIRS_PER_BUCKET, max(1, filter_bytes * 8 // BITS_PER_ENTRY))
     tokens = max(1, total, size // BYTES_PER_TOKEN)
     slices = max(-(-tokens // most), min(SLICES, -(-tokens // LEAST_PER_SLICE)))
     chunks = store(text_chunks(plain), "chunks")
-    answers = probed_levels(asked_keys(chunks, counts, slices)).where("cid is not null")
-    shared = spark.sparkContext.broadcast((top_h[order], np.array([r.c for r in top], np.int64)[order]))
+    answers = probed_levels(asked_keys(chunks, counts, slices, shared)).where("cid is not null")
     ground = total + distinct + 1
 
     def work(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        keys, values = shared.value
         rid = chunk["cid"][0].as_py()
-        ids, tokens, starts, own, back, _, place = _tokens_of(chunk["docs"][0].as_py())
+        c = _Chunk.read(chunk["docs"][0].as_py(), shared.value)
         parts = [found["levels"][int(i)].as_py() for i in np.argsort(found["slice"].to_numpy())]
-        levels = np.concatenate([np.frombuffer(pa.decompress(p[8:], int.from_bytes(p[:8], "little"), "zstd", asbytes=True), np.uint8) for p in parts])
-        counts = MEANS[levels[place]]
-        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        in_head = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-        exact = np.where(in_head, values[at], 0) if len(keys) else np.zeros(len(own), np.int64)
-        joint, single = counts[len(own) + 1 :], counts[: len(own)][back]
-        first = np.concatenate([counts[len(own) : len(own) + 1], single[:-1]])
+        levels = [np.frombuffer(pa.decompress(p[8:], int.from_bytes(p[:8], "little"), "zstd", asbytes=True), np.uint8) for p in parts]
+        each, joint = c.counts(np.concatenate(levels))
+        single = each[c.back]
+        first = np.concatenate([each[np.searchsorted(c.own, END)][None], single[:-1]])
         plain_p = (single + 1) / ground
         mixed = np.where(first > 0, lam * np.minimum(1.0, joint / np.maximum(first, 1.0)) + (1 - lam) * plain_p, plain_p)
-        per_row = lambda x: np.add.reduceat(x, starts[:-1])
-        rare = ~in_head[back]
+        per_row = lambda x: np.add.reduceat(x, c.starts[:-1])
+        rare = ~c.in_head[c.back]
         ends = np.concatenate([[0], np.cumsum(per_row(rare.astype(np.int64)))])
-        names = [i.as_py() for i in ids]
+        names = c.ids.to_pylist()
         return pa.Table.from_arrays(
             [
-                pa.array(rid + np.arange(len(names))), ids, pa.array([is_held_out(i) for i in names]),
-                pa.array(np.diff(starts)), pa.array(per_row((exact > 0)[back].astype(np.int64))), pa.array(per_row(np.log10(exact + 1.0)[back])),
-                pa.array(per_row(np.log10(mixed))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[rare].view(np.int64))),
+                pa.array(rid + np.arange(len(names))), c.ids, pa.array([is_held_out(i) for i in names]),
+                pa.array(np.diff(c.starts)), pa.array(per_row((c.exact > 0)[c.back].astype(np.int64))), pa.array(per_row(np.log10(c.exact + 1.0)[c.back])),
+                pa.array(per_row(np.log10(mixed))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c.tokens[rare].view(np.int64))),
             ],
             names=[f.split()[0] for f in SCORED.split(", ")],
         )
