@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import catalog
 from pathloom.functions.scalars import content_hash
-from pathloom.operators import graph_store, metrics, paths, rules, scoring
+from pathloom.functions.tables import written
+from pathloom.operators import distances, graph_store, metrics, paths, rules, scoring
 
 from .registry import query, table
 
@@ -159,6 +160,27 @@ def sink_distances(spark, sf_dir):
     return paths.distances_to(edges.select("src", "dst"), _ends(nodes, "purchase"), 6)
 
 
+_STEPS_SQL = """SELECT c_custkey AS a, c_custkey + 1 AS b, c_custkey % 11 = 0 AS cut, false AS new FROM customer UNION ALL SELECT c_custkey, c_custkey + 7, c_custkey % 5 = 0, false FROM customer
+UNION ALL SELECT c_custkey, c_custkey - 30, false, true FROM customer WHERE c_custkey % 13 = 0"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_STEPS_SQL}) WHERE NOT cut),
+r AS (SELECT c_custkey AS k, CAST(0 AS INT) AS d FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 OR c_nationkey = 4 AND c_acctbal > 5000 UNION SELECT e.a, r.d + 1 FROM r JOIN e ON e.b = r.k WHERE r.d < 12)
+SELECT 'n' || k AS node, min(d) AS dist FROM r GROUP BY k""")
+def distance_updates(spark, sf_dir):
+    """Distances to some customers, brought up to date after edges and ends went and came."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = lambda x: F.concat(F.lit("n"), x.cast("string"))
+    step = lambda where, by: c.where(where).select(name(k).alias("src"), name(k + by).alias("dst"))
+    node = lambda where: c.where(where).select(name(k).alias("node"))
+    before, new = step("true", 1).union(step("true", 7)), step("c_custkey % 13 = 0", -30)
+    cut = step("c_custkey % 11 = 0", 1).union(step("c_custkey % 5 = 0", 7))
+    known = paths.distances_to(before, node("c_nationkey = 3"), 12)
+    now = written(step("c_custkey % 11 > 0", 1).union(step("c_custkey % 5 > 0", 7)).union(new), "edges")
+    ends = node("c_nationkey = 3 and c_acctbal > 0 or c_nationkey = 4 and c_acctbal > 5000")
+    return distances.updated(known, now, ends, 12, cut, new, node("c_nationkey = 4 and c_acctbal > 5000"))[0]
+
+
 _BRIDGE_SQL = """WITH h AS (SELECT p_partkey FROM part WHERE p_size = 7), i AS (SELECT DISTINCT 'o' || l_orderkey AS a, l_partkey FROM lineitem WHERE l_partkey IN (SELECT * FROM h)),
 o AS (SELECT DISTINCT l_partkey, 's' || l_suppkey AS b FROM lineitem WHERE l_partkey IN (SELECT * FROM h))
 SELECT DISTINCT a AS src, b AS dst FROM i JOIN o USING (l_partkey) WHERE (a, b) NOT IN (SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 40)"""
