@@ -91,9 +91,19 @@ def backend_groups(spark, sf_dir):
 FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
 WHERE p_brand = 'Brand#13' AND c_mktsegment = 'BUILDING'""")
 def fk_paths(spark, sf_dir):
+    """Rows as nodes, foreign keys as edges: the expander from nations to parts of a brand."""
     n, c, o, li, p = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem", "part"))
-    rows = n.join(c.where("c_mktsegment = 'BUILDING'"), n["n_nationkey"] == c["c_nationkey"]).join(o, c["c_custkey"] == o["o_custkey"]).join(li, o["o_orderkey"] == li["l_orderkey"]).join(p.where("p_brand = 'Brand#13'"), li["l_partkey"] == p["p_partkey"])
-    return rows.select(F.col("n_name").alias("source"), "o_orderkey", "l_linenumber", F.col("p_brand").alias("sink"), F.lit(4).alias("path_len"), F.concat_ws(">", "n_name", "c_name", F.col("o_orderkey").cast("string"), F.col("l_linenumber").cast("string"), "p_name").alias("path"))
+    node = lambda kind, *cols: F.concat_ws("|", F.lit(kind), *[F.col(x).cast("string") for x in cols])
+    some = c.where("c_mktsegment = 'BUILDING'")
+    line, sold = li.withColumn("l", node("l", "l_orderkey", "l_linenumber")), p.select("p_partkey", node("p", "p_partkey", "p_name").alias("part"), "p_brand")
+    edges = n.join(some, n["n_nationkey"] == c["c_nationkey"]).select(node("n", "n_name").alias("src"), node("c", "c_custkey", "c_name").alias("dst"))
+    edges = edges.union(some.join(o, c["c_custkey"] == o["o_custkey"]).select(node("c", "c_custkey", "c_name"), node("o", "o_orderkey")))
+    edges = edges.union(line.select(node("o", "l_orderkey"), "l")).union(line.join(sold, line["l_partkey"] == sold["p_partkey"]).select("l", "part"))
+    starts, ends = n.select(node("n", "n_name").alias("node")), sold.where("p_brand = 'Brand#13'").select(F.col("part").alias("node"))
+    found = paths.expand(edges.withColumn("type", F.lit("REF")), starts, ends, 4)
+    last = lambda x: F.element_at(F.split(x, r"\|"), -1)
+    names = F.transform("path", last)
+    return found.select(names[0].alias("source"), names[2].cast("long").alias("o_orderkey"), names[3].cast("int").alias("l_linenumber"), F.lit("Brand#13").alias("sink"), "path_len", F.array_join(names, ">").alias("path"))
 
 
 @query(f"SELECT CAST(src AS VARCHAR) AS src, CAST(snk AS VARCHAR) AS snk, path_len FROM {PATHS_SQL.format(hops=HOPS)}")
@@ -160,6 +170,20 @@ def sink_distances(spark, sf_dir):
     return paths.distances_to(edges.select("src", "dst"), _ends(nodes, "purchase"), 6)
 
 
+@query("""WITH e AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), n AS (SELECT 'p' || p_partkey AS p, p_size FROM part)
+SELECT a.p || '>' || a.s || '>' || b.p AS path, CAST(2 AS INT) AS path_len FROM e a JOIN e b ON a.s = b.s AND a.p <> b.p WHERE a.p IN (SELECT p FROM n WHERE p_size <= 3) AND b.p IN (SELECT p FROM n WHERE p_size >= 48)
+ORDER BY a.p, b.p, a.s LIMIT 100""")
+def first_dense_paths(spark, sf_dir):
+    """Parts and suppliers lead to each other both ways, so that paths of up to fifteen hops are past counting: the first hundred."""
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    there = li.select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst")).distinct()
+    edges = there.union(there.select("dst", "src")).withColumn("type", F.lit("CALL"))
+    node = lambda where: p.where(where).select(name("p", "p_partkey").alias("node"))
+    found = paths.expand(edges, node("p_size <= 3"), node("p_size >= 48"), most=100)
+    return found.select(F.array_join("path", ">").alias("path"), "path_len")
+
+
 _STEPS_SQL = """SELECT c_custkey AS a, c_custkey + 1 AS b, c_custkey % 11 = 0 AS cut, false AS new FROM customer UNION ALL SELECT c_custkey, c_custkey + 7, c_custkey % 5 = 0, false FROM customer
 UNION ALL SELECT c_custkey, c_custkey - 30, false, true FROM customer WHERE c_custkey % 13 = 0"""
 
