@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import catalog, scalars
 from pathloom.functions.tables import shared_dir
-from pathloom.operators import export, filters, graph_store, paths, requests, rules, scan_runner, scoring
+from pathloom.operators import constraints, export, filters, graph_store, paths, requests, rules, scan_runner, scoring
 from pathloom.operators.graph_store import GraphStore
+from pathloom.operators.proof_store import ProofStore
 from pathloom.plans.evaluate import evaluate
 from pathloom.plans.review import ReviewInputs, run_review
 from pathloom.sources import backend, extract, repo, sarif_sink, scanners
@@ -489,6 +490,24 @@ def watched_files(spark, sf_dir):
     return ends.select(F.col("src_file").alias("file_path"), F.when(source, F.col("dst_name")).otherwise(F.col("src_name")).alias("caller"), F.when(source, F.col("src_name")).otherwise(F.col("dst_name")).alias("callee"))
 
 
+_PROOFS_SQL = "SELECT l_suppkey, sha256(l_partkey || '|' || l_suppkey || '|' || l_returnflag) AS key, l_linestatus, l_quantity FROM lineitem"
+
+
+@query(f"""WITH c AS ({_PROOFS_SQL}), k AS (SELECT DISTINCT key FROM c WHERE l_suppkey % 2 = 0 AND l_quantity > 10)
+SELECT key, CASE WHEN key IN (SELECT key FROM k) THEN 'PROVEN' ELSE 'WARNING' END AS status, count(*) AS n FROM c GROUP BY 1, 2""")
+def stored_proofs(spark, sf_dir):
+    """Proofs of one review, kept in buckets, in place of what the next one computes."""
+    li = table(spark, sf_dir, "lineitem")
+    key = constraints.proof_key(F.lit(None), F.lit(None), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_returnflag"))
+    none = F.array(F.struct(F.lit("x").alias("variable"), F.lit("1").alias("value"))).alias("witness")
+    rows = lambda some, status: some.select(key.alias("key"), F.lit(status).alias("status"), F.lit("f").alias("formula"), F.lit(False).alias("reachability_only"), none)
+    store = ProofStore(spark, f"proofs_{uuid.uuid4().hex}", _folder(spark, "proofs"), 8)
+    first = li.where("l_suppkey % 2 = 0 and l_quantity > 10")
+    store.add(rows(first, "PROVEN"))
+    store.add(rows(first, "LIKELY"))  # known already
+    return store.resolve(rows(li, "WARNING")).groupBy("key", "status").agg(F.count("*").alias("n"))
+
+
 # ---- outputs ----
 
 

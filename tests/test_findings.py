@@ -135,3 +135,27 @@ def test_metrics(spark):
     assert (got.tp, got.fp, got.tn, got.fn, got.recall, got.fpr) == (4, 1, 3, 0, 1.0, 0.25)
     empty = metrics.rates(metrics.confusion(cases.limit(0), rows, "vuln_id", "bad")).first()
     assert (empty.precision, empty.f1, empty.fpr) == (0.0, 0.0, 0.0)
+
+
+def test_stored_proofs_do_not_move(spark, tmp_path):
+    from pathloom.operators.proof_store import ProofStore
+
+    store = ProofStore(spark, "some_proofs", f"file://{tmp_path}/proofs", 4)
+    rows = lambda n, status: spark.range(n).selectExpr("'k' || id AS key", f"{status} AS status", "'f' AS formula", "false AS reachability_only", "array(named_struct('variable', 'x', 'value', '1')) AS witness")
+    store.add(rows(50, "if(id < 40, 'PROVEN', null)"))
+    store.add(rows(45, "'LIKELY'"))
+    found = {r.key: (r.status, len(r.witness)) for r in store.resolve(rows(60, "'WARNING'")).collect()}
+    assert [found[f"k{i}"] for i in (0, 39, 40, 44, 45, 59)] == [("PROVEN", 0), ("PROVEN", 0), ("LIKELY", 0), ("LIKELY", 0), ("WARNING", 1), ("WARNING", 1)]
+    assert store.read().count() == 45
+    # A session that does not know the table finds it by its files.
+    spark.sql("DROP TABLE some_proofs")
+    again = ProofStore(spark, "other_name", f"file://{tmp_path}/proofs", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = again.resolve(rows(60, "'WARNING'"))
+        assert joined.where("status = 'PROVEN'").count() == 40
+        plan = joined._jdf.queryExecution().sparkPlan().toString(), joined._jdf.queryExecution().executedPlan().toString()
+        assert plan[1].count("Exchange") <= 1 and "other_name" in plan[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
