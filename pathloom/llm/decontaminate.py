@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import discard, row_blocks, ship, store, text_buffers
+from ._shared import discard, giving_back, row_blocks, ship, store, text_buffers
 
 WINDOW = 10
 #: Benchmark text in one index; an index takes about 37 bytes for each of its bytes while it is built, and 9 after that.
@@ -272,7 +272,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             yield batch.filter(pa.array(clean))
 
     plain = docs.toDF(*names)
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(giving_back(run), plain.schema).toDF(*docs.columns)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -287,7 +287,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             columns = shard_columns(words, _each(indexes), window)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(giving_back(run), SCHEMA)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import discard, hashed_words, mix, row_blocks, ship, store, text_buffers
+from ._shared import discard, giving_back, hashed_words, mix, row_blocks, ship, store, text_buffers
 from .components import connected_components
 
 WORDS = 5
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *(pa.array(d.view(np.int64)) for d in digests), lists], names=["id", "n", "d1", "d2", "tokens"])
 
-    return docs.mapInArrow(work, SIGNED)
+    return docs.mapInArrow(giving_back(work), SIGNED)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(shingles.view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, lists], names=["node", "shingles"])
 
-    return docs.mapInArrow(work, "node long, shingles array<long>")
+    return docs.mapInArrow(giving_back(work), "node long, shingles array<long>")
 
 
 def _linked(common, left, right, percent: int):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bpe import encoder, vocabulary
-from ._shared import ship
+from ._shared import giving_back, ship
 
 WINDOW = 1024
 END_ID = 0
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return plain.coalesce(max(1, total // task_bytes)).mapInArrow(run, SCHEMA)
+    return plain.coalesce(max(1, total // task_bytes)).mapInArrow(giving_back(run), SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
