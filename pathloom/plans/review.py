@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import catalog
-from pathloom.functions.tables import written
+from pathloom.functions.tables import dealt_over, written
 from pathloom.operators import constraints, export, filters, metrics, paths, requests, rules, scan_runner, scoring, states
 
 
@@ -86,7 +86,10 @@ def run_review(spark: SparkSession, given: ReviewInputs, dry_run: bool = False)
     found = found.withColumn("path_id", F.sha2(F.concat_ws(">", "path"), 256))
     ruled = rules.annotate(found, catalog.keywords_frame(spark, given.rules))
     score = scoring.path_score(F.col("crosses_files"), F.col("snk_func"), F.col("rule_severity"), F.size("intermediate_nodes"))
-    pruned = written(scoring.prune(ruled.withColumn("pruner_score", score), ["path_len", "path_id"], keep=given.most_paths or MANY, ranking=given.ranking), "paths")
+    pruned = scoring.prune(ruled.withColumn("pruner_score", score), ["path_len", "path_id"], keep=given.most_paths or MANY, ranking=given.ranking)
+    if given.most_paths is None:
+        pruned = pruned.repartition(dealt_over(spark), "path_id")  # constraints cost far more than their rows are large
+    pruned = written(pruned, "paths")
     findings = constraints.to_findings(pruned.where("not was_pruned"), given.nodes.select("node_id", "code"), given.fuzz).withColumn("finding_id", F.col("path_id"))
 
     columns = ["file_path", "rule_id", "severity", "line_number", "explanation", "confidence"]

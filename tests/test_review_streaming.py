@@ -103,3 +103,10 @@ def test_command_line(spark, tmp_path, capsys):
     code = main([f"{tmp_path}/src", "--rules", f"{tmp_path}/rules", "--sarif", f"{tmp_path}/out.sarif", "--out", f"{tmp_path}/out"], spark)
     assert code == 1 and "| Risk level | HIGH |" in capsys.readouterr().out
     assert '"ruleId": "mine"' in (tmp_path / "out.sarif").read_text() and spark.read.json(f"{tmp_path}/out/findings").count() > 0
+
+
+def test_many_short_texts_are_extracted_in_several_tasks(spark, tmp_path):
+    spark.range(1000).selectExpr("concat('f', id, '.c') file_path", "'int f(int a) {\\n  free(p);\\n}' text").coalesce(1).write.parquet(f"{tmp_path}/files")
+    nodes, _ = extract_graph(spark.read.parquet(f"{tmp_path}/files"), "r")
+    assert nodes.count() == 2000
+    assert len({f.rsplit("/", 1)[1] for f in nodes.inputFiles()}) > 1
