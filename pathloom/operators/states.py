@@ -70,9 +70,11 @@ def classify_output(raw: Column) -> Column:
 
 
 def first_failure(runs: DataFrame, key: list[str], order: str, passed: str, value: str) -> DataFrame:
-    """Per key the value of the first run that did not pass, else of the last."""
-    bad = ~F.col(passed)
-    return runs.groupBy(*key).agg(F.coalesce(F.min_by(F.when(bad, F.col(value)), F.when(bad, F.col(order))), F.max_by(value, order)).alias(value), F.bool_and(passed).alias(passed))
+    """Per key the value of the first run that did not pass, else of the last. Runs without a place or a value are neither; of equal
+    places the first has the least value, the last the greatest."""
+    known = F.when(F.col(order).isNotNull() & F.col(value).isNotNull(), F.struct(F.col(order), F.col(value).alias("__v")))
+    first, last = F.min(F.when(~F.col(passed), known)), F.max(known)
+    return runs.groupBy(*key).agg(F.coalesce(first["__v"], last["__v"]).alias(value), F.bool_and(passed).alias(passed))
 
 
 def script_passed(output: Column, language: Column) -> Column:
