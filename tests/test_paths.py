@@ -194,3 +194,16 @@ def test_first_bridges(spark):
     for most in (1, 5, 30, 1000):
         got = paths.bridge_opaque_calls(nf, ef, most=most).where("summary").join(spark.createDataFrame(list(had), "src string, dst string"), ["src", "dst"], "left_anti")
         assert sorted((r.src, r.dst) for r in got.collect()) == every[:most]
+
+
+def test_edges_a_call_has_already_are_left_out(spark):
+    nodes = spark.createDataFrame([("c", "", "CALL"), ("f", "x", "AST_FUNC"), ("g", "x", "AST_FUNC"), ("h", "x", "AST_FUNC")], "node_id string, function_name string, node_type string")
+    rows = [("c", "f", "CALL", None), ("c", "g", "REF", True)]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string, resolved_virtual boolean")
+    more = lambda e: sorted(tuple(r) for r in paths.virtual_hubs(nodes, e).pairs().collect())
+    assert more(edges) == [("c", "h")]
+    alone = edges.where("resolved_virtual is null")
+    assert more(alone) == [("c", "g"), ("c", "h")]
+    # What is made is not shuffled again: no join above the one that makes it.
+    plan = paths.virtual_hubs(nodes, alone).pairs()._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
