@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
@@ -71,6 +72,7 @@ class _Folder:
         self.endings = tuple("." + e.strip() for e in options.get("extensions", "c,cc,cpp,h,hpp").split(","))
         self.each = int(options.get("files", "64"))
         self.tests: list[Callable[[str], bool]] = []
+        self.prefixes: list[str] = []
 
     def _open(self):
         from pyarrow import fs
@@ -83,9 +85,15 @@ class _Folder:
 
         system, base = self._open()
         base = base.rstrip("/") + "/"
-        found = ((i.mtime_ns or 0, i.path.removeprefix(base)) for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.is_file)
+        # Folders that no file asked for can lie in are not opened.
+        top = system.get_file_info(fs.FileSelector(base))
+        inside = (x for d in top if d.type == fs.FileType.Directory and self._may_hold(d.path.removeprefix(base) + "/") for x in system.get_file_info(fs.FileSelector(d.path, recursive=True)))
+        found = ((i.mtime_ns or 0, i.path.removeprefix(base)) for i in chain(top, inside) if i.is_file)
         return sorted(((t, p) for t, p in found if p.endswith(self.endings) and all(test(p) for test in self.tests)), key=lambda x: x[1])
 
+    def _may_hold(self, folder: str) -> bool:
+        return all(folder.startswith(p) or p.startswith(folder) for p in self.prefixes)
+
     def dealt(self, paths: list[str]) -> list[InputPartition]:
         return [_Files(paths[i : i + self.each]) for i in range(0, len(paths), self.each)] or [_Files([])]
 
@@ -109,6 +117,8 @@ class _Reader(_Folder, DataSourceReader):
             test = _test(f)
             if test:
                 self.tests.append(test)
+                if isinstance(f, EqualTo | StringStartsWith):
+                    self.prefixes.append(f.value)
             else:
                 yield f
 

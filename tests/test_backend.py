@@ -109,3 +109,20 @@ def test_a_failed_load_leaves_the_graph(spark, tmp_path):
     with pytest.raises(Exception):
         store.ingest(bad, edges, "r", "2", spark.createDataFrame([("f",)], "file_path string"))
     assert store.version() == 1 and {r.code for r in store.load()[0].collect()} == {"x"}
+
+
+def test_folders_that_a_filter_rules_out_are_not_opened(tmp_path, monkeypatch):
+    from pathloom.sources import backend as b
+    from pyarrow import fs
+
+    for k in range(30):
+        (tmp_path / f"k={k}").mkdir()
+        (tmp_path / f"k={k}" / "x.c").write_text("int f() {\n}\n")
+    reader = b._Reader({"root": str(tmp_path)})
+    assert list(reader.pushFilters([b.StringStartsWith(("file_path",), "k=1")])) == []
+    opened, plain = [], fs.FileSelector
+    monkeypatch.setattr(fs, "FileSelector", lambda at, **o: opened.append(at) or plain(at, **o))
+    assert [p for _, p in reader.listed()] == sorted(f"k={k}/x.c" for k in range(30) if str(k).startswith("1"))
+    assert len(opened) == 1 + 11
+    reader.prefixes, reader.tests = [], []
+    assert len(reader.listed()) == 30
