@@ -17,6 +17,9 @@ CERTAIN_SINKS = ["memcpy", "strcpy", "free", "system", "exec", "execve", "sprint
 GUARDED_SINKS = ["memcpy", "memmove", "strncpy", "memset"]
 GUARD = r"(?i)if\s*\([^)]*(len|size|length|sizeof|strlen|count|n)\s*[<>=!]=?\s*[0-9]"
 
+#: Lines of a block, lines that a window reaches beyond its first, and the most files whose names are sent to all executors.
+BLOCK, REACH, FILES = 64, 11, 100_000
+
 
 def safe_names(spark, extra: list[str] | None = None, frameworks: DataFrame | None = None) -> DataFrame:
     """`name`: the global list, the listed ones (extra, else the defaults), and the safe calls of detected frameworks."""
@@ -59,16 +62,25 @@ def drop_false_positives(findings: DataFrame, safe: DataFrame, lines: DataFrame
 
 
 def _demote_guarded(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines line-9 .. line+2 (from 1) around a guarded sink, joined by file and by blocks of lines."""
-    block = 16
+    """Lines line-9 .. line+2 (from 1) around a guarded sink.
+
+    Lines meet once in blocks, each with as many of the next as a window that begins in it may reach, so that a line is shuffled once or
+    twice and not for each window; a window is taken from its block, and only the number of its finding goes on.
+    """
     asked = rows.where(F.col("snk_func").isin(GUARDED_SINKS) & (F.col("status") == "PROVEN") & ~F.col("dropped") & ~F.col("__deep"))
     first, last = F.greatest(F.col("snk_line") - 9, F.lit(1)), F.col("snk_line") + 2
-    asked = asked.select("__row", F.col("snk_file").alias("file_path"), first.alias("__a"), last.alias("__b")).withColumn("__blk", F.explode(F.sequence(F.floor(F.col("__a") / block), F.floor(F.col("__b") / block))))
-    text = lines.join(asked.select("file_path").distinct(), "file_path", "left_semi")  # before anything is shuffled, only files asked for
-    text = text.select("file_path", "line_number", "line", F.floor(F.col("line_number") / block).alias("__blk"))
-    near = asked.join(text, ["file_path", "__blk"]).where(F.col("line_number").between(F.col("__a"), F.col("__b")))
-    window = near.groupBy("__row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda s: s["line"]), "\n").alias("w"))
-    guarded = window.where(F.col("w").rlike(GUARD)).select("__row", F.lit(True).alias("__g"))
+    block = lambda c: F.floor(c / BLOCK)
+    asked = asked.select("__row", F.col("snk_file").alias("file_path"), first.alias("__a"), last.alias("__b")).withColumn("__blk", block(F.col("__a")))
+    files, text = asked.select("file_path").distinct(), lines
+    if files.limit(FILES + 1).count() <= FILES:  # before anything is shuffled, only files asked for; more are told apart where blocks meet
+        text = text.join(F.broadcast(files), "file_path", "left_semi")
+    blocks = F.array_distinct(F.array(block(F.col("line_number")), block(F.greatest(F.col("line_number") - REACH, F.lit(0)))))
+    text = text.where("line_number is not null").select("file_path", "line_number", "line", F.explode(blocks).alias("__blk"))
+    held = text.groupBy("file_path", "__blk").agg(F.sort_array(F.collect_list(F.struct("line_number", "line"))).alias("__l"))
+    held = held.where(F.exists("__l", lambda s: F.coalesce(s["line"].rlike("(?i)if"), F.lit(False))))
+    inside = lambda s: s["line_number"].between(F.col("__a"), F.col("__b"))
+    window = F.array_join(F.transform(F.filter("__l", inside), lambda s: s["line"]), "\n")
+    guarded = asked.join(held, ["file_path", "__blk"]).where(window.rlike(GUARD)).select("__row", F.lit(True).alias("__g"))
     hit = F.col("__g").isNotNull()
     return (
         rows.join(guarded, "__row", "left")
