@@ -135,3 +135,17 @@ def test_workers_find_the_package(spark):
     ship(spark)
     ship(spark)
     assert spark.sparkContext.environment["PYTHONPATH"].split(":").count(str(Path(__file__).resolve().parents[1])) == 1
+
+
+def test_many_cases_are_cut_without_holding_them(spark, monkeypatch):
+    monkeypatch.setattr(repo, "FEW", 3)
+    rows = [(None if k == 5 else 100 - k, "C", k % 2, f"b{k}", f"a{k}") for k in range(40)]
+    made = spark.createDataFrame(rows, "index long, lang string, vul int, func_before string, func_after string").union(spark.createDataFrame([(1, "X", 1, "", "")], "index long, lang string, vul int, func_before string, func_after string"))
+    for most in (4, 15, 20, 50):
+        first = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])[: 2 * most]
+        part = lambda v: [r for r in first if r[2] == v][:most]  # noqa: E731, B023
+        want = [("1" if r[0] is None else f"{r[0]}-1", r[3], True) for r in part(1)] + [(f"{r[0]}-0", r[4], False) for r in part(0)]
+        got = repo.pair_corpus(made, "C", most)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "GlobalLimit" not in got._jdf.queryExecution().optimizedPlan().toString() or most in (4, 15)
+    assert "Sort" not in repo.first_rows(made, "index", 10)._jdf.queryExecution().optimizedPlan().toString()
