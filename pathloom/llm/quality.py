@@ -5,9 +5,9 @@ trusted documents and one over all documents, and a document's score is the mean
 n-grams. Every document below the threshold, and every document that fails the base rules, is rejected. The threshold is
 learned from labelled documents (see learned_threshold), or MIN_SCORE where too few are labelled.
 
-The bucket weights are one array of `buckets` doubles, whatever the corpus. Trusted documents are at most
-`trusted_rows` labelled ones (a bounded sample for fitting, the first by hash of their id); counts of the raw corpus,
-scores cover every row. Documents are read three times (once for the few that the threshold is learned from) and never shuffled.
+The bucket weights are one array of `buckets` doubles, whatever the corpus. All good labelled documents are trusted, all labelled
+ones count for the threshold, and counts and scores cover every row. Documents are read twice and, up to SENT labels, never shuffled; what is measured is
+written once, since the threshold is known only then.
 
 Null and empty text have no words: counts 0, score 0, base_failed. A very long text is one row of arrays like any other. A score at the
 threshold passes; labelled rows of equal hash are taken by their id. Repeated rows each count and each give a row. With no
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import values_at
 from ._shared import SPACES, let, store
 
 BUCKETS = 1 << 16
@@ -27,10 +28,10 @@ SMOOTHING = 5.0
 #: The threshold where fewer than LEAST_LABELLED good or bad documents pass the base rules.
 MIN_SCORE = -0.25
 LEAST_LABELLED = 50
-#: Labelled documents of each kind that the threshold is learned from, at most, and how much of each is left aside at the edge.
-THRESHOLD_ROWS = 2_000
+#: How much of the good and of the bad labelled documents is left aside at the edge.
 EDGE = 0.01
-TRUSTED_ROWS = 20_000
+#: Labelled ids that are sent to all executors, at most.
+SENT = 2_000_000
 MIN_WORDS = 50
 MAX_REPEATED = 50  # of 100 words
 _BLANK = " \t\n\x0b\x0c\r"
@@ -59,10 +60,15 @@ def _grams(rows: DataFrame, buckets: int, *keep: str) -> DataFrame:
     return each.select(*keep, F.explode(both).alias("b")).where("b is not null")
 
 
+def sent(ids: DataFrame) -> DataFrame:
+    """ids for a join: to all executors where they are few enough, else as Spark sees fit."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """One row: an array of (b, raw, own) for each bucket, and the totals n and m. trusted: ids (column `id`), a bounded number."""
+    """One row: an array of (b, raw, own) for each bucket, and the totals n and m. trusted: ids (column `id`)."""
     flagged = docs.select(docs[id_col].cast("long").alias("id"), words(docs[text_col].cast("string")).alias("w"))
-    flagged = flagged.join(F.broadcast(trusted.withColumn("t", F.lit(1))), "id", "left").select("w", F.coalesce("t", F.lit(0)).alias("t"))
+    flagged = flagged.join(sent(trusted.withColumn("t", F.lit(1))), "id", "left").select("w", F.coalesce("t", F.lit(0)).alias("t"))
     counts = _grams(flagged, buckets, "t").groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("own"))
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     return every.agg(
@@ -81,48 +87,69 @@ def bucket_weights(rows: DataFrame, buckets: int, smoothing: float) -> DataFrame
     return rows.select(F.when(F.col("m") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
 
 
-def learned_threshold(docs: DataFrame, labels: DataFrame, trusted: DataFrame, rows: DataFrame, id_col: str, text_col: str, buckets: int, smoothing: float) -> float:
-    """Midway between the scores of good and bad labelled documents that pass the base rules, EDGE of each left aside; never above the good ones' edge.
+def _counts(rows: DataFrame) -> DataFrame:
+    """Of bucket_counts(), one row, a struct: raw and own as arrays by bucket, n and m."""
+    return rows.select(F.struct(F.transform("rows", lambda r: r["raw"]).alias("raw"), F.transform("rows", lambda r: r["own"]).alias("own"), "n", "m").alias("counts"))
+
+
+def _alone(buckets: int, smoothing: float) -> Column:
+    """The score of a trusted document (column __pl_w) by counts (__pl_k) without its own n-grams, so that it stands for one that was not trained on."""
+    pairs = lambda w: F.zip_with(_part(w, 0, 1), _part(w, 1, 1), lambda x, y: _bucket(buckets, x, y))
+    grams = F.sort_array(F.concat(F.transform("__pl_w", lambda x: _bucket(buckets, x)), pairs(F.col("__pl_w"))))
+    # Equal buckets are neighbours: where each begins, and how often it comes.
+    firsts = lambda g: F.filter(F.transform(g, lambda x, i: F.when(~x.eqNullSafe(F.get(g, i - 1)), i)), lambda i: i.isNotNull())
+    runs = lambda g: let(firsts(g), lambda f: F.transform(f, lambda p, j: F.struct(F.get(g, p).alias("b"), (F.coalesce(F.get(f, j + 1), F.size(g)) - p).alias("k"))))
+    told = lambda v: lambda g: F.transform(runs(g), lambda r: r["k"] * F.log((F.get(v["own"], r["b"]) - r["k"] + smoothing) / (F.get(v["raw"], r["b"]) * (v["m"] - F.size(g)) / v["n"] + smoothing)))
+    return let(F.col("__pl_k"), lambda v: let(grams, lambda g: F.aggregate(told(v)(g), F.lit(0.0), lambda a, x: a + x) / F.size(g)))
+
+
+def edge(values: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Exact quantiles, linear between neighbours, of a column that no task holds whole."""
+    last = values.count() - 1
+    at = [q * last for q in shares]
+    found = values_at(values, column, [int(p + up) if p % 1 else int(p) for p in at for up in (0, 1)])
+    return [low + (high - low) * (p % 1) for p, low, high in zip(at, found[::2], found[1::2], strict=True)]
 
-    A trusted document is scored without its own n-grams in the trusted counts, so that it stands for one that was not trained on.
+
+def learned_threshold(measured: DataFrame) -> float:
+    """Midway between the scores of all good and all bad labelled documents that pass the base rules, EDGE of each left aside; never above the good ones' edge.
+
+    measured: __pl_good (1 good, 0 bad, else null) and __pl_loo, the score of a good document by counts without its own n-grams.
     """
-    bad = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q")).where("q = 0 and id is not null")
-    first = lambda ids, t: ids.select("id").orderBy(F.xxhash64("id"), "id").limit(THRESHOLD_ROWS).select("id", F.lit(t).alias("t"))
-    ids = first(trusted, 1).unionByName(first(bad, 0))
-    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(ids), "id")
-    some = store(plain, "labelled")
-    passed = _measured(some, bucket_weights(rows, buckets, smoothing), "text", buckets, MIN_SCORE).select("id", "t", "text", F.col("__quality.base_failed").alias("failed"))
-    grams = _grams(store(passed, "measured").where("not failed").select("id", "t", words(F.col("text")).alias("w")), buckets, "id", "t")
-    counts = rows.select("n", "m", F.explode("rows").alias("r")).select("n", "m", "r.b", "r.raw", "r.own")
-    own = grams.groupBy("id", "t", "b").agg(F.count("*").alias("k")).join(F.broadcast(counts), "b")
-    own = own.groupBy("id", "t", "n", "m").agg(F.sum("k").alias("size"), F.collect_list(F.struct("k", "raw", "own")).alias("x"))
-    total = F.aggregate(
-        F.transform("x", lambda x: x["k"] * F.log((x["own"] - F.col("t") * x["k"] + smoothing) / (x["raw"] * (F.col("m") - F.col("t") * F.col("size")) / F.col("n") + smoothing))),
-        F.lit(0.0),
-        lambda a, x: a + x,
-    )
-    edge = lambda t, q: F.percentile(F.when(F.col("t") == t, F.col("s")), F.lit(q))
-    found = own.select("t", (total / F.col("size")).alias("s")).agg(edge(1, EDGE).alias("good"), edge(0, 1 - EDGE).alias("bad"), F.count(F.when(F.col("t") == 1, 1)).alias("n_good"), F.count(F.when(F.col("t") == 0, 1)).alias("n_bad")).first()
-    if min(found.n_good, found.n_bad) < LEAST_LABELLED:
+    passed = measured.where("not __quality.base_failed").select("__pl_good", F.when(F.col("__pl_good") == 1, F.col("__pl_loo")).otherwise(F.col("__quality.score")).alias("s"))
+    good, bad = passed.where("__pl_good = 1"), passed.where("__pl_good = 0")
+    if min(good.count(), bad.count()) < LEAST_LABELLED:
         return MIN_SCORE
-    return min((found.good + found.bad) / 2, found.good)
+    (low,), (high,) = edge(good, "s", [EDGE]), edge(bad, "s", [1 - EDGE])
+    return min((low + high) / 2, low)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, min_score: float | None = None, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """docs with one more column `__quality`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, min_score: float | None = None, trusted_rows: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (of them the columns `keep`, if given) with one more column `__quality`: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    score, base_failed, kept.
 
-    labels: doc_id and quality; a document is trusted if all its labels are 1. min_score: learned where not given.
+    labels: doc_id and quality; a document is trusted if all its labels are 1, or the first trusted_rows of them. min_score: learned where not given. Then what is
+    measured is a table, from which the threshold is taken before it is read again.
     """
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q")).where("q = 1 and id is not null").select("id")
-    trusted = good.orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q")).where("q in (0, 1) and id is not null")
+    trusted = marks.where("q = 1").select("id")
+    if trusted_rows is not None:
+        trusted = trusted.orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
     rows = store(bucket_counts(docs, trusted, id_col, text_col, buckets), "buckets")
-    if min_score is None:
-        min_score = learned_threshold(docs, labels, trusted, rows, id_col, text_col, buckets, smoothing)
-    return _measured(docs, bucket_weights(rows, buckets, smoothing), text_col, buckets, min_score)
-
-
-def _measured(docs: DataFrame, weights: DataFrame, text_col: str, buckets: int, min_score: float) -> DataFrame:
-    """docs with the column `__quality` of score()."""
+    weights = bucket_weights(rows, buckets, smoothing)
+    names = [F.col(f"`{c}`") for c in (keep or docs.columns)]
+    if min_score is not None:
+        return _measured(docs, weights, text_col, buckets, min_score).select(*names, "__quality")
+    given = sent(trusted.withColumn("__pl_good", F.lit(1)).unionByName(marks.where("q = 0").select("id", F.lit(0).alias("__pl_good"))))
+    marked = docs.withColumn("__pl_id", docs[id_col].cast("long")).join(given.withColumnRenamed("id", "__pl_id"), "__pl_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__pl_good")
+    measured = store(_measured(marked, weights, text_col, buckets, MIN_SCORE, (_counts(rows), _alone(buckets, smoothing))).select(*names, "__pl_good", "__pl_loo", "__quality"), "measured")
+    least = learned_threshold(measured)
+    passed = ~F.col("__quality.base_failed") & (F.col("__quality.score") >= least)
+    return measured.select(*names, F.col("__quality").withField("kept", passed).alias("__quality"))
+
+
+def _measured(docs: DataFrame, weights: DataFrame, text_col: str, buckets: int, min_score: float, alone: tuple[DataFrame, Column] | None = None) -> DataFrame:
+    """docs with the column `__quality` of score(). alone: counts (__pl_k), and a score of __pl_w by them for those with __pl_good = 1, as __pl_loo."""
     text = F.coalesce(F.col("__pl_q.text"), F.lit(""))
     kept_names = [F.col(f"`{c}`") for c in docs.columns]
     step = docs.select("*", F.struct(docs[text_col].cast("string").alias("text")).alias("__pl_q"))
@@ -165,7 +192,7 @@ def _measured(docs: DataFrame, weights: DataFrame, text_col: str, buckets: int,
     )
     count = F.size("__pl_w").cast("long")
     # Used once below, so that the optimiser puts the subquery's value there and no row carries the array.
-    step = step.select("*", weights.scalar().alias("__pl_v"))
+    step = step.select("*", weights.scalar().alias("__pl_v"), *([] if alone is None else [alone[0].scalar().alias("__pl_k")]))
     step = step.select(
         *kept_names,
         count.alias("__pl_n"),
@@ -174,10 +201,12 @@ def _measured(docs: DataFrame, weights: DataFrame, text_col: str, buckets: int,
         "__pl_dups",
         F.coalesce(covered.cast("long"), F.lit(0).cast("long")).alias("__pl_rep"),
         F.when(count > 0, total / (2 * count - 1)).otherwise(0.0).alias("__pl_score"),
+        *([] if alone is None else [F.when((F.col("__pl_good") == 1) & (count > 0), alone[1]).alias("__pl_loo")]),
     )
     failed = (F.col("__pl_n") < MIN_WORDS) | (100 * F.col("__pl_rep") > MAX_REPEATED * F.col("__pl_n"))
     return step.select(
         *kept_names,
+        *([] if alone is None else ["__pl_loo"]),
         F.struct(
             F.col("__pl_n").alias("n_words"), F.col("__pl_chars").alias("word_chars"), F.col("__pl_symbols").alias("n_symbols"), F.col("__pl_dups").alias("n_dup_lines"),
             F.col("__pl_rep").alias("n_repeat_words"), F.col("__pl_score").alias("score"), failed.alias("base_failed"), (~failed & (F.col("__pl_score") >= min_score)).alias("kept"),
@@ -197,7 +226,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     q = [F.col(f"__quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")]
-    return score(docs.select("doc_id", "text"), labels).select("doc_id", *q)
+    return score(docs.select("doc_id", "text"), labels, keep=["doc_id"]).select("doc_id", *q)
 
 
 QUERIES = {"op10_quality": op10_quality}

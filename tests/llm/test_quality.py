@@ -84,3 +84,38 @@ def test_threshold_is_learned_from_labels(spark):
     assert all(r[7] for r in brute(rows, labels) if r[0] % 3 == 0)
     assert sorted(r.doc_id for r in keep_good(docs, marks).collect()) == [i for i in range(240) if i % 3]
     assert keep_good(docs, marks, min_score=MIN_SCORE).count() == 240
+
+
+def test_every_labelled_document_counts_for_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join(f"v{min(int(rng.exponential(40)), 400)}" for _ in range(rng.integers(60, 120)))
+    rows = [(i, text()) for i in range(500)]
+    labels = [(i, i % 2) for i in range(450)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    raw, own = Counter(), Counter()
+    for i, x in rows:
+        raw.update(grams(x))
+        if i < 450 and i % 2:
+            own.update(grams(x))
+    n, m, scores = sum(raw.values()), sum(own.values()), {0: [], 1: []}
+    for i, x in rows[:450]:
+        g, t = Counter(grams(x)), i % 2
+        size = sum(g.values())
+        scores[t].append(sum(k * math.log((own[b] - t * k + SMOOTHING) / (raw[b] * (m - t * size) / n + SMOOTHING)) for b, k in g.items()) / size)
+    good, bad = np.percentile(scores[1], 1), np.percentile(scores[0], 99)
+    least = min((good + bad) / 2, good)
+    got = {r.doc_id: r["__quality"] for r in score(docs, marks, keep=["doc_id"]).collect()}
+    assert len(got) == 500 and all(q.kept == (q.score >= least) for q in got.values())
+    assert 0 < sum(q.kept for q in got.values()) < 500
+
+
+def test_no_label_is_left_out(spark):
+    # More labels than the 2,000 of each kind that the threshold was learned from, and than the 20,000 trusted at most.
+    rows = spark.range(24_000).selectExpr("id doc_id", "repeat(concat('w', id % 7, ' '), 2) text")
+    from pathloom.llm import quality
+
+    labels = rows.selectExpr("doc_id", "1 quality")
+    counts = quality.bucket_counts(rows, labels.selectExpr("doc_id id"), "doc_id", "text", 1 << 10).first()
+    assert counts.n == counts.m == 24_000 * 3
+    assert not hasattr(quality, "THRESHOLD_ROWS") and not hasattr(quality, "TRUSTED_ROWS")
+    assert quality.edge(rows, "doc_id", [0.0, 0.01, 0.5, 0.99, 1.0]) == pytest.approx(list(np.percentile(range(24_000), [0, 1, 50, 99, 100])))
