@@ -6,7 +6,7 @@ n-grams. Every document below the threshold, and every document that fails the b
 learned from labelled documents (see learned_threshold), or MIN_SCORE where too few are labelled.
 
 The bucket weights are one array of `buckets` doubles, whatever the corpus. All good labelled documents are trusted, all labelled
-ones count for the threshold, and counts and scores cover every row. Documents are read twice and, up to SENT labels, never shuffled; what is measured is
+ones count for the threshold, and counts and scores cover every row. Documents are read twice and, up to SENT labels, never shuffled (with more, twice); what is measured is
 written once, since the threshold is known only then.
 
 Null and empty text have no words: counts 0, score 0, base_failed. A very long text is one row of arrays like any other. A score at the
@@ -30,8 +30,9 @@ MIN_SCORE = -0.25
 LEAST_LABELLED = 50
 #: How much of the good and of the bad labelled documents is left aside at the edge.
 EDGE = 0.01
-#: Labelled ids that are sent to all executors, at most.
-SENT = 2_000_000
+#: Labelled ids that are sent to all executors, at most, in lists of about LISTED, so that each takes little more than its 8 bytes.
+SENT = 12_000_000
+LISTED = 256
 MIN_WORDS = 50
 MAX_REPEATED = 50  # of 100 words
 _BLANK = " \t\n\x0b\x0c\r"
@@ -60,15 +61,26 @@ def _grams(rows: DataFrame, buckets: int, *keep: str) -> DataFrame:
     return each.select(*keep, F.explode(both).alias("b")).where("b is not null")
 
 
-def sent(ids: DataFrame) -> DataFrame:
-    """ids for a join: to all executors where they are few enough, else as Spark sees fit."""
-    return F.broadcast(ids) if ids.count() <= SENT else ids
+def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows with a column __pl_good: the mark (column `good`: 1, 0) of their __pl_id, else null. marks: one for each of its ids (column `id`).
+
+    They go to all executors in lists by hash of the id where they are few enough, else both sides are joined as Spark sees fit.
+    """
+    n = marks.count()
+    if n > SENT:
+        return rows.join(marks.select(F.col("id").alias("__pl_id"), F.col("good").alias("__pl_good")), "__pl_id", "left")
+    group = lambda x: F.pmod(F.xxhash64(x), F.lit(n // LISTED + 1)).alias("__pl_g")
+    own = lambda t: F.collect_list(F.when(F.col("good") == t, F.col("id"))).alias(f"__pl_{t}")
+    lists = marks.groupBy(group("id")).agg(own(1), own(0))
+    mark = F.when(F.array_contains("__pl_1", F.col("__pl_id")), 1).when(F.array_contains("__pl_0", F.col("__pl_id")), 0)
+    return rows.select("*", group("__pl_id")).join(F.broadcast(lists), "__pl_g", "left").select(*[F.col(f"`{c}`") for c in rows.columns], mark.alias("__pl_good"))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """One row: an array of (b, raw, own) for each bucket, and the totals n and m. trusted: ids (column `id`)."""
-    flagged = docs.select(docs[id_col].cast("long").alias("id"), words(docs[text_col].cast("string")).alias("w"))
-    flagged = flagged.join(sent(trusted.withColumn("t", F.lit(1))), "id", "left").select("w", F.coalesce("t", F.lit(0)).alias("t"))
+    # Words are cut after the join: where it shuffles, texts are smaller.
+    flagged = marked(docs.select(docs[id_col].cast("long").alias("__pl_id"), docs[text_col].cast("string").alias("text")), trusted.select("id", F.lit(1).alias("good")))
+    flagged = flagged.select(words(F.col("text")).alias("w"), F.coalesce("__pl_good", F.lit(0)).alias("t"))
     counts = _grams(flagged, buckets, "t").groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("own"))
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     return every.agg(
@@ -140,9 +152,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = [F.col(f"`{c}`") for c in (keep or docs.columns)]
     if min_score is not None:
         return _measured(docs, weights, text_col, buckets, min_score).select(*names, "__quality")
-    given = sent(trusted.withColumn("__pl_good", F.lit(1)).unionByName(marks.where("q = 0").select("id", F.lit(0).alias("__pl_good"))))
-    marked = docs.withColumn("__pl_id", docs[id_col].cast("long")).join(given.withColumnRenamed("id", "__pl_id"), "__pl_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__pl_good")
-    measured = store(_measured(marked, weights, text_col, buckets, MIN_SCORE, (_counts(rows), _alone(buckets, smoothing))).select(*names, "__pl_good", "__pl_loo", "__quality"), "measured")
+    given = trusted.select("id", F.lit(1).alias("good")).unionByName(marks.where("q = 0").select("id", F.lit(0).alias("good")))
+    told = marked(docs.withColumn("__pl_id", docs[id_col].cast("long")), given).select(*[F.col(f"`{c}`") for c in docs.columns], "__pl_good")
+    measured = store(_measured(told, weights, text_col, buckets, MIN_SCORE, (_counts(rows), _alone(buckets, smoothing))).select(*names, "__pl_good", "__pl_loo", "__quality"), "measured")
     least = learned_threshold(measured)
     passed = ~F.col("__quality.base_failed") & (F.col("__quality.score") >= least)
     return measured.select(*names, F.col("__quality").withField("kept", passed).alias("__quality"))

@@ -1,12 +1,20 @@
+import math
+from collections import Counter
+
 import corpus_pipeline
+import numpy as np
+import pytest
 from test_decontaminate import brute as brute_contamination
 from test_lines_spans import brute_lines
 from test_near_dedup import brute as brute_near
 from test_quality import brute as brute_quality
+from test_quality import grams
 from tokenizers import Tokenizer
 
+from pathloom.llm import quality
 from pathloom.llm._bpe import vocabulary
 from pathloom.llm.line_dedup import MIN_PAGES, RATIO
+from pathloom.llm.quality import EDGE, SMOOTHING
 
 
 def test_stages_and_run(spark, sf):
@@ -63,3 +71,41 @@ def test_odd_rows_and_columns(spark, tmp_path):
     assert ids[3] == ["3", "3", "5", "6", "None"]  # 7 is a benchmark passage
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted({str(r.doc_id) for r in packed}) == ["3", "5", "6", "None"]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder with 2,600 labelled documents of either kind, more than the 2,000 that the threshold was learned from, and the ids that all of them let pass."""
+    at, rng = tmp_path_factory.mktemp("labelled"), np.random.default_rng(31)
+    rows = [(i, " ".join(f"v{x}" for x in np.minimum(rng.exponential(40 - i % 2 * 10, rng.integers(55, 75)).astype(int), 400))) for i in range(5400)]
+    labels = [(i, i % 2) for i in range(5200)]
+    found = [Counter(grams(t)) for _, t in rows]
+    raw, own = Counter(), Counter()
+    for i, g in enumerate(found):
+        raw.update(g)
+        own.update(g if i < 5200 and i % 2 else {})
+    n, m = raw.total(), own.total()
+
+    def told(g, alone):
+        k = g.total() * alone
+        return sum(c * math.log((own[b] - alone * c + SMOOTHING) / (raw[b] * (m - k) / n + SMOOTHING)) for b, c in g.items()) / g.total()
+
+    scores = [[told(g, t) for g, (_, x) in zip(found, labels) if x == t] for t in (0, 1)]
+    bad, good = np.percentile(scores[0], 100 - 100 * EDGE), np.percentile(scores[1], 100 * EDGE)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    return f"file://{at}", [i for (i, _), g in zip(rows, found) if told(g, 0) >= min((good + bad) / 2, good)]
+
+
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_quality_learns_from_every_labelled_document(spark, labelled, monkeypatch, sent):
+    sf_dir, want = labelled
+    monkeypatch.setattr(quality, "SENT", sent, raising=False)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least if sent else "-1")  # joined by a shuffle, as many labels are
+    try:
+        stage = dict(corpus_pipeline.STAGES)["quality"]
+        got = sorted(r.doc_id for r in stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).select("doc_id").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert 0 < len(want) < 5400 and got == want
