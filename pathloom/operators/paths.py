@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import catalog
-from pathloom.functions.tables import Parts, written
+from pathloom.functions.tables import Parts, unsent, written
 
 
 def source_nodes(nodes: DataFrame, sources: DataFrame, changed: DataFrame | None = None) -> DataFrame:
@@ -343,8 +343,8 @@ def find_paths(
         hubs = [replace(h, enter=written(h.enter, "enter")) for h in hubs]
         hubs = [replace(h, leave=written(h.leave, "leave"), skip=written(h.skip, "skip")) for h in hubs if not h.enter.isEmpty()]
     types = catalog.FLOW_EDGES if uniqueness == "node" else catalog.TRAIL_EDGES
-    starts = source_nodes(nodes, sources, changed).select(F.col("node_id").alias("node"))
-    ends = sink_nodes(nodes, sinks).select(F.col("node_id").alias("node"))
+    starts = unsent(source_nodes(nodes, sources, changed).select(F.col("node_id").alias("node")))
+    ends = unsent(sink_nodes(nodes, sinks).select(F.col("node_id").alias("node")))
     records = project(expand(edges, starts, ends, max_hops, types, uniqueness, stop, most, hubs), nodes)
     return records if most is None else shortest(records, most)
 

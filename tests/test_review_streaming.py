@@ -4,8 +4,9 @@ import subprocess
 import sys
 from pathlib import Path
 
-from pathloom.functions import catalog
+from pathloom.functions import catalog, tables
 from pathloom.functions.scalars import signature_of
+from pathloom.operators import paths
 from pathloom.operators.graph_store import GraphStore
 from pathloom.cli import main
 from pathloom.plans.review import ReviewInputs, run_review
@@ -110,3 +111,16 @@ def test_many_short_texts_are_extracted_in_several_tasks(spark, tmp_path):
     nodes, _ = extract_graph(spark.read.parquet(f"{tmp_path}/files"), "r")
     assert nodes.count() == 2000
     assert len({f.rsplit("/", 1)[1] for f in nodes.inputFiles()}) > 1
+
+
+def test_a_graph_of_repeated_texts_is_not_sent_whole(spark, tmp_path, monkeypatch):
+    """Its files are small for their rows, so that Spark takes it for a small table."""
+    text = "int f(int a) {\\n  fgets(p, 9, s);\\n  free(p);\\n}"
+    spark.range(500).selectExpr("concat('f', id, '.c') file_path", f"'{text}' text", "concat('f', id) scope").write.parquet(f"{tmp_path}/files")
+    monkeypatch.setattr(tables, "SENT", 1000)
+    files = spark.read.parquet(f"{tmp_path}/files")
+    nodes, edges = extract_graph(files, "r")
+    reached = spark.createDataFrame([("x",)], "dst string").join(nodes.selectExpr("node_id dst", "code"), "dst", "left")
+    for df in (edges, paths.virtual_hubs(nodes, edges, "scope").enter, reached, nodes.select("file_path").join(tables.unsent(nodes.distinct()), "file_path")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert nodes.count() == 1500 and edges.count() == 1000
