@@ -149,3 +149,16 @@ def test_many_cases_are_cut_without_holding_them(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(want)
         assert "GlobalLimit" not in got._jdf.queryExecution().optimizedPlan().toString() or most in (4, 15)
     assert "Sort" not in repo.first_rows(made, "index", 10)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_csv_corpus_has_every_case(spark, sf, monkeypatch):
+    from pathloom.plans.queries import QUERIES
+
+    real, asked = repo.pair_corpus, []
+    monkeypatch.setattr(repo, "pair_corpus", lambda rows, lang, most, *a: asked.append(most) or real(rows, lang, most, *a))
+    got = QUERIES["csv_corpus"](spark, sf)
+    assert asked == [None] and got.count() == spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
+    made = spark.createDataFrame([(k, "C", k % 2, f"b{k}", f"a{k}") for k in range(9)] + [(9, "X", 1, "", "")], "index long, lang string, vul int, func_before string, func_after string")
+    assert sorted(map(tuple, real(made, "C", None).collect())) == [(f"{k}-{k % 2}", f"{'ab'[k % 2]}{k}", k % 2 == 1) for k in range(9)]
