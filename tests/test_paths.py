@@ -207,3 +207,22 @@ def test_edges_a_call_has_already_are_left_out(spark):
     # What is made is not shuffled again: no join above the one that makes it.
     plan = paths.virtual_hubs(nodes, alone).pairs()._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_hubs_of_few_calls_take_two_shuffles_of_edges(spark):
+    names = {f"f{i}": f"n{i % 7}" for i in range(60)}
+    rng = random.Random(3)
+    rows = [(f"c{rng.randrange(9)}", rng.choice(list(names))) for _ in range(80)] * 2
+    nodes = spark.createDataFrame([*((f, n, "AST_FUNC") for f, n in names.items()), *((f"c{i}", "", "CALL") for i in range(8))], "node_id string, function_name string, node_type string")
+    edges = spark.createDataFrame([(a, b, "CALL", None) for a, b in rows], "src string, dst string, type string, resolved_virtual boolean")
+    had = {(c, n): {f for a, f in rows if a == c and names[f] == n} for c, n in {(a, names[f]) for a, f in rows if a != "c8"}}
+    want = {(c, f) for (c, n), direct in had.items() for f in names if names[f] == n and direct != {f}}
+    assert {tuple(r) for r in paths.virtual_hubs(nodes, edges).pairs().collect()} == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = paths.virtual_hubs(nodes, edges).enter._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Edges and functions by dst, and what they give by hub.
+    assert plan.count("Exchange hashpartitioning") == 3
